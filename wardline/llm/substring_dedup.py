@@ -241,7 +241,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFra
     by = ["anchor", "region", "k", "h", "s"]
     marks = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(sift, ddl(MARKS))
     marks = marks.groupBy("k", "h").agg(F.collect_list(F.struct("s", "n", "whole")).alias("marks"))
-    grown = texts.join(marks, ["k", "h"]).select("k", "h", "text", "marks").mapInArrow(lambda it: extend(it, window), ddl(WINDOWS))
+    # doc_id comes along so that both joins read one and the same exchange of the texts
+    grown = texts.join(marks, ["k", "h"]).select("doc_id", "k", "h", "text", "marks").mapInArrow(lambda it: extend(it, window), ddl(WINDOWS))
     where = F.coalesce(F.col("w1"), F.xxhash64("k", "h", "s"))
     runs = grown.repartition(n, where).sortWithinPartitions("w1", "w2", "k", "h", "s").mapInArrow(later, ddl(RUNS))
     runs = runs.groupBy("k", "h").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
