@@ -239,7 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int) -> dict:
     marks = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marks = marks.where(remainder(4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    chosen = sample(marks, "toxic", per_label)
+    # the sample is bounded whatever the tables hold, so the texts stay where they are
+    chosen = F.broadcast(sample(marks, "toxic", per_label).limit(4 * per_label))
     got = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(chosen, "doc_id").orderBy("doc_id", "text").toArrow()
     y = np.array(got["toxic"].to_pylist(), np.int64)
     texts = got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
