@@ -1,9 +1,9 @@
 """Operator 3, packing along a space-filling curve.
 
 Each document's hashed byte-trigram counts are projected to four dimensions
-(fixed signs), which give a Hilbert key. Documents are range-sorted by that
-key (a hot key spreads over partitions by doc_id), tokenised once, and laid
-end to end along the curve: neighbours share sequences. A sequence holds
+(fixed signs), which give a Hilbert key. Documents are dealt to ranges of that
+key of equal bytes and sorted by it, tokenised once, and laid end to end along
+the curve: neighbours share sequences. A sequence holds
 ``length`` tokens; what is left at a partition's end is cut into sequences of
 powers of two, so nothing is padded.
 
@@ -18,10 +18,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wardline.llm.common import BLOCK_BYTES, arrow, blocks, keyed, partitions, raw, text_column
 
 DIMS, LEVELS = 4, 10
+#: Stretches of the curve whose bytes are counted: a fixed number, whatever the input.
+CELL_BITS = 14
 CODES = 1 << 16
 SPECIAL = "<|endoftext|>"
 KEYED = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("h", pa.int32()), ("text", pa.large_string()), ("curve", pa.int64())])
@@ -159,9 +162,29 @@ def pack(batches, path: str, length: int, end_id: int):
         yield arrow(PIECES, *zip(*ready, strict=True))
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows over n partitions of about equal bytes along the curve, each sorted by it.
+
+    The bytes of at most 2^CELL_BITS stretches of the curve give each row its place
+    among all bytes; inside a stretch (it may hold a third of all) a hash
+    spreads the rows.
+    """
+    cell = F.shiftright("curve", DIMS * LEVELS - CELL_BITS)
+    size = F.octet_length("text") + 64
+    sums = {r["cell"]: r["size"] for r in rows.groupBy(cell.alias("cell")).agg(F.sum(size).alias("size")).collect()}
+    total, upto, at = max(1, sum(sums.values())), 0, []
+    for c in sorted(sums):
+        at.append((c, upto / total * n, sums[c] / total * n))
+        upto += sums[c]
+    places = F.broadcast(rows.sparkSession.createDataFrame(at, "cell long, low double, wide double"))
+    spread = F.pmod(F.xxhash64("k", "h"), F.lit(1 << 30)) / (1 << 30)
+    part = F.least(F.lit(n - 1), (F.col("low") + F.col("wide") * spread).cast("int"))
+    rows = rows.withColumn("cell", cell).join(places, "cell").withColumn("part", part)
+    return rows.repartitionById(n, F.col("part")).sortWithinPartitions("curve", "k", "h").select("doc_id", "text")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset: one row per piece."""
     rows = keyed(docs).mapInArrow(with_curve, "doc_id long, k long, h int, text string, curve long")
-    by = ["curve", "k", "h"]
-    laid = rows.repartitionByRange(partitions(docs.sparkSession), *by).sortWithinPartitions(*by).select("doc_id", "text")
+    laid = dealt(rows, partitions(docs.sparkSession))
     return laid.mapInArrow(lambda it: pack(it, tokenizer, length, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
