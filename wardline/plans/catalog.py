@@ -1,6 +1,8 @@
-"""Named queries and the DuckDB SQL that each must equal."""
+"""Named queries and the DuckDB SQL that each must equal, gathered from the plan modules."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from wardline.plans import evaluation, features, text
+from wardline.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "evaluation", "features", "text"]
