@@ -108,4 +108,14 @@ k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(
 c as (select key, max(doc_id) last from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
 j as (select doc_id, n, line, last is not null and last <> doc_id gone from k left join c using (key))
 select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) kept_sha256 from j group by doc_id""",
+    "op7_quality_rules": rf"""
+with d as materialized (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '{WORD}') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
+g as (select doc_id, s, array_to_string(list_slice(w, s, s + 7), ' ') g from d, unnest(generate_series(1, len(w) - 7)) t(s) where len(w) >= 8),
+r as (select doc_id, s from g qualify count(*) over (partition by doc_id, g) > 1),
+c as (select doc_id, count(distinct i) n from (select doc_id, unnest(generate_series(s, s + 7)) i from r) group by 1),
+m as (select doc_id, cast(len(w) as bigint) n_words, cast(length(regexp_replace(text, '{BLANK}', '', 'g')) as bigint) word_chars, cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) n_symbols,
+  cast(len(l) as bigint) n_lines, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, coalesce(n, 0) n_repeat_words from d left join c using (doc_id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, cast((case when n_words < 20 then 1 else 0 end) + (case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end) + (case when 10 * n_symbols > 3 * word_chars then 4 else 0 end)
+  + (case when n_lines >= 10 and 10 * n_dup_lines > 8 * n_lines then 8 else 0 end) + (case when word_chars > 40 * n_words then 16 else 0 end) + (case when 10 * word_chars < 12 * n_words then 32 else 0 end) as bigint) fail_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 kept, fail_bits from b""",
 }
