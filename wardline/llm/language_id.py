@@ -5,7 +5,7 @@ word breaks) are weighted by log counts and inverse document frequency and
 normalised. Each language's training vectors are clustered (spherical k-means,
 farthest-point start) to ``clusters`` centroids; a text takes the language of
 the centroid of largest cosine. It is *rejected* where that cosine is below
-half the language's lowest training cosines (their 0.5 % quantile).
+a quarter of the language's lowest training cosines (their 0.5 % quantile).
 
 Training reads a bounded sample, at most about ``per_language`` labelled rows
 of each language, chosen by a hash of doc_id; the frequencies belong to the
@@ -112,7 +112,7 @@ def train(docs: DataFrame, per_language: int, clusters: int) -> dict:
         c = cluster(own, clusters)
         centroids.append(c)
         owner += [i] * len(c)
-        floor.append(float(np.quantile((own @ c.T).max(1), 0.005)) / 2)
+        floor.append(float(np.quantile((own @ c.T).max(1), 0.005)) / 4)
     return {"names": names, "idf": idf, "centroids": np.concatenate(centroids), "owner": np.array(owner), "floor": np.array(floor)}
 
 
