@@ -204,11 +204,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(texts: pa.Array, y: np.ndarray, share: float, rounds: int = 5) -> dict:
+def fit(texts: pa.Array, y: np.ndarray, share: float) -> dict:
     """Network and text-level logistic from labelled texts; share: the fraction of label 1 among all training rows."""
     if len(set(y.tolist())) < 2:
         return {"mean": float(y.mean()) if len(y) else 0.0}
-    rng = np.random.default_rng(11)
+    rng, rounds = np.random.default_rng(11), int(np.clip(12_000 / len(y), 5, 20))  # a smaller sample is gone through more often
     t = Text(*raw(texts))
     p = initial(rng)
     adam = Adam(p, 0.02)
