@@ -57,6 +57,12 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def held(column):
+    """The column, behind a condition that always holds but that the optimizer can't move: a later filter on the result
+    then stays above and does not evaluate the column's whole expression tree again and again."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import SPACES
+from wardline.llm.common import SPACES, held
 
 BLANK = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -69,7 +69,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     base = base.withColumn("at", F.sort_array(F.transform(twin, lambda x: x["i"]))).drop("ordered")
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate("at", start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n")), lambda s: s["n"])
-    base = base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
+    base = base.withColumn("n_repeat_words", held(F.coalesce(covered, F.lit(0)).cast("long"))).drop("at")
     bits = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(RULES):
         bits = bits + F.when(F.expr(fails), 1 << i).otherwise(0)
