@@ -52,3 +52,8 @@ def exceed_triggers(minor: Column, adult: Column, severe: int = 4, minor_count:
 
 def quadrant(liked: Column, safe: Column) -> Column:
     return F.concat(F.when(liked == 1, "like").otherwise("dislike"), F.lit("_"), F.when(safe == 1, "safe").otherwise("unsafe"))
+
+
+def one_hot(names: list[str], codes: tuple[int, ...]) -> dict[str, Column]:
+    """0/1 columns name_code; an unknown code sets none."""
+    return {f"{n}_{c}": F.coalesce((F.col(n) == c).cast("int"), F.lit(0)) for n in names for c in codes}

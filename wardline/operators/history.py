@@ -62,3 +62,32 @@ def sequence_rows(split: DataFrame) -> DataFrame:
     order = F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2)
     w = Window.partitionBy("u").orderBy(order, "ts", "i")
     return split.select("u", "i", "split", (F.row_number().over(w) - 1).cast("long").alias("pos"))
+
+
+def top_values(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """key, value, n, rank: the k most frequent values of each key, ties in value order."""
+    n = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key).orderBy(F.desc("n"), value)
+    return n.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def capped(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k latest rows of each combination of keys, with place."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("i"))
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
+
+
+def until_last(rows: DataFrame, profile: DataFrame) -> DataFrame:
+    """Rows no later than the last row of the user's profile."""
+    last = profile.groupBy("u").agg(F.max("ts").alias("_last"))
+    return rows.join(last, "u").where(F.col("ts") <= F.col("_last")).drop("_last")
+
+
+def described(rows: DataFrame, value: str, digits: int = 6) -> DataFrame:
+    """Count, mean, sample deviation, least, exact quartiles and greatest of a column, on one row."""
+    x = F.col(value).cast("double")
+    quartile = lambda p: F.round(F.percentile(x, F.lit(p)), digits)
+    return rows.agg(
+        F.count(x).alias("n"), F.round(F.avg(x), digits).alias("mean"), F.round(F.stddev(x), digits).alias("std"), F.min(x).alias("least"),
+        quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max(x).alias("greatest"),
+    )

@@ -45,3 +45,11 @@ def macro(users: DataFrame, flag: str, digits: int = 6) -> DataFrame:
     k, n = F.col("k"), F.col("slots")
     r = lambda x, name: F.round(F.avg(x), digits).alias(name)
     return rows.groupBy(k.cast("long").alias("k"), "grp").agg(r(F.col(flag) / k, "exposure_k"), r(F.col(flag) / n, "exposure_len"), r(n, "mean_length"), r((n == k).cast("int"), "full_list_fraction"))
+
+
+def single_positive(positives: DataFrame, ranked: DataFrame, ks=KS, digits: int = 6) -> DataFrame:
+    """k, n, hr, ndcg over rows (u, i) of one positive each; a positive outside the ranking counts as 0."""
+    rows = positives.join(ranked.select("u", "i", "rank"), ["u", "i"], "left").withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in ks])))
+    hit = F.coalesce(F.col("rank") <= F.col("k"), F.lit(False))
+    gain = F.when(hit, F.log(F.lit(2.0)) / F.log(F.col("rank") + F.lit(1.0))).otherwise(0.0)
+    return rows.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg(hit.cast("int")), digits).alias("hr"), F.round(F.avg(gain), digits).alias("ndcg"))

@@ -78,3 +78,34 @@ def targets(history: DataFrame, profile_k: int) -> DataFrame:
     w = Window.partitionBy("u").orderBy(F.desc("ts"), F.desc("i"))
     rows = history.withColumn("_b", F.row_number().over(w)).where(F.col("_b") > profile_k)
     return rows.withColumn("n", (F.col("_b") - profile_k).cast("long")).drop("_b")
+
+
+def history_lines(history: DataFrame, k: int) -> DataFrame:
+    """u, lines: the k latest items (u, ts, i, title, rating) as numbered lines, oldest first."""
+    w = Window.partitionBy("u").orderBy(F.desc("ts"), F.desc("i"))
+    last = history.withColumn("_b", F.row_number().over(w)).where(F.col("_b") <= k)
+    lists = last.groupBy("u").agg(F.array_sort(F.collect_list(F.struct((-F.col("_b")).alias("b"), "title", "rating"))).alias("x"))
+    line = lambda s, j: F.concat((j + 1).cast("string"), F.lit(". "), s["title"], F.lit(" ("), s["rating"].cast("string"), F.lit(")"))
+    return lists.select("u", F.array_join(F.transform("x", line), "\n").alias("lines"))
+
+
+def pair_prompt(minor: Column, lines: Column, title: Column, genres: Column) -> Column:
+    """Input text of one judged pair: audience, history, candidate."""
+    audience = F.when(minor, "minor").otherwise("adult")
+    return F.concat(F.lit("Audience: "), audience, F.lit("\nHistory:\n"), F.coalesce(lines, F.lit("none")), F.lit("\nCandidate: "), title, F.lit(" ["), F.array_join(genres, ", "), F.lit("]"))
+
+
+def within_budget(parts: Column, budget: int, rounds: int = 64) -> Column:
+    """The array without its oldest size // 8 + 1 parts, time and again, until its characters fit the budget (or nothing is left).
+
+    64 rounds empty any array of up to 30,000 parts.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    cut = lambda a: F.slice(a, F.floor(F.size(a) / 8).cast("int") + 2, F.greatest(F.size(a), F.lit(1)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), parts, lambda a, _: F.when(total(a) > budget, cut(a)).otherwise(a))
+
+
+def hidden_query(minor: Column, triggered: Column, terms: dict[str, str]) -> Column:
+    """Search text of the policy retrieval: audience, then a phrase for each trigger in the order of terms."""
+    phrases = [F.when(F.array_contains(triggered, name), F.lit(text)) for name, text in terms.items()]
+    return F.concat_ws(" ", F.when(minor, "protection of minors").otherwise("general content limits"), *phrases)

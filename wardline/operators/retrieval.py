@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,21 +53,45 @@ def tags(text: Column, lexicon: dict[str, list[str]]) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Queries of one block; their vectors are sent to every worker, so this bounds what is broadcast.
+QUERY_BLOCK = 10_000
+#: Score cells that a worker holds at once.
+CELLS = 1 << 22
+NEAR = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("score", pa.float64())])
 
 
-#: Queries are a stated, bounded set; beyond this they come in several calls.
-MOST_QUERIES = 10_000
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """q, c, score, rank: the k chunks of largest inner product per query, ties to the smaller c.
 
-
-def nearest(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """q, c, score, rank: the k chunks of largest inner product per query; queries are few, chunks stay where they are."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError("too many queries for one call")
-    pairs = chunks.join(F.broadcast(queries), F.lit(True)).select("q", "c", dot(F.col("qv"), F.col("cv")).alias("score"))
+    queries: q, qv; chunks: c, cv, all of one length. Scores are rounded, so that equal vectors tie. Queries come in blocks of QUERY_BLOCK;
+    chunks stay where they are, and each piece of them gives only its k best per query.
+    """
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    parts = queries.select("q", "qv").repartitionByRange(blocks, "q") if blocks > 1 else queries.select("q", "qv")
+    best = queries.sparkSession.createDataFrame([], "q long, c long, score double")
+    for b in range(blocks):
+        rows = (parts.where(F.spark_partition_id() == b) if blocks > 1 else parts).toArrow()
+        if rows.num_rows:
+            ids, vectors = rows["q"].to_numpy(), np.stack(rows["qv"].to_numpy()).astype(np.float64)
+            best = best.unionByName(best_of_pieces(chunks, ids, vectors, k, digits))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def best_of_pieces(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            step = max(1, CELLS // max(1, len(ids)))
+            for lo in range(0, batch.num_rows, step):
+                piece = batch.slice(lo, step)
+                c = piece["c"].to_numpy()
+                v = np.stack(piece["cv"].to_numpy(zero_copy_only=False)).astype(np.float64)
+                order = np.argsort(c, kind="stable")
+                s = np.round(vectors @ v[order].T, digits)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(c[order][top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], schema=NEAR)
+
+    return chunks.select("c", "cv").where("c is not null and cv is not null").mapInArrow(run, "q long, c long, score double")
 
 
 #: Weights of matched tags.
@@ -126,3 +152,18 @@ def fill_slots(scored: DataFrame, k: int = 5, per_source: int = 2) -> DataFrame:
         return pd.DataFrame({"q": rows["q"].iloc[0], "c": rows["c"].iloc[picked].to_numpy(), "slot": range(1, len(picked) + 1)})
 
     return scored.groupBy("q").applyInPandas(one, "q long, c long, slot long")
+
+
+def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, dim, x: the mean of a key's vectors at unit length (zero stays zero); sums are partial before the shuffle."""
+    flat = rows.select(key, F.posexplode(vector).alias("dim", "x"))
+    mean = flat.groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    norm = mean.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return mean.join(norm, key).select(key, F.col("dim").cast("long").alias("dim"), F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0).alias("x"))
+
+
+def paragraphs(texts: DataFrame, key: str, marker: str, least: int = 4) -> DataFrame:
+    """key, n, text: stretches that begin at a line end or a marker, trimmed; shorter ones than least go before they are numbered."""
+    parts = F.split(F.regexp_replace("text", f"({marker})", "\n$1"), "\n")
+    kept = F.filter(F.transform(parts, F.trim), lambda x: F.length(x) >= least)
+    return texts.select(key, F.posexplode(kept).alias("n", "text")).withColumn("n", F.col("n").cast("long"))

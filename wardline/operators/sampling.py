@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.ranking import rank_catalogue
+
 
 def draw(seed: int, *keys: str) -> Column:
     """md5 of seed|key|key..., equal in any engine."""
@@ -12,11 +17,21 @@ def draw(seed: int, *keys: str) -> Column:
 
 
 def negatives(users: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
-    """u, i, place: n items outside the user's ``block`` list in hash order. users is a stated set of users."""
-    pairs = items.select("i").join(F.broadcast(users.select("u", "block")), F.lit(True)).where(~F.array_contains("block", F.col("i")))
-    pairs = pairs.select("u", "i", draw(seed, "u", "i").alias("_d"))
-    w = Window.partitionBy("u").orderBy("_d", "i")
-    return pairs.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n).drop("_d")
+    """u, i, place: n items outside the user's ``block`` list in md5 order, drawn block by block so that no pair is shuffled."""
+
+    def score(rows: dict, columns: dict) -> np.ndarray:
+        tails = [b"|%d" % i for i in columns["i"].tolist()]
+        out = np.empty((len(rows["u"]), len(tails)))
+        for r, user in enumerate(rows["u"].tolist()):
+            lead = hashlib.md5(b"%d|%d" % (seed, user))
+            for c, tail in enumerate(tails):
+                h = lead.copy()
+                h.update(tail)
+                out[r, c] = -int.from_bytes(h.digest()[:6], "big")
+        return out
+
+    drawn = rank_catalogue(users, items.select("i"), score, n)
+    return drawn.select("u", "i", F.col("rank").cast("long").alias("place"))
 
 
 def stratified(rows: DataFrame, key: str, stratum: str, sizes: dict, seed: int) -> DataFrame:
@@ -60,3 +75,34 @@ def balanced(rows: DataFrame, positives: int, negatives_: int, seed: int, mix=(0
     for name, n in sizes.items():
         limit = F.when(F.col("quadrant") == name, n).otherwise(limit)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+def trial_negatives(rows: DataFrame, n_items: DataFrame, per: int, trials: int, seed: int) -> DataFrame:
+    """rows with j (0 to per - 1) and neg: the first of ``trials`` hashed draws from 0..n-1 outside ``block``; null when all are blocked.
+
+    rows: u, i, block. n_items: one row with n, the number of dense item ids. Work and size follow the rows, not the catalogue.
+    """
+    each = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    text = lambda t: F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("u", "i", "j")], t.cast("string"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: F.conv(F.substring(F.md5(text(t)), 1, 12), 16, 10).cast("long") % F.col("n"))
+    free = F.filter(drawn, lambda x: ~F.array_contains("block", x))
+    return each.join(F.broadcast(n_items), F.lit(True)).withColumn("neg", F.get(free, F.lit(0))).drop("n")
+
+
+def shuffled(rows: DataFrame, key: str, value: str, seed: int) -> DataFrame:
+    """rows with place (1 first) in hash order within each key's bounded list."""
+    w = Window.partitionBy(key).orderBy(draw(seed, key, value), value)
+    return rows.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def sample_n(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows without replacement in hash order; all of them for a negative n."""
+    return rows if n < 0 else rows.orderBy(draw(seed, key), key).limit(n)
+
+
+def shuffled_histories(history: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """u, r, target, rest: per user and repeat the history in hash order, its last item apart. A history is one bounded list; users of one item go."""
+    each = history.select("u", "i").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    lists = each.groupBy("u", "r").agg(F.array_sort(F.collect_list(F.struct(draw(seed, "r", "u", "i").alias("d"), "i"))).alias("x")).where(F.size("x") > 1)
+    ids = F.col("x.i")
+    return lists.select("u", "r", F.element_at(ids, -1).alias("target"), F.slice(ids, F.lit(1), F.size("x") - 1).alias("rest"))

@@ -69,3 +69,29 @@ def three_heads(features: dict[str, Column], weights: dict[str, tuple[list[float
     for w, b in weights.values():
         out = out * head(list(features.values()), w, b)
     return out
+
+
+def dot(p: Column, q: Column) -> Column:
+    return F.aggregate(F.zip_with(p, q, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def relu_layer(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """max(0, W x + b) over an array; weights: one row per unit."""
+    units = [F.greatest(dot(x, F.array(*[F.lit(float(w)) for w in row])) + F.lit(float(b)), F.lit(0.0)) for row, b in zip(weights, bias, strict=True)]
+    return F.array(*units)
+
+
+def neumf(p: Column, q: Column, factor: list[float], hidden: Column, out: list[float], bias: float) -> Column:
+    """sigma(factor . (p q) + out . hidden + bias): factor and network parts under one head."""
+    product = F.zip_with(p, q, lambda a, b: a.cast("double") * b.cast("double"))
+    return sigmoid(dot(product, F.array(*[F.lit(float(w)) for w in factor])) + dot(hidden, F.array(*[F.lit(float(w)) for w in out])) + bias)
+
+
+def softplus(x: Column) -> Column:
+    """log(1 + e^x) without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def losses(positive: Column, negative: Column, margin: float = 0.1) -> dict[str, Column]:
+    """Per-pair training losses of two raw scores: pairwise logistic, binary cross-entropy of both, hinge."""
+    return {"bpr": softplus(negative - positive), "bce": (softplus(-positive) + softplus(negative)) / 2, "hinge": F.greatest(margin - (positive - negative), F.lit(0.0))}

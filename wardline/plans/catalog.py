@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.plans import evaluation, features, text
+from wardline.plans import evaluation, features, inventory, text
 from wardline.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "evaluation", "features", "text"]
+__all__ = ["ORACLE", "QUERIES", "evaluation", "features", "inventory", "text"]

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wardline.functions.policy import DIMS, bucket_flags, dim_flags
-from wardline.operators import audit, augment, calibrate, metrics, scoring
+from wardline.operators import audit, augment, calibrate, metrics, sampling, scoring
 from wardline.operators.ranking import block_lists, rank_catalogue
 from wardline.plans import adapters as A
 from wardline.plans.registry import query
@@ -71,7 +71,6 @@ def metric_consistency(spark, sf_dir):
     return audit.exposure_faults(dim_metrics(spark, sf_dir, A.base_score), [*DIMS, "adult_hard"], "unsafe_any")
 
 
-COHORT = "u < 50"
 
 
 @query(
@@ -86,7 +85,7 @@ select cast(k as bigint) k, count(*) users, round(avg(hit), 6) hr, round(avg(ndc
 def sampled_1p99_metrics(spark, sf_dir):
     rows = A.split(spark, sf_dir)
     who = block_lists(A.users(spark, sf_dir).join(rows.select("u").distinct(), "u", "left_semi"), A.interactions(spark, sf_dir))
-    drawn = hashed_pool(who, A.items(spark, sf_dir).select("i"), 99)
+    drawn = sampling.negatives(who, A.items(spark, sf_dir), 99, 7)
     cand = drawn.select("u", "i", F.lit(0).alias("pos")).unionByName(rows.where("split = 'test'").select("u", "i", F.lit(1).alias("pos")))
     from pyspark.sql import Window
 
@@ -96,24 +95,6 @@ def sampled_1p99_metrics(spark, sf_dir):
     return r.groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("users"), F.round(F.avg("hit"), 6).alias("hr"), F.round(F.avg(gain), 6).alias("ndcg"))
 
 
-def hashed_pool(who, items, n, seed=7):
-    """n unseen items per user in md5 order, drawn block by block so that no pair is shuffled."""
-    import hashlib
-
-    def score(u, x):
-        tail = [b"|%d" % i for i in x["i"].tolist()]
-        out = np.empty((len(u["u"]), len(tail)))
-        for row, user in enumerate(u["u"].tolist()):
-            lead = hashlib.md5(b"%d|%d" % (seed, user))
-            for col, t in enumerate(tail):
-                h = lead.copy()
-                h.update(t)
-                out[row, col] = -int.from_bytes(h.digest()[:6], "big")
-        return out
-
-    return rank_catalogue(who, items, score, n)
-
-
 @query(
     f"""{A.PRELUDE}
 select u, i, round({A.sql_base("u", "i")}, 6) base, round({A.sql_aug("u", "i")}, 6) aug, round({A.sql_base("u", "i")} + 0.1::double * ({A.sql_aug("u", "i")} - {A.sql_base("u", "i")}), 6) fused from inter"""
@@ -157,13 +138,13 @@ def gate_threehead(spark, sf_dir):
 
 
 @query(
-    """with p as (select vec_id u, embedding e from embeddings where vec_id < 200), q as (select vec_id i, embedding e from embeddings)
+    """with p as (select vec_id u, embedding e from embeddings), q as (select vec_id i, embedding e from embeddings)
 select p.u, q.i, round(1 / (1 + exp(-(2.0 * list_sum(list_transform(list_zip(p.e, q.e), lambda z: cast(z[1] as double) * cast(z[2] as double))) + 0.1))), 5) score from p join q on q.i = (p.u * 7 + 3) % (select count(*) from q)"""
 )
 def gmf_dot(spark, sf_dir):
     v = A.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = v.agg(F.count("*").alias("n"))
-    p = v.where("vec_id < 200").select(F.col("vec_id").alias("u"), F.col("embedding").alias("p")).join(F.broadcast(n), F.lit(True)).withColumn("i", (F.col("u") * 7 + 3) % F.col("n"))
+    p = v.select(F.col("vec_id").alias("u"), F.col("embedding").alias("p")).join(F.broadcast(n), F.lit(True)).withColumn("i", (F.col("u") * 7 + 3) % F.col("n"))
     pairs = p.join(v.select(F.col("vec_id").alias("i"), F.col("embedding").alias("q")), "i")
     w = F.transform("p", lambda x: F.lit(2.0))
     return pairs.select("u", "i", F.round(scoring.gmf(F.col("p"), F.col("q"), w, 0.1), 5).alias("score"))

@@ -10,7 +10,6 @@ from wardline.functions.policy import DIMS
 from wardline.operators import augment, candidates, history, records, sampling, tolerance
 from wardline.operators.ranking import block_lists
 from wardline.plans import adapters as A
-from wardline.plans.evaluation import hashed_pool
 from wardline.plans.registry import query
 from wardline.streaming.incremental import event_windows
 
@@ -275,10 +274,9 @@ def mmr_quota_mix(spark, sf_dir):
 # ------------------------------------------------------------- sampling
 
 
-@query(f"{A.PRELUDE} select usr.u, item.i, row_number() over (partition by usr.u order by md5('7|' || usr.u || '|' || item.i), item.i) place from usr cross join item where usr.u < 50 and not exists (select 1 from inter s where s.u = usr.u and s.i = item.i) qualify place <= 99")
+@query(f"{A.PRELUDE} select usr.u, item.i, row_number() over (partition by usr.u order by md5('7|' || usr.u || '|' || item.i), item.i) place from usr cross join item where not exists (select 1 from inter s where s.u = usr.u and s.i = item.i) qualify place <= 99")
 def hash_negatives(spark, sf_dir):
-    """A stated set of users, as a negative pool is drawn for evaluation users."""
-    who = block_lists(A.users(spark, sf_dir).where("u < 50"), A.interactions(spark, sf_dir))
+    who = block_lists(A.users(spark, sf_dir), A.interactions(spark, sf_dir))
     return sampling.negatives(who, A.items(spark, sf_dir), 99, 7)
 
 
@@ -319,7 +317,7 @@ def generated_id_augment(spark, sf_dir):
 def hard_safety_pair(spark, sf_dir):
     """Per user one safe and one unsafe unseen item: the first of each among the 50 best by base + 0.5 * (p1 - base) of a hashed pool of 200."""
     who = block_lists(A.users(spark, sf_dir), A.interactions(spark, sf_dir))
-    pool = hashed_pool(who, A.items(spark, sf_dir).select("i"), 200, 9).join(A.users(spark, sf_dir), "u").join(A.items(spark, sf_dir), "i")
+    pool = sampling.negatives(who, A.items(spark, sf_dir), 200, 9).join(A.users(spark, sf_dir), "u").join(A.items(spark, sf_dir), "i")
     proxy = A.base_col() + 0.5 * (A.p1_col() - A.base_col())
     pool = pool.withColumns({"unsafe": policy.dim_flags(F.col("is_minor"), F.col("is_adult"))["unsafe_any"], "r": F.row_number().over(Window.partitionBy("u").orderBy(F.desc(proxy), "i"))})
     first = lambda flag: F.coalesce(F.min_by("i", F.when((F.col("unsafe") == flag) & (F.col("r") <= 50), F.col("r"))), F.min_by("i", F.when(F.col("unsafe") == flag, F.col("r"))))

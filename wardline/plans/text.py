@@ -25,14 +25,15 @@ def keyword_tags(spark, sf_dir):
     return A.read(spark, sf_dir, "documents").select("doc_id", F.array_join(retrieval.tags(F.col("text"), LEXICON), "|").alias("tags"))
 
 
-SQL_NEAR = "(select q.vec_id q, c.vec_id c, c.label, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double))) score from embeddings q cross join embeddings c where q.vec_id < 10 and c.vec_id >= 10)"
+SQL_NEAR = "(select q.vec_id q, c.vec_id c, c.label, round(list_dot_product(cast(q.embedding as double[]), cast(c.embedding as double[])), 9) score from embeddings q cross join embeddings c where q.vec_id % 20 = 0)"
 
 
 def near(spark, sf_dir, k):
+    """The vectors whose id is divisible by 20 as queries, against all vectors."""
     v = A.read(spark, sf_dir, "embeddings")
-    chunks = v.where("vec_id >= 10")
-    found = retrieval.nearest(v.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), chunks.select(F.col("vec_id").alias("c"), F.col("embedding").alias("cv")), k)
-    return found.join(chunks.select(F.col("vec_id").alias("c"), "label"), "c")
+    found = retrieval.nearest(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), v.select(F.col("vec_id").alias("c"), F.col("embedding").alias("cv")), k)
+    return found.join(v.select(F.col("vec_id").alias("c"), "label"), "c")
+
 
 
 @query(f"select q, c, round(score, 5) score, rank from (select *, row_number() over (partition by q order by score desc, c) rank from {SQL_NEAR}) where rank <= 20")
@@ -83,7 +84,7 @@ def rag_slot_select(spark, sf_dir):
 
 
 @query(
-    r"""with t as materialized (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_\-'']+') w from documents where doc_id % 20 = 0),
+    r"""with t as materialized (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_\-'']+') w from documents),
 g as (select doc_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(generate_series(1, len(w) - 1), lambda j: w[j] || '_' || w[j + 1]) else [] end)) term from t),
 tf as materialized (select doc_id, term, count(*) tf from g group by 1, 2), df as (select term, count(*) df from tf group by 1),
 x as materialized (select doc_id, term, (1 + ln(tf)) * (ln(((select count(*) from t) + 1) / (df + 1)) + 1) w from tf join df using (term)),
@@ -91,8 +92,7 @@ n as (select doc_id, sqrt(sum(w * w)) norm from x group by 1)
 select doc_id, count(*) terms, round(max(w / norm), 5) top, round(sum(w / norm), 4) mass from x join n using (doc_id) group by 1"""
 )
 def tfidf_weights(spark, sf_dir):
-    """The stated queries (doc_id divisible by 20) as a corpus of their own."""
-    rows = candidates.tfidf(A.read(spark, sf_dir, "documents").where("doc_id % 20 = 0"), "doc_id")
+    rows = candidates.tfidf(A.read(spark, sf_dir, "documents"), "doc_id")
     return rows.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 5).alias("top"), F.round(F.sum("w"), 4).alias("mass"))
 
 
@@ -103,12 +103,10 @@ def rule_signature_cache(spark, sf_dir):
     return records.memoised(rows, "signature", ["is_minor", "triggered"], records.template_rule(F.col("is_minor"), F.col("triggered"))).select("u", "signature", "rule")
 
 
-@query(r"select conv_id, turn, array_to_string(list_transform(l[1:6], lambda x: '- ' || x), chr(10)) rules from (select conv_id, turn, list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*([-*•]|\d+[.)])\s*', ''))), lambda x: x <> '' and not regexp_matches(x, 'tion|zz')), lambda x, i: true) l from conversations) where len(l) = len(list_distinct(l))")
+@query(r"select conv_id, turn, array_to_string(list_transform(l[1:6], lambda x: '- ' || x), chr(10)) rules from (select conv_id, turn, list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*([-*•]|\d+[.)])\s*', ''))), lambda x: x <> '' and not regexp_matches(x, 'tion|zz')), lambda x, i: true) a, list_filter(a, lambda x, i: list_position(a, x) = i) l from conversations)")
 def rule_clean(spark, sf_dir):
-    """Turns without a repeated line, as SQL cannot keep the first of each."""
-    rows = A.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))), lambda x: (x != "") & ~F.regexp_like(x, F.lit("tion|zz")))
-    return rows.where(F.size(lines) == F.size(F.array_distinct(lines))).select("conv_id", "turn", records.clean_rules(F.col("text"), "tion|zz").alias("rules"))
+    return A.read(spark, sf_dir, "conversations").select("conv_id", "turn", records.clean_rules(F.col("text"), "tion|zz").alias("rules"))
+
 
 
 FORBIDDEN = ["password", "Licensed under", "the and of"]

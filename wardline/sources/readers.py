@@ -59,7 +59,11 @@ def dat(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def negative_pool(spark: SparkSession, path: str) -> DataFrame:
-    """u, pos, place, i: the pool of each "(u,pos)" line (or of a line that opens with two ids); the positive is place 0."""
+    return pool_lines(spark.read.text(path))
+
+
+def pool_lines(lines: DataFrame) -> DataFrame:
+    """u, pos, place, i: the pool of each "(u,pos)" line (or of a line that opens with two ids); the positive is place 0. lines: value."""
     line = strip(F.col("value"))
     head = r"^\((\d+)\s*,\s*(\d+)\)"
     marked = F.regexp_like(line, F.lit(head))
@@ -67,7 +71,7 @@ def negative_pool(spark: SparkSession, path: str) -> DataFrame:
     u = F.when(marked, F.regexp_extract(line, head, 1)).otherwise(F.get(parts, F.lit(0)))
     pos = F.when(marked, F.regexp_extract(line, head, 2)).otherwise(F.get(parts, F.lit(1)))
     rest = F.when(marked, F.regexp_extract_all(F.regexp_replace(line, head, ""), F.lit(r"\d+"), F.lit(0))).otherwise(F.slice(parts, 3, 1_000_000))
-    rows = spark.read.text(path).select(to_int(u).alias("u"), to_int(pos).alias("pos"), rest.alias("rest")).where("u is not null and pos is not null")
+    rows = lines.select(to_int(u).alias("u"), to_int(pos).alias("pos"), rest.alias("rest")).where("u is not null and pos is not null")
     rows = rows.select("u", "pos", F.posexplode(F.concat(F.array(F.col("pos").cast("string")), "rest")).alias("place", "i"))
     return rows.select("u", "pos", F.col("place").cast("long").alias("place"), to_int(F.col("i")).alias("i")).where("i is not null")
 

@@ -20,9 +20,18 @@ def append_new(spark: SparkSession, source: str, schema: str, out: str, checkpoi
     query.awaitTermination()
 
 
-def event_windows(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """start, event_type, n, total per tumbling window; for streams late rows are dropped after the watermark."""
+def timed(events: DataFrame, late: str) -> DataFrame:
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
-    out = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rows.withWatermark("ts", late) if rows.isStreaming else rows
+
+
+def event_windows(events: DataFrame, late: str = "10 minutes", window: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """start, event_type, n, total per tumbling window, or per sliding one; for streams late rows are dropped after the watermark."""
+    out = timed(events, late).groupBy(F.window("ts", window, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def event_sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
+    """user_id, start, n, total per session: rows of a user less than gap apart."""
+    out = timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select("user_id", F.col("w.start").alias("start"), "n", "total")
