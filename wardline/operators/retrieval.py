@@ -165,5 +165,5 @@ def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def paragraphs(texts: DataFrame, key: str, marker: str, least: int = 4) -> DataFrame:
     """key, n, text: stretches that begin at a line end or a marker, trimmed; shorter ones than least go before they are numbered."""
     parts = F.split(F.regexp_replace("text", f"({marker})", "\n$1"), "\n")
-    kept = F.filter(F.transform(parts, F.trim), lambda x: F.length(x) >= least)
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= least)
     return texts.select(key, F.posexplode(kept).alias("n", "text")).withColumn("n", F.col("n").cast("long"))

@@ -201,9 +201,9 @@ def policy_queries(spark, sf_dir):
     return A.users(spark, sf_dir).select("u", records.hidden_query(F.col("is_minor"), triggered, PHRASES).alias("query"))
 
 
-@query(r"select doc_id, cast(n - 1 as bigint) n, l[n] text from (select doc_id, l, unnest(generate_series(1, len(l))) n from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(Article [0-9]+|[0-9]+\.[0-9]+ )', chr(10) || '\1', 'g'), chr(10)), lambda x: trim(x)), lambda x: length(x) >= 4) l from documents))")
+@query(r"select doc_id, cast(n - 1 as bigint) n, l[n] text from (select doc_id, l, unnest(generate_series(1, len(l))) n from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(Article [0-9]+|\b[0-9]+\.[0-9]+ )', chr(10) || '\1', 'g'), chr(10)), lambda x: trim(x)), lambda x: length(x) >= 4) l from documents))")
 def paragraph_split(spark, sf_dir):
-    return retrieval.paragraphs(A.read(spark, sf_dir, "documents"), "doc_id", r"Article [0-9]+|[0-9]+\.[0-9]+ ")
+    return retrieval.paragraphs(A.read(spark, sf_dir, "documents"), "doc_id", r"Article [0-9]+|\b[0-9]+\.[0-9]+ ")
 
 
 # ------------------------------------------------------------- scores and metrics
