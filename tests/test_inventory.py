@@ -1,5 +1,6 @@
 """Brute-force and contract tests of the draws, budgets, relevance, losses and the stage runner."""
 
+import hashlib
 import math
 import random
 
@@ -46,6 +47,20 @@ def test_sample_without_replacement(spark):
     assert sampling.sample_n(rows, "k", 99, 1).count() == sampling.sample_n(rows, "k", -1, 1).count() == 30
 
 
+def test_strata_are_cut_as_by_a_full_sort(spark, monkeypatch):
+    """Repeated rows, a missing stratum, null strata, sizes of nothing and of more than there is."""
+    monkeypatch.setattr(sampling, "LEAD", 1)  # so that cuts fall among many rows of equal digits
+    rows = [(k % 150, "ab"[k % 2]) for k in range(300)] + [(7, None)]
+    df = spark.createDataFrame(rows, "k long, s string")
+    order = lambda k: (hashlib.md5(f"5|{k}".encode()).hexdigest(), k)
+    for sizes in ({"a": 40, "b": 0}, {"a": 1, "b": 999, "c": 3}, {"a": 75, "b": 150}):
+        got = sorted((r["s"], r["k"]) for r in sampling.stratified(df, "k", "s", sizes, 5).collect())
+        assert got == sorted((s, k) for s, n in sizes.items() for k in sorted((k for k, x in rows if x == s), key=order)[:n])
+    parts = sampling.hash_split(df.select("k"), "k", 0.5, 5).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in parts} == {"calib": 150, "holdout": 151}
+    assert sampling.hash_split(df.limit(0), "k", 0.5, 5).count() == 0
+
+
 def test_shuffles_keep_the_history_whole(spark):
     rows = spark.createDataFrame([(1, i) for i in range(6)] + [(2, 9)], "u long, i long")
     got = sampling.shuffled_histories(rows, 4, 2).collect()

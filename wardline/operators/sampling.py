@@ -34,23 +34,47 @@ def negatives(users: DataFrame, items: DataFrame, n: int, seed: int) -> DataFram
     return drawn.select("u", "i", F.col("rank").cast("long").alias("place"))
 
 
+#: Leading hex digits of a draw whose counts come to the driver: at most 65,536 counts a stratum.
+LEAD = 4
+
+
+def marked(rows: DataFrame, stratum: str, sizes: dict, seed: int, *keys: str) -> DataFrame:
+    """rows with _in: whether a row is among the first sizes[stratum] of its stratum in hash order.
+
+    Counts by the draw's first digits say where each cut falls; only the rows that share the cut's digits are ranked, so no stratum is sorted in one task.
+    """
+    lead = F.substring(draw(seed, *keys), 1, LEAD)
+    counts = rows.where(F.col(stratum).isin(list(sizes))).groupBy(F.col(stratum).alias("s"), lead.alias("p")).agg(F.count("*").alias("n")).collect()
+    inside, edge = F.lit(False), F.lit(False)
+    left = F.lit(0).cast("long")
+    for value, want in sizes.items():
+        at, rest = None, max(0, want)
+        for r in sorted((r for r in counts if r["s"] == value), key=lambda r: r["p"]):
+            if r["n"] > rest:
+                at = r["p"]
+                break
+            rest -= r["n"]
+        own = F.col(stratum) == F.lit(value)
+        inside = inside | (own & (F.lit(True) if at is None else F.col("_p") < at))
+        if at is not None and rest:
+            edge = edge | (own & (F.col("_p") == at))
+            left = F.when(own, F.lit(rest).cast("long")).otherwise(left)
+    full = rows.withColumn("_p", lead).withColumn("_e", F.coalesce(edge, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, *keys), *keys))
+    plain = full.where(~F.col("_e")).withColumn("_in", F.coalesce(inside, F.lit(False)))
+    return plain.unionByName(full.where("_e").withColumn("_in", place <= left)).drop("_p", "_e")
+
+
 def stratified(rows: DataFrame, key: str, stratum: str, sizes: dict, seed: int) -> DataFrame:
-    """The first sizes[stratum] rows of each stratum in hash order."""
-    w = Window.partitionBy(stratum).orderBy(draw(seed, key), key)
-    want = F.lit(0)
-    for value, n in sizes.items():
-        want = F.when(F.col(stratum) == F.lit(value), n).otherwise(want)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= want).drop("_n")
+    """The first sizes[stratum] rows of each stratum in hash order; other strata go."""
+    return marked(rows, stratum, sizes, seed, key).where("_in").drop("_in")
 
 
 def hash_split(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """rows with part: calib for the first half-even round(share * n) in hash order, holdout after."""
-    n = rows.count()
-    cut = round(share * n)
-    edge = rows.select(draw(seed, key).alias("_d")).orderBy("_d").offset(max(cut - 1, 0)).limit(1)
-    if not cut:
-        return rows.withColumn("part", F.lit("holdout"))
-    return rows.withColumn("_d", draw(seed, key)).join(F.broadcast(edge.select(F.col("_d").alias("_e"))), F.lit(True)).withColumn("part", F.when(F.col("_d") <= F.col("_e"), "calib").otherwise("holdout")).drop("_d", "_e")
+    one = rows.withColumn("_s", F.lit(0))
+    out = marked(one, "_s", {0: round(share * rows.count())}, seed, key)
+    return out.withColumn("part", F.when(F.col("_in"), "calib").otherwise("holdout")).drop("_s", "_in")
 
 
 def balanced(rows: DataFrame, positives: int, negatives_: int, seed: int, mix=(0.4, 0.4, 0.2)) -> DataFrame:
@@ -70,11 +94,7 @@ def balanced(rows: DataFrame, positives: int, negatives_: int, seed: int, mix=(0
         take[j] += more
         short -= more
     sizes = {"like_safe": min(positives, have.get("like_safe", 0)), **dict(zip(names, take, strict=True))}
-    w = Window.partitionBy("quadrant").orderBy(draw(seed, "u", "i"), "u", "i")
-    limit = F.lit(0)
-    for name, n in sizes.items():
-        limit = F.when(F.col("quadrant") == name, n).otherwise(limit)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    return marked(rows, "quadrant", sizes, seed, "u", "i").where("_in").drop("_in")
 
 
 def trial_negatives(rows: DataFrame, n_items: DataFrame, per: int, trials: int, seed: int) -> DataFrame:
@@ -97,7 +117,7 @@ def shuffled(rows: DataFrame, key: str, value: str, seed: int) -> DataFrame:
 
 def sample_n(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement in hash order; all of them for a negative n."""
-    return rows if n < 0 else rows.orderBy(draw(seed, key), key).limit(n)
+    return rows if n < 0 else stratified(rows.withColumn("_s", F.lit(0)), key, "_s", {0: n}, seed).drop("_s")
 
 
 def shuffled_histories(history: DataFrame, repeats: int, seed: int) -> DataFrame:
