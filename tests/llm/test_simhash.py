@@ -89,3 +89,17 @@ def test_keep_first_keeps_one_row_of_each_group(spark):
     out = simhash.keep_first(docs)
     assert out.columns == docs.columns
     assert sorted(x.doc_id for x in out.collect()) == [2, 4, 7]
+
+
+def test_a_shared_or_missing_doc_id_links_nothing(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d, e = (" ".join(r.choice(words) for _ in range(200)) for _ in range(5))
+    # two unrelated texts without doc_id, one of them repeated and with a copy under 3; two unrelated texts under 5
+    docs = frame(spark, [a, b, b, b, c, d, e], [None, None, None, 3, 5, 5, 6])
+    assert sorted((x.doc_id or -1, x.text) for x in simhash.keep_first(docs).collect()) == sorted([(-1, a), (-1, b), (5, c), (5, d), (6, e)])
+    rows = simhash.simhash_groups(docs).collect()
+    groups = {}
+    for x in rows:
+        groups.setdefault(x.component_fp, []).append((x.doc_id or -1, x.component_id or -1))
+    assert sorted(sorted(g) for g in groups.values()) == [[(-1, -1)], [(-1, -1), (-1, -1), (3, -1)], [(5, 5)], [(5, 5)], [(6, 6)]]

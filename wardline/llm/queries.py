@@ -66,7 +66,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_groups(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    digits = lambda name: F.lower(F.lpad(F.hex(name), 16, "0"))
+    return rows.select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("component_fp").alias("component_fingerprint"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

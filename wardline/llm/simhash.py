@@ -13,7 +13,9 @@ with the square of a group. Components are contracted in tables.
 
 Defined results: null or wordless text has fingerprint zero and links like any
 other; repeated rows share their fingerprint; a null doc_id counts as the
-smallest long and a component led by it has component_id null; an empty table
+smallest long and a component led by it has component_id null. A component is
+named by its smallest doc_id, which null or repeated doc_ids may make the name
+of several; its smallest fingerprint, component_fp, is its own. An empty table
 gives an empty result.
 """
 
@@ -29,7 +31,7 @@ from wardline.llm.common import NULL_KEY, arrow, keyed, partitions, settle, text
 from wardline.llm.components import components
 
 BITS = 64
-PRINTS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("h", pa.int32()), ("fp", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: A bucket above this is split by masks before its pairs are compared.
 SPLIT = 2048
@@ -105,16 +107,16 @@ def link(batches, radius: int):
     """Rows sorted by table and key: a spanning forest of the links inside each bucket."""
     rest = None
     for batch in _ended(batches):
-        t, key, fp, rep = (batch[c].to_numpy() for c in ("t", "key", "fp", "rep"))
+        t, key, fp = (batch[c].to_numpy() for c in ("t", "key", "fp"))
         if rest is not None:
-            t, key, fp, rep = (np.concatenate(x) for x in zip(rest, (t, key, fp, rep), strict=True))
+            t, key, fp = (np.concatenate(x) for x in zip(rest, (t, key, fp), strict=True))
             rest = None
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
         if batch.num_rows:  # the last bucket may go on
             cut = np.flatnonzero(new)[-1]
-            rest = t[cut:], key[cut:], fp[cut:], rep[cut:]
-            t, fp, rep, new = t[:cut], fp[:cut], rep[:cut], new[:cut]
+            rest = t[cut:], key[cut:], fp[cut:]
+            t, fp, new = t[:cut], fp[:cut], new[:cut]
         if not len(t):
             continue
         fp = fp.view(np.uint64)
@@ -131,7 +133,7 @@ def link(batches, radius: int):
             link_large(fp, radius, label, np.arange(first[g], first[g] + size[g]), 1)
         other = np.flatnonzero(label != np.arange(len(t)))
         if len(other):
-            yield arrow(EDGES, rep[label[other]], rep[other])
+            yield arrow(EDGES, fp.view(np.int64)[label[other]], fp.view(np.int64)[other])
 
 
 def _ended(batches):
@@ -144,33 +146,40 @@ def _ended(batches):
         yield last.slice(0, 0)
 
 
-def grouped(docs: DataFrame, size: int, radius: int) -> DataFrame:
-    """doc_id, k, h, fp, component of every row of docs."""
+def grouped(docs: DataFrame, size: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, k, h, fp of every row of docs, and fp, component (its smallest fp) of every fingerprint.
+
+    Fingerprints are the nodes: rows that only share a doc_id, or have none, are not linked by it.
+    """
     spark = docs.sparkSession
-    own = settle(keyed(docs).mapInArrow(lambda it: prints(it, size), "doc_id long, k long, h int, fp long"))
-    nodes = own.groupBy("fp").agg(F.min("k").alias("rep"))
+    rows = keyed(docs).withColumn("h", F.xxhash64("text"))
+    own = settle(rows.mapInArrow(lambda it: prints(it, size), "doc_id long, k long, h long, fp long"))
+    nodes = own.select("fp").distinct()
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks(radius))])
-    dealt = nodes.select("fp", "rep", F.explode(keys).alias("x")).select("x.t", "x.key", "fp", "rep")
+    dealt = nodes.select("fp", F.explode(keys).alias("x")).select("x.t", "x.key", "fp")
     dealt = dealt.repartition(partitions(spark), "t", "key").sortWithinPartitions("t", "key", "fp")
     edges = dealt.mapInArrow(lambda it: link(it, radius), "u long, v long")
     found = components(edges)
-    group = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return own.join(group, "fp")
+    return own, nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp (signed long), component_id: documents linked through fingerprints within radius bits."""
-    rows = grouped(docs, size, radius)
-    return rows.select("doc_id", "fp", F.when(F.col("component") != NULL_KEY, F.col("component")).alias("component_id"))
+    """doc_id, fp (signed long), component_id, component_fp: documents linked through fingerprints within radius bits."""
+    own, group = grouped(docs, size, radius)
+    group = settle(own.groupBy("fp").agg(F.min("k").alias("k")).join(group, "fp"))
+    lead = settle(group.groupBy("component").agg(F.min("k").alias("lead")))
+    rows = own.drop("k").join(group.join(lead, "component").select("fp", "component", "lead"), "fp")
+    return rows.select("doc_id", "fp", F.when(F.col("lead") != NULL_KEY, F.col("lead")).alias("component_id"), F.col("component").alias("component_fp"))
 
 
 def keep_first(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs that lead their group (its smallest doc_id, of repeated rows one), unchanged."""
-    rows = grouped(docs, size, radius).where("k = component")
-    lead = rows.groupBy("k", "h").count().groupBy("k").agg(F.min(F.struct("h", "count")).alias("x"))
-    lead = settle(lead.select(F.col("k").alias("_k"), F.col("x.h").alias("_h"), F.col("x.count").alias("_n")))
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)) == lead["_k"]) & (F.hash(docs["text"].cast("string")) == lead["_h"])
+    """The rows of docs that lead their group (its smallest doc_id, then text hash; of repeated rows one), unchanged."""
+    own, group = grouped(docs, size, radius)
+    first = own.groupBy("fp", "k", "h").count().groupBy("fp").agg(F.min(F.struct("k", "h", "count")).alias("x"))
+    lead = first.join(group, "fp").groupBy("component").agg(F.min("x").alias("x"))
+    lead = settle(lead.select(F.col("x.k").alias("_k"), F.col("x.h").alias("_h"), F.col("x.count").alias("_n")))
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)) == lead["_k"]) & (F.xxhash64(docs["text"].cast("string")) == lead["_h"])
     kept = docs.join(lead, key)
     if lead.where("_n > 1").limit(1).count():
-        kept = kept.where("_n = 1").union(kept.where("_n > 1").dropDuplicates(["_k"]))
+        kept = kept.where("_n = 1").union(kept.where("_n > 1").dropDuplicates(["_k", "_h"]))
     return kept.select(*docs.columns)
