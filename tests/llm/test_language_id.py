@@ -46,3 +46,21 @@ def test_filter_keeps_rows_as_they_are(spark):
     assert sorted(kept.collect()) == sorted(docs.where("doc_id < 90").collect())
     assert identify(frame(spark, [])).collect() == []
     assert identify(frame(spark, ["a"], [None])).collect()[0].held_out is False
+
+
+def test_unseen_languages_and_noise_are_rejected_at_any_length(spark):
+    r = random.Random(4)
+    rows = {x.doc_id: (x.text, x.lang) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    texts, labels = map(list, zip(*rows.values(), strict=True))
+    n = len(texts)
+    left = [i for i in range(n) if labels[i] == "de"]  # a Latin-script language that training never sees
+    seen = [i for i in range(n) if labels[i] != "de"]
+    letters = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(r.randint(3, 400))) for _ in range(100)]
+    base64 = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(r.randint(30, 3000))) for _ in range(100)]
+    short = [" ".join(texts[i].split()[:k]) for k in (2, 3, 5) for i in seen]
+    docs = frame(spark, [*texts, *letters, *base64, *short], langs={i: labels[i] for i in seen})
+    gone = {x.doc_id: x.rejected for x in identify(docs).collect()}
+    share = lambda ids: sum(gone[i] for i in ids) / len(ids)
+    assert share(left) > 0.95
+    assert share(range(n, n + 100)) > 0.95 and share(range(n + 100, n + 200)) > 0.95
+    assert share(seen) < 0.005 and share(range(n + 200, n + 200 + len(short))) < 0.01

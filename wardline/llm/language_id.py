@@ -5,7 +5,12 @@ word breaks) are weighted by log counts and inverse document frequency and
 normalised. Each language's training vectors are clustered (spherical k-means,
 farthest-point start) to ``clusters`` centroids; a text takes the language of
 the centroid of largest cosine. It is *rejected* where that cosine is below
-a quarter of the language's lowest training cosines (their 0.5 % quantile).
+the language's floor for texts of as many distinct grams. Floors come from
+random stretches of every length of the training texts, held against centroids
+of the other half of the texts: they lie between the stretches' lowest cosines
+(0.5 % quantile) and what stretches reach with all centroids but those of their
+own language, at a third to two thirds of the former, so that short clean texts
+stay.
 
 Training reads a bounded sample, at most about ``per_language`` labelled rows
 of each language, chosen by a hash of doc_id; the frequencies belong to the
@@ -28,6 +33,9 @@ from wardline.llm.common import LOWER, arrow, blocks, keyed, raw, text_column
 
 CODES = 1 << 13
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cosine", pa.float64()), ("rejected", pa.bool_())])
+#: Characters of the stretches that floors are learned from, and how many values size_of() has, rounded down.
+STRETCHES = (3, 6, 12, 25, 50, 100, 200, 400, 800, 1600, 3200)
+SIZES = CODES.bit_length()
 LETTERS = LOWER.copy()
 LETTERS[:65] = LETTERS[91:97] = LETTERS[123:128] = 32
 
@@ -82,6 +90,49 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def floors(texts: list[list[str]], x: list[np.ndarray], idf: np.ndarray, clusters: int, each: int = 150) -> np.ndarray:
+    """languages x SIZES: the floor at size_of() b + 0.5, from each language's texts and their vectors x."""
+    rng = np.random.default_rng(23)
+    half = [[own[p::2] if len(own) > 1 else own for p in (0, 1)] for own in x]
+    size, best, other, lang = [], [], [], []
+    for p in (0, 1):
+        c = [cluster(h[1 - p], clusters) for h in half]
+        owner, c = np.repeat(np.arange(len(c)), list(map(len, c))), np.concatenate(c)
+        for i, own in enumerate(texts):
+            own = own[p::2] if len(own) > 1 else own
+            cut = []
+            for n in STRETCHES:
+                for j in rng.integers(len(own), size=each):
+                    at = rng.integers(max(1, len(own[j]) - n + 1))
+                    cut.append(own[j][at : at + n])
+            for v in [half[i][p], *(v for *_, v in vectors(pa.array(cut, pa.large_string()), idf))]:
+                to = v @ c.T
+                size.append(size_of(v))
+                best.append(to.max(1))
+                other.append(to[:, owner != i].max(1, initial=0))
+                lang.append(np.full(len(v), i))
+    size, best, other, lang = (np.concatenate(a) for a in (size, best, other, lang))
+    at = size.astype(int)
+    found = np.full((2, len(x), SIZES), np.nan)
+    for i in range(len(x)):
+        for b in range(SIZES):
+            if (here := (lang == i) & (at == b)).sum() >= 40:
+                found[:, i, b] = np.quantile(best[here], 0.005), np.quantile(other[here], 0.95)
+    low, unseen = found
+    rest = np.flatnonzero(~np.isnan(low).all(0))
+    unseen[:, rest] = np.nanmedian(unseen[:, rest], 0)  # a label given wrongly here and there puts a language among the others
+    floor = (low + 2 * np.minimum(unseen, low / 2)) / 3
+    for row in floor:
+        have = np.flatnonzero(~np.isnan(row))
+        row[:] = np.interp(np.arange(SIZES), have, row[have]) if len(have) else 0
+    return floor
+
+
+def size_of(v: np.ndarray) -> np.ndarray:
+    """Of vectors, the binary logarithm of 1 + their distinct grams."""
+    return np.log2(1 + (v > 0).sum(1))
+
+
 def sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
     """About bound rows of each label at most, by a hash of doc_id; a label's rows are counted first."""
     n = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
@@ -106,20 +157,17 @@ def train(docs: DataFrame, per_language: int, clusters: int) -> dict:
         df += (counts(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) > 0).sum(0)
     idf = np.log((1 + len(langs)) / (1 + df)) + 1
     x = np.concatenate([v for *_, v in vectors(texts, idf)])
-    centroids, owner, floor = [], [], []
-    for i, name in enumerate(names):
-        own = x[[a == name for a in langs]]
-        c = cluster(own, clusters)
-        centroids.append(c)
-        owner += [i] * len(c)
-        floor.append(float(np.quantile((own @ c.T).max(1), 0.005)) / 4)
-    return {"names": names, "idf": idf, "centroids": np.concatenate(centroids), "owner": np.array(owner), "floor": np.array(floor)}
+    rows = [[j for j, a in enumerate(langs) if a == name] for name in names]
+    centroids = [cluster(x[own], clusters) for own in rows]
+    owner = np.repeat(np.arange(len(names)), list(map(len, centroids)))
+    floor = floors([[texts[j].as_py() for j in own] for own in rows], [x[own] for own in rows], idf, clusters)
+    return {"names": names, "idf": idf, "centroids": np.concatenate(centroids), "owner": owner, "floor": floor}
 
 
 def judge(batches, model: dict):
     for batch in batches:
         texts, n = text_column(batch["text"]), batch.num_rows
-        names, pred, score, cosine = model["names"], np.zeros(n, int), np.zeros(n), np.zeros(n)
+        names, pred, score, cosine, floor = model["names"], np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros(n)
         if names:
             for a, z, x in vectors(texts, model["idf"]):
                 to = x @ model["centroids"].T
@@ -127,8 +175,11 @@ def judge(batches, model: dict):
                 pred[a:z], cosine[a:z] = best.argmax(1), np.clip(best.max(1), 0, 1)
                 e = np.exp((best - best.max(1, keepdims=True)) / 0.05)
                 score[a:z] = 1 / e.sum(1)
+                size = size_of(x)
+                for i in np.unique(pred[a:z]):
+                    floor[a:z] = np.where(pred[a:z] == i, np.interp(size, np.arange(SIZES) + 0.5, model["floor"][i]), floor[a:z])
         lettered = np.array([bool(names) and any(map(str.isalpha, t.as_py())) for t in texts], bool)
-        rejected = ~lettered | (cosine < model["floor"][pred] if names else True)
+        rejected = ~lettered | (cosine < floor if names else True)
         label = [names[p] if ok else "und" for p, ok in zip(pred, lettered, strict=True)]
         yield arrow(OUT, batch["doc_id"], label, np.where(lettered, score, 0.0), np.where(lettered, cosine, 0.0), rejected, *())
 
