@@ -72,3 +72,26 @@ def test_filter_and_empty_tables(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in truth}
     assert dc.contaminated(frame(spark, []), bench(spark, items)).collect() == []
     assert dc.contaminated(docs, bench(spark, [])).collect() == []
+
+
+def test_items_of_ten_to_twelve_tokens_survive_any_two_substitutions(spark):
+    from itertools import combinations
+
+    items = [" ".join(f"t{n}x{i}" for i in range(n)) for n in (10, 11, 12, 13)]
+    texts, truth = [], set()
+    for j, item in enumerate(items):
+        for gone in combinations(range(10 + j), 2):
+            truth.add((len(texts), str(j)))
+            texts.append("before " + " ".join("other" if i in gone else w for i, w in enumerate(item.split())) + " after")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(frame(spark, texts), bench(spark, items)).collect()}
+    assert got == truth == brute(texts, items)
+
+
+def test_unspaced_scripts_are_found_by_characters(spark):
+    r = random.Random(2)
+    draw = lambda n, a, z: "".join(chr(r.randint(a, z)) for _ in range(n))
+    items = [draw(20, 0x4E00, 0x9FFF), draw(25, 0x3041, 0x3090), draw(30, 0x4E00, 0x9FFF)]
+    split = items[2][:12] + "、" + items[2][12:] + "。"
+    texts = [draw(50, 0x4E00, 0x9FFF) + items[0] + draw(9, 0x4E00, 0x9FFF), "abc" + items[1] + "def", items[0][:9] + "x" + items[0][10:], split, draw(80, 0x4E00, 0x9FFF)]
+    got = {(x.doc_id, x.item_id) for x in dc.contaminated(frame(spark, texts), bench(spark, items)).collect()}
+    assert got == {(0, "0"), (1, "1"), (2, "0"), (3, "2")}

@@ -1,12 +1,17 @@
 """Operator 9, benchmark decontamination by spaced seeds; DataFrame operations only.
 
 Texts and benchmark items are lower-cased and split into runs of letters and
-digits (ASCII marks and white space separate). Each fixed mask reads six of
+digits (ASCII marks and white space separate); of scripts written without
+blanks (Chinese, Japanese, Thai and others) each character is a token, and
+their marks separate. Each fixed mask reads six of
 some ten consecutive tokens and ignores the others, so a seed survives
 substitutions at the ignored places. The seeds of every position of every text
 meet the items' seeds; each hit fixes an alignment, and is confirmed if some
 stretch of ``min_tokens`` aligned tokens around it (the whole item if shorter)
-agrees in ``min_share`` of its places.
+agrees in ``min_share`` of its places. The masks can all miss an item of 10 to
+12 tokens with two substitutions; such items also have three seeds of three
+consecutive tokens each, of which two substitutions leave one whole. Only where
+there are such items do texts have these seeds.
 
 The items' seeds are broadcast if their count is at most BROADCAST_SEEDS, and
 then scan, seeding, lookup and verification are one stage without a shuffle.
@@ -28,21 +33,31 @@ from wardline.llm.common import keyed
 #: Fixed masks: the token places that a seed reads.
 MASKS = ((0, 1, 3, 6, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 4, 5, 7, 8))
 SPAN = 10
+#: The mask of items of SPAN to SURE - 1 tokens, and where they are read.
+SHORT, SHORT_AT = (0, 1, 2), (0, 3, 6)
+SURE = 13
 BROADCAST_SEEDS = 2_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Characters of scripts written without blanks, and their marks.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+UNSPACED_MARKS = r"\u3000-\u303F\u30FB\uFF01-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65"
 
 
 def tokens(text):
-    return F.split(F.lower(text), SEPARATORS)
+    apart = F.trim(F.regexp_replace(F.regexp_replace(text, f"[{UNSPACED_MARKS}]", " "), f"([{UNSPACED}])", " $1 "))
+    return F.split(F.lower(F.when(text.rlike(f"[{UNSPACED}{UNSPACED_MARKS}]"), apart).otherwise(text)), SEPARATORS)
 
 
-def seeds(rows: DataFrame, at: str) -> DataFrame:
-    """One row per position and mask of rows' ``words``: columns at (0-based position) and seed."""
-    size = F.size("words")
-    places = F.when(size >= SPAN, F.sequence(F.lit(0), size - SPAN))
-    rows = rows.withColumn(at, F.explode(places))
-    each = [F.xxhash64(F.lit(m), *[F.col("words")[F.col(at) + i] for i in mask]) for m, mask in enumerate(MASKS)]
-    return rows.withColumn("seed", F.explode(F.array(*each)))
+def seed_of(m: int, mask: tuple, at: str):
+    return F.xxhash64(F.lit(m), *[F.get("words", F.col(at) + i) for i in mask])
+
+
+def seeds(rows: DataFrame, at: str, short: bool = False) -> DataFrame:
+    """One row per position and mask (the short one too, if asked for) of rows' ``words``: columns at (0-based position) and seed."""
+    size, masks, span = F.size("words"), (*MASKS, SHORT) if short else MASKS, len(SHORT) if short else SPAN
+    places = F.when(size >= SPAN, F.sequence(F.lit(0), size - span))
+    # beyond the end a mask of SPAN reads nulls: such a seed is confirmed or not, like any other
+    return rows.withColumn(at, F.explode(places)).withColumn("seed", F.explode(F.array(*[seed_of(m, mask, at) for m, mask in enumerate(masks)])))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -51,15 +66,20 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, min_share: float = 0.8) -> DataFrame:
     """k, h, doc_id, item_id, matched (most equal tokens in a stretch), first (token where the earliest confirmed alignment begins)."""
-    keys = seeds(items(benchmark), "q").select("seed", "q", "item_id", F.col("words").alias("item"))
+    listed = items(benchmark)
+    few = listed.where(F.size("words").between(SPAN, SURE - 1))
+    keys, short = seeds(listed, "q"), bool(few.limit(1).count())
+    if short:
+        keys = keys.union(few.withColumn("q", F.explode(F.array(*map(F.lit, SHORT_AT)))).withColumn("seed", seed_of(len(MASKS), SHORT, "q")))
+    keys = keys.select("seed", "q", "item_id", F.col("words").alias("item"))
     texts = keyed(docs).select("doc_id", "k", "h", tokens(F.col("text")).alias("words"))
     start = (F.col("p") - F.col("q")).alias("start")
     aligned = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item")).alias("part")
     if keys.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         # one generated loop: only confirmed candidates' few words leave it, never the whole array per position
-        hits = seeds(texts, "p").join(F.broadcast(keys), "seed").select("k", "h", "doc_id", "item_id", "item", start, aligned).distinct()
+        hits = seeds(texts, "p", short).join(F.broadcast(keys), "seed").select("k", "h", "doc_id", "item_id", "item", start, aligned).distinct()
     else:
-        found = seeds(texts, "p").select("k", "h", "p", "seed").join(keys, "seed").select("k", "h", "item_id", "item", start).distinct()
+        found = seeds(texts, "p", short).select("k", "h", "p", "seed").join(keys, "seed").select("k", "h", "item_id", "item", start).distinct()
         hits = found.withColumns({"p": F.col("start"), "q": F.lit(0)}).join(texts, ["k", "h"]).select("k", "h", "doc_id", "item_id", "item", "start", aligned).distinct()
     wide = F.least(F.size("item"), F.lit(min_tokens))
     skip = F.greatest(F.lit(0), -F.col("start"))
