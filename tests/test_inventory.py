@@ -28,6 +28,12 @@ def test_budget_equals_brute_force(spark):
     assert {r["k"]: list(r["p"]) for r in rows} == {k: cut(p, 500) for k, p in enumerate(lists)}
 
 
+def test_budget_holds_for_a_million_parts(spark):
+    long = F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.lpad(i.cast("string"), 20, "0"))
+    got = spark.range(1).select(long.alias("p")).select(records.within_budget(F.col("p"), 500).alias("p")).first()["p"]
+    assert list(got) == cut([f"{i:020}" for i in range(1, 1_000_001)], 500)
+
+
 def test_budgeted_history_keeps_the_latest_turns(spark):
     got = inventory.budgeted_history(spark, SMALL).collect()
     assert all(r["n_kept"] <= r["n_turns"] and len(r["text"]) <= 2000 + r["n_kept"] for r in got)

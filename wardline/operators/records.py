@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +97,15 @@ def pair_prompt(minor: Column, lines: Column, title: Column, genres: Column) ->
     return F.concat(F.lit("Audience: "), audience, F.lit("\nHistory:\n"), F.coalesce(lines, F.lit("none")), F.lit("\nCandidate: "), title, F.lit(" ["), F.array_join(genres, ", "), F.lit("]"))
 
 
-def within_budget(parts: Column, budget: int, rounds: int = 64) -> Column:
+def within_budget(parts: Column, budget: int) -> Column:
     """The array without its oldest size // 8 + 1 parts, time and again, until its characters fit the budget (or nothing is left).
 
-    64 rounds empty any array of up to 30,000 parts.
+    A cut leaves less than 7/8 of the parts, so the rounds that empty the array follow from its size.
     """
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
     cut = lambda a: F.slice(a, F.floor(F.size(a) / 8).cast("int") + 2, F.greatest(F.size(a), F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), parts, lambda a, _: F.when(total(a) > budget, cut(a)).otherwise(a))
+    rounds = F.floor(F.ln(F.size(parts) + 1) / math.log(8 / 7)).cast("int") + 2
+    return F.aggregate(F.sequence(F.lit(1), rounds), parts, lambda a, _: F.when(total(a) > budget, cut(a)).otherwise(a))
 
 
 def hidden_query(minor: Column, triggered: Column, terms: dict[str, str]) -> Column:
