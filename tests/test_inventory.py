@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import candidates, history, records, retrieval, sampling, scoring
+from wardline.operators import audit, candidates, history, records, retrieval, sampling, scoring
 from wardline.operators.ranking import block_lists
 from wardline.plans import inventory, runner
 from wardline.streaming import incremental
@@ -138,3 +138,20 @@ def test_sessions_run_as_a_stream(spark, tmp_path):
     q.awaitTermination()
     done, whole = spark.read.parquet(str(tmp_path / "out")), incremental.event_sessions(spark.read.parquet(str(tmp_path / "in")))
     assert 0 < done.count() <= whole.count() and done.exceptAll(whole.select(done.columns)).count() == 0
+
+
+def test_pool_leaks_counts_own_negatives_and_wrong_heads(spark):
+    split = spark.createDataFrame([(u, i, s, t) for u in (1, 2, 3, 4) for i, s, t in ((10, "train", 1), (20, "valid", 2), (30, "test", 3))], "u long, i long, split string, ts long")
+    pool = lambda rows: spark.createDataFrame([(u, p, k, i) for u, p, negs in rows for k, i in enumerate([p, *negs])], "u long, pos long, place long, i long")
+    # user 1 has own test and train items as valid negatives, 2 another head, 3 no valid pool; user 4 a test negative of valid
+    valid, test = pool([(1, 20, [30, 10, 5]), (2, 21, [6]), (4, 20, [7])]), pool([(u, 30, [20 if u == 4 else 8]) for u in (1, 2, 3, 4)])
+    got = {r["check"]: r["n"] for r in audit.pool_leaks(split, {"valid": valid, "test": test}).collect()}
+    assert got == {"valid_negative_leak": 1, "valid_head_mismatch": 2, "test_negative_leak": 1, "test_head_mismatch": 0}
+
+
+def test_strict_balance_takes_the_smallest_quadrant_of_each(spark):
+    have = {"like_safe": 30, "like_unsafe": 4, "dislike_safe": 11, "dislike_unsafe": 9}
+    rows = spark.createDataFrame([(u, n, q) for n, (q, k) in enumerate(have.items()) for u in range(k)], "u long, i long, quadrant string")
+    got = [r["quadrant"] for r in sampling.strictly_balanced(rows, 3).collect()]
+    assert {q: got.count(q) for q in have} == dict.fromkeys(have, 4) and len(got) == 16
+    assert sampling.strictly_balanced(rows.where("quadrant != 'like_unsafe'"), 3).count() == 0

@@ -20,6 +20,23 @@ def split_leaks(split: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def pool_leaks(split: DataFrame, pools: dict[str, DataFrame]) -> DataFrame:
+    """check, n: users whose negatives hold own interactions of any split, and users whose pool heads are not their positives (should all be 0).
+
+    pools: by split, the u, pos, place, i of the pool reader. A positive without a pool counts as a mismatch.
+    """
+    own = split.select("u", "i").distinct()
+    out = []
+    for name, pool in pools.items():
+        hit = pool.where("place > 0").join(own, ["u", "i"], "left_semi")
+        out.append(hit.agg(F.lit(f"{name}_negative_leak").alias("check"), F.count_distinct("u").alias("n")))
+        heads = pool.select("u", F.col("pos").alias("i")).distinct()
+        want = split.where(F.col("split") == name).select("u", "i").distinct()
+        odd = heads.join(want, ["u", "i"], "left_anti").union(want.join(heads, ["u", "i"], "left_anti"))
+        out.append(odd.agg(F.lit(f"{name}_head_mismatch").alias("check"), F.count_distinct("u").alias("n")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, and how often."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -97,6 +97,14 @@ def balanced(rows: DataFrame, positives: int, negatives_: int, seed: int, mix=(0
     return marked(rows, "quadrant", sizes, seed, "u", "i").where("_in").drop("_in")
 
 
+def strictly_balanced(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows (u, i, quadrant), of each of the four quadrants as many as the smallest has (none where one is absent)."""
+    have = {r["quadrant"]: r["count"] for r in rows.groupBy("quadrant").count().collect()}
+    names = ("like_safe", "like_unsafe", "dislike_safe", "dislike_unsafe")
+    sizes = dict.fromkeys(names, min(have.get(n, 0) for n in names))
+    return marked(rows, "quadrant", sizes, seed, "u", "i").where("_in").drop("_in")
+
+
 def trial_negatives(rows: DataFrame, n_items: DataFrame, per: int, trials: int, seed: int) -> DataFrame:
     """rows with j (0 to per - 1) and neg: the first of ``trials`` hashed draws from 0..n-1 outside ``block``; null when all are blocked.
 
