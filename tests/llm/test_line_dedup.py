@@ -60,3 +60,37 @@ def test_rows_keep_their_columns(spark):
     out = line_dedup_rows(docs)
     assert out.schema.names == docs.schema.names
     assert {r.doc_id: r.text for r in out.collect()} == {0: None, 1: "", **{i + 2: f"own {i}" for i in range(5)}, 7: f"{line}\nown 5"}
+
+
+def test_a_hot_line_and_clashing_names(spark):
+    """A line of every document spreads over copies of its shard; other columns, whatever their names, stay."""
+    from wardline.llm.line_dedup import line_dedup_rows
+
+    line = "0123456789" * 4
+    docs = spark.range(3000).selectExpr("id as doc_id", f"concat('{line}\n', 'only of document ', repeat(cast(id as string), 20)) as text", "id as lost", "id as _lost", "id as k", "id as _k", "id as row", "id as kept")
+    out = line_dedup_rows(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == 3000 and {(r["lost"], r["_lost"], r["k"], r["_k"], r["row"], r["kept"]) for r in rows} == {(i,) * 6 for i in range(3000)}
+    assert {r.doc_id for r in rows if line in r.text} == {2999}
+
+
+def test_counts_decide():
+    import pyarrow as pa
+
+    from wardline.llm.line_dedup import Shard, shard_arrays
+
+    r = np.random.default_rng(2)
+    a, b = r.integers(-(2**63), 2**63, (2, 1000))
+    count, last = r.integers(1, 9, 1000), r.integers(0, 10**6, 1000)
+    rows = pa.table({"shard": np.zeros(1000, np.int64), "h1": a, "h2": b, "n_docs": count, "last": last})
+    shard = Shard(shard_arrays(rows, 5)["arrays"][0].as_py())
+    u = lambda x: x.view(np.uint64)
+    assert (shard.lost(u(a), u(b), last, 5) == False).all()  # noqa: E712
+    assert (shard.lost(u(a), u(b), last - 1, 5) == (count >= 5)).all()
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"a line that stands only here, number {i:07}" for i in range(40_000))
+    rows = [(0, long), (1, "x"), *[(i, "0123456789" * 4) for i in range(2, 8)]]
+    assert made(spark, rows) == brute(rows)

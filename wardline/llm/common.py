@@ -1,12 +1,13 @@
 """Shared plumbing of the training-data operators: tables, shared storage, Arrow text buffers, hashing.
 
 Documents are keyed by ``(k, h)``: ``k`` is doc_id as a long (null counts as the
-smallest long) and ``h`` a 32-bit hash of the text, so rows that repeat a doc_id
-and text count once and rows that share only the doc_id stay apart.
+smallest long) and ``h`` a 64-bit hash of the text, so rows that repeat a doc_id
+and text count once and rows that share only the doc_id (or have none) stay apart.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -29,34 +30,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    """The cluster's spark.checkpoint.dir. Where none is set, a temporary one in local mode, an error on a cluster: its machines share no local folder."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        at = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='wardline-')}"
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='wardline-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage."""
+#: Rows of a settled table that one file takes, where their number is known.
+FILE_ROWS = 100_000
+#: Bytes of input that one scan task takes at least, where there are more tasks than cores can use.
+SCAN_BYTES = 32 << 20
+
+
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared checkpoint folder and cut its lineage. rows: about how many it has, so that a small table is not spread over many files."""
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, min(partitions(df.sparkSession), rows // FILE_ROWS + 1)))
     return df.checkpoint(eager=True)
 
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs in fewer partitions where these are many and small (by the plan's own estimate of its bytes): a scan of tiny files makes no tiny files again."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.coalesce(max(4 * spark.sparkContext.defaultParallelism, min(size // SCAN_BYTES, 1 << 30)))
+
+
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, k, h, text: only what the operators need, whatever else docs holds."""
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"),
-        F.hash(text).alias("h"),
+        F.xxhash64(text).alias("h"),
         text.alias("text"),
         *more,
     )
 
 
+def whole_rows(docs: DataFrame, *more) -> DataFrame:
+    """docs with each row as one struct ``row`` beside its key (k, h) and ``more``: whatever columns docs has, no name of the operators clashes with them.
+
+    select("row.*") gives the rows back unchanged.
+    """
+    text = F.col("text").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"), F.xxhash64(text).alias("h"), *more)
+
+
 def held(column):
     """The column, behind a condition that always holds but that the optimizer can't move: a later filter on the result
     then stays above and does not evaluate the column's whole expression tree again and again."""
@@ -86,6 +114,14 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def pieces(batches, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to slices whose ``column`` holds at most limit bytes (one row at least), so that what Python makes of one stays small."""
+    for batch in batches:
+        _, off = raw(batch[column])
+        for lo, hi in blocks(off, limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes (one row at least)."""
     lo, n = 0, len(off) - 1

@@ -27,7 +27,7 @@ DIMS, LEVELS = 4, 10
 CELL_BITS = 14
 CODES = 1 << 16
 SPECIAL = "<|endoftext|>"
-KEYED = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("h", pa.int32()), ("text", pa.large_string()), ("curve", pa.int64())])
+KEYED = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("text", pa.large_string()), ("curve", pa.int64())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.large_binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -185,6 +185,6 @@ def dealt(rows: DataFrame, n: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset: one row per piece."""
-    rows = keyed(docs).mapInArrow(with_curve, "doc_id long, k long, h int, text string, curve long")
+    rows = keyed(docs).mapInArrow(with_curve, "doc_id long, k long, h long, text string, curve long")
     laid = dealt(rows, partitions(docs.sparkSession))
     return laid.mapInArrow(lambda it: pack(it, tokenizer, length, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import Ranges, arrow, blocks, keyed, mix, partitions, raw, text_column, word_bounds, word_hashes
 
-ANCHORS = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("k", pa.int64()), ("h", pa.int32()), ("s", pa.int32()), ("n", pa.int32())])
-MARKS = pa.schema([("k", pa.int64()), ("h", pa.int32()), ("s", pa.int32()), ("n", pa.int32()), ("whole", pa.bool_())])
-WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("k", pa.int64()), ("h", pa.int32()), ("s", pa.int32()), ("n", pa.int32())])
-RUNS = pa.schema([("k", pa.int64()), ("h", pa.int32()), ("s", pa.int32()), ("n", pa.int32())])
+ANCHORS = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+MARKS = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("whole", pa.bool_())])
+WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+RUNS = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
 
 
