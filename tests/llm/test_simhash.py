@@ -54,15 +54,41 @@ def test_against_brute_force(spark):
     assert [x.component_id for x in both] == [None] * 3
 
 
-def test_large_bucket_splits_without_losing_links():
-    r = np.random.default_rng(5)
-    fps = np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (900, 3)).astype(np.uint64), axis=1) for c in r.integers(0, 2**64, 5, dtype=np.uint64)])
-    fps = np.unique(np.concatenate([fps, r.integers(0, 2**64, 500, dtype=np.uint64)]))
-    whole, split = np.arange(len(fps)), np.arange(len(fps))
-    simhash.link_large(fps, 4, whole, np.arange(len(fps)), 4)
-    assert len(fps) > simhash.SPLIT
-    simhash.link_large(fps, 4, split, np.arange(len(fps)), 1)
-    assert (whole == split).all()
+def near_prints(r):
+    fps = np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (300, 3)).astype(np.uint64), axis=1) for c in r.integers(0, 2**64, 5, dtype=np.uint64)])
+    return np.unique(np.concatenate([fps, r.integers(0, 2**64, 500, dtype=np.uint64)]))
+
+
+def test_large_buckets_are_dealt_anew_without_losing_links(spark):
+    fps = near_prints(np.random.default_rng(5))
+    whole = np.arange(len(fps))
+    simhash.link_all(fps, 4, whole, np.arange(len(fps)))
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for split in (40, 1 << 20):
+        found = {x.node: x.component for x in components(simhash.links(nodes, 4, len(fps), split), len(fps)).collect()}
+        own = np.array([found.get(int(x), int(x)) for x in fps.view(np.int64)])
+        same = lambda a: a[:, None] == a[None, :]
+        assert (same(own) == same(whole)).all()
+
+
+def test_a_large_bucket_leaves_as_rows_however_the_batches_cut_it():
+    import pyarrow as pa
+
+    fps = np.sort(near_prints(np.random.default_rng(6)).view(np.int64))
+    t = np.repeat([0, 1, 2], [700, 100, len(fps) - 800]).astype(np.int32)
+    whole = pa.record_batch({"t": t, "key": np.zeros(len(fps), np.int64), "fp": fps})
+    for step in (7, 99, 5000):
+        out = [b for b in simhash.link((whole.slice(lo, step) for lo in range(0, len(fps), step)), 4, 300)]
+        rows = [(a, u) for b in out for a, u in zip(b["t"].to_pylist(), b["u"].to_pylist(), strict=True) if a >= 0]
+        assert sorted(rows) == sorted((a, u) for a, u in zip(t.tolist(), fps.tolist(), strict=True) if a != 1)
+
+
+def test_few_free_bits_are_left_after_all_turns():
+    free = [np.array([(2**64 - 1) ^ m for m in simhash.masks(4, turn)], np.uint64) for turn in range(simhash.TURNS)]
+    left = free[0]
+    for more in free[1:]:
+        left = (left[:, None] & more[None, :]).ravel()
+    assert np.bitwise_count(left).max() <= 16 and np.bitwise_count(left).mean() < 4
 
 
 def test_masks_cover():
@@ -76,7 +102,7 @@ def test_masks_cover():
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99)], "u long, v long")
-    got = {x.node: x.component for x in components(edges).collect()}
+    got = {x.node: x.component for x in components(edges, 50).collect()}
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
 
 
@@ -91,6 +117,13 @@ def test_keep_first_keeps_one_row_of_each_group(spark):
     assert sorted(x.doc_id for x in out.collect()) == [2, 4, 7]
 
 
+def test_rows_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 3} " * 9, 7, 8, 9, 10) for i in range(9)], "doc_id long, text string, _k long, _h long, _n long, `x.k` long")
+    out = simhash.keep_first(docs)
+    assert out.schema == docs.schema
+    assert sorted(tuple(x) for x in out.collect()) == [(i, f"text {i} " * 9, 7, 8, 9, 10) for i in range(3)]
+
+
 def test_a_shared_or_missing_doc_id_links_nothing(spark):
     r = random.Random(12)
     words = [f"w{i}" for i in range(400)]

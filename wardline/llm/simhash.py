@@ -7,34 +7,42 @@ whose mask drops them all: every pair within the radius agrees in some of the
 2^(radius+1) - 1 tables, none is missed.
 
 Only distinct fingerprints enter the tables. Inside a bucket the links are
-verified and reduced to a spanning forest (a large bucket is first split by
-further masks of its own), so the edges grow with the fingerprints and not
-with the square of a group. Components are contracted in tables.
+verified and reduced to a spanning forest, so the edges grow with the
+fingerprints and not with the square of a group. A bucket of more than SPLIT
+fingerprints is not held: its rows stream through and are dealt anew by the
+masks of another turn, over all partitions, until every bucket is small.
+Components are contracted in tables.
 
 Defined results: null or wordless text has fingerprint zero and links like any
 other; repeated rows share their fingerprint; a null doc_id counts as the
 smallest long and a component led by it has component_id null. A component is
 named by its smallest doc_id, which null or repeated doc_ids may make the name
-of several; its smallest fingerprint, component_fp, is its own. An empty table
-gives an empty result.
+of several; its smallest fingerprint, component_fp, is its own. Of equal
+doc_ids (ties) the smaller text hash leads. An empty table gives an empty
+result; texts may have any length and docs any other columns.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import NULL_KEY, arrow, keyed, partitions, settle, text_column
+from wardline.llm.common import NULL_KEY, arrow, keyed, partitions, scanned, settle, text_column, whole_rows
 from wardline.llm.components import components
 
 BITS = 64
 PRINTS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
-EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-#: A bucket above this is split by masks before its pairs are compared.
+#: A link of fingerprints u and v (t = -1), or fingerprint u of the too large bucket v of table t.
+LINKS = pa.schema([("t", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
+#: A bucket above this is split by more masks before its pairs are compared.
 SPLIT = 2048
+#: Turns of masks: what agrees in one mask of each of four turns has too few free bits for a large bucket.
+TURNS = 4
 
 
 def fingerprint(text: str, size: int) -> int:
@@ -63,7 +71,7 @@ def prints(batches, size: int):
 def masks(radius: int, turn: int = 0) -> list[int]:
     """The covering masks; another turn deals the vectors to the bits anew."""
     n = 2 ** (radius + 1) - 1
-    vector = [(i * (2 * turn + 1) + turn) % n + 1 for i in range(BITS)]
+    vector = [(i * (6 * turn + 1) + 11 * turn) % BITS % n + 1 for i in range(BITS)]
     return [sum(((vector[i] & v).bit_count() & 1) << i for i in range(BITS)) for v in range(1, n + 1)]
 
 
@@ -85,27 +93,9 @@ def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             label[:] = up
 
 
-def link_large(fps: np.ndarray, radius: int, label: np.ndarray, nodes: np.ndarray, turn: int) -> None:
-    """Unite all pairs within the radius among fps[nodes]."""
-    if len(nodes) > SPLIT and turn <= 3:
-        for mask in masks(radius, turn):
-            key = fps[nodes] & np.uint64(mask)
-            order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order])) + 1
-            for part in np.split(nodes[order], cuts):
-                if len(part) > 1 and (label[part] != label[part[0]]).any():
-                    link_large(fps, radius, label, part, turn + 1 if len(part) < len(nodes) else 4)
-        return
-    for lo in range(0, len(nodes), 256):
-        rows = nodes[lo : lo + 256]
-        near = np.bitwise_count(fps[rows, None] ^ fps[None, nodes[lo:]]) <= radius
-        i, j = np.nonzero(near)
-        unite(label, rows[i], nodes[lo + j])
-
-
-def link(batches, radius: int):
-    """Rows sorted by table and key: a spanning forest of the links inside each bucket."""
-    rest = None
+def link(batches, radius: int, split: int):
+    """Rows sorted by table and key: a spanning forest of the links inside each bucket, and the rows of buckets above split."""
+    rest, large = None, None
     for batch in _ended(batches):
         t, key, fp = (batch[c].to_numpy() for c in ("t", "key", "fp"))
         if rest is not None:
@@ -113,27 +103,43 @@ def link(batches, radius: int):
             rest = None
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
-        if batch.num_rows:  # the last bucket may go on
-            cut = np.flatnonzero(new)[-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(t)))
+        over = size > split
+        if len(t) and large == (t[0], key[0]):
+            over[0] = True
+        large = (t[-1], key[-1]) if len(t) and over[-1] else None
+        if batch.num_rows and not over[-1]:  # the last bucket may go on
+            cut = first[-1]
             rest = t[cut:], key[cut:], fp[cut:]
-            t, fp, new = t[:cut], fp[:cut], new[:cut]
+            t, key, fp, first, size, over = t[:cut], key[:cut], fp[:cut], first[:-1], size[:-1], over[:-1]
         if not len(t):
             continue
+        if over.any():
+            out = np.repeat(over, size)
+            yield arrow(LINKS, t[out], fp[out], key[out])
         fp = fp.view(np.uint64)
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(t)))
-        group = np.cumsum(new) - 1
+        group = np.repeat(np.arange(len(size)), size)
         label = np.arange(len(t))
         small = size[group] <= 32
         for d in range(1, int(min(32, size.max()))):
             i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d]))
             near = np.bitwise_count(fp[i] ^ fp[i + d]) <= radius
             unite(label, i[near], i[near] + d)
-        for g in np.flatnonzero(size > 32):
-            link_large(fp, radius, label, np.arange(first[g], first[g] + size[g]), 1)
+        for g in np.flatnonzero((size > 32) & ~over):
+            link_all(fp, radius, label, np.arange(first[g], first[g] + size[g]))
         other = np.flatnonzero(label != np.arange(len(t)))
         if len(other):
-            yield arrow(EDGES, fp.view(np.int64)[label[other]], fp.view(np.int64)[other])
+            yield arrow(LINKS, np.full(len(other), -1, np.int32), fp.view(np.int64)[label[other]], fp.view(np.int64)[other])
+
+
+def link_all(fps: np.ndarray, radius: int, label: np.ndarray, nodes: np.ndarray) -> None:
+    """Unite all pairs within the radius among fps[nodes], of which there are at most SPLIT."""
+    for lo in range(0, len(nodes), 256):
+        rows = nodes[lo : lo + 256]
+        near = np.bitwise_count(fps[rows, None] ^ fps[None, nodes[lo:]]) <= radius
+        i, j = np.nonzero(near)
+        unite(label, rows[i], nodes[lo + j])
 
 
 def _ended(batches):
@@ -146,40 +152,56 @@ def _ended(batches):
         yield last.slice(0, 0)
 
 
-def grouped(docs: DataFrame, size: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, k, h, fp of every row of docs, and fp, component (its smallest fp) of every fingerprint.
+def masked(fp, radius: int, turn: int) -> list:
+    return [fp.bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks(radius, turn)]
+
+
+def links(nodes: DataFrame, radius: int, rows: int, split: int) -> DataFrame:
+    """u, v: links that connect what lies within the radius. nodes: distinct fp, at most rows of them."""
+    n, fp = partitions(nodes.sparkSession), F.col("fp")
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), key.alias("key")) for t, key in enumerate(masked(fp, radius, 0))])
+    dealt, found = nodes.select("fp", F.explode(keys).alias("x")).select("x.t", "x.key", "fp"), []
+    for turn in range(1, TURNS + 1):
+        most = split if turn < TURNS else 1 << 62
+        dealt = dealt.repartition(n, "t", "key").sortWithinPartitions("t", "key", "fp")
+        out = settle(dealt.mapInArrow(lambda it, most=most: link(it, radius, most), "t int, u long, v long"), rows)
+        found.append(out.where("t < 0").select("u", "v"))
+        large = out.where("t >= 0")
+        if not large.limit(1).count():
+            break
+        rest = large.select("t", F.col("v").alias("key"), F.col("u").alias("fp"))
+        keys = F.array(*[F.struct(F.lit(i).alias("t"), F.xxhash64("t", "key", key).alias("key")) for i, key in enumerate(masked(fp, radius, turn))])
+        dealt = rest.select("fp", F.explode(keys).alias("x")).select("x.t", "x.key", "fp")
+    return reduce(DataFrame.union, found)
+
+
+def grouped(docs: DataFrame, size: int, radius: int, split: int = SPLIT) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, k, h, fp of every row of docs; fp, component (its smallest fp) of every fingerprint; the number of rows.
 
     Fingerprints are the nodes: rows that only share a doc_id, or have none, are not linked by it.
     """
-    spark = docs.sparkSession
-    rows = keyed(docs).withColumn("h", F.xxhash64("text"))
-    own = settle(rows.mapInArrow(lambda it: prints(it, size), "doc_id long, k long, h long, fp long"))
-    nodes = own.select("fp").distinct()
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks(radius))])
-    dealt = nodes.select("fp", F.explode(keys).alias("x")).select("x.t", "x.key", "fp")
-    dealt = dealt.repartition(partitions(spark), "t", "key").sortWithinPartitions("t", "key", "fp")
-    edges = dealt.mapInArrow(lambda it: link(it, radius), "u long, v long")
-    found = components(edges)
-    return own, nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
-
-
-def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
+    own = settle(keyed(scanned(docs)).mapInArrow(lambda it: prints(it, size), "doc_id long, k long, h long, fp long"))
+    nodes, rows = own.select("fp").distinct(), own.count()
+    found = components(links(nodes, radius, rows, split), rows)
+    return own, nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component")), rows
+
+
+def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4, split: int = SPLIT) -> DataFrame:
     """doc_id, fp (signed long), component_id, component_fp: documents linked through fingerprints within radius bits."""
-    own, group = grouped(docs, size, radius)
-    group = settle(own.groupBy("fp").agg(F.min("k").alias("k")).join(group, "fp"))
-    lead = settle(group.groupBy("component").agg(F.min("k").alias("lead")))
-    rows = own.drop("k").join(group.join(lead, "component").select("fp", "component", "lead"), "fp")
-    return rows.select("doc_id", "fp", F.when(F.col("lead") != NULL_KEY, F.col("lead")).alias("component_id"), F.col("component").alias("component_fp"))
+    own, group, rows = grouped(docs, size, radius, split)
+    group = settle(own.groupBy("fp").agg(F.min("k").alias("k")).join(group, "fp"), rows)
+    lead = settle(group.groupBy("component").agg(F.min("k").alias("lead")), rows)
+    out = own.drop("k").join(group.join(lead, "component").select("fp", "component", "lead"), "fp")
+    return out.select("doc_id", "fp", F.when(F.col("lead") != NULL_KEY, F.col("lead")).alias("component_id"), F.col("component").alias("component_fp"))
 
 
 def keep_first(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs that lead their group (its smallest doc_id, then text hash; of repeated rows one), unchanged."""
-    own, group = grouped(docs, size, radius)
+    own, group, rows = grouped(docs, size, radius)
     first = own.groupBy("fp", "k", "h").count().groupBy("fp").agg(F.min(F.struct("k", "h", "count")).alias("x"))
     lead = first.join(group, "fp").groupBy("component").agg(F.min("x").alias("x"))
-    lead = settle(lead.select(F.col("x.k").alias("_k"), F.col("x.h").alias("_h"), F.col("x.count").alias("_n")))
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)) == lead["_k"]) & (F.xxhash64(docs["text"].cast("string")) == lead["_h"])
-    kept = docs.join(lead, key)
-    if lead.where("_n > 1").limit(1).count():
-        kept = kept.where("_n = 1").union(kept.where("_n > 1").dropDuplicates(["_k", "_h"]))
-    return kept.select(*docs.columns)
+    lead = settle(lead.select("x.k", "x.h", F.col("x.count").alias("n")), rows)
+    kept = whole_rows(docs).join(lead, ["k", "h"])
+    if lead.where("n > 1").limit(1).count():
+        kept = kept.where("n = 1").union(kept.where("n > 1").dropDuplicates(["k", "h"]))
+    return kept.select("row.*")
