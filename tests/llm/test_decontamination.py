@@ -95,3 +95,29 @@ def test_unspaced_scripts_are_found_by_characters(spark):
     texts = [draw(50, 0x4E00, 0x9FFF) + items[0] + draw(9, 0x4E00, 0x9FFF), "abc" + items[1] + "def", items[0][:9] + "x" + items[0][10:], split, draw(80, 0x4E00, 0x9FFF)]
     got = {(x.doc_id, x.item_id) for x in dc.contaminated(frame(spark, texts), bench(spark, items)).collect()}
     assert got == {(0, "0"), (1, "1"), (2, "0"), (3, "2")}
+
+def test_short_items_match_word_for_word(spark):
+    """Items of 5 to 9 tokens, whatever marks stand around them; a substituted word makes another text of them, and fewer tokens are a phrase."""
+    nine = [f"n{i}" for i in range(9)]
+    items = [" ".join(nine), " ".join(nine) + ".", "\"a1 a2 a3 a4 a5\"", "b1 b2 b3 b4"]
+    texts = ["x " + " ".join(nine) + " y", " ".join([*nine[:8], "other"]), "A1, a2 a3: a4 a5", "a1 a2 a3 a4 a6", "b1 b2 b3 b4 b5 b6", " ".join(nine[:8])]
+    got = {(r.doc_id, r.item_id, r.matched) for r in dc.contaminated(frame(spark, texts), bench(spark, items)).collect()}
+    assert got == {(0, "0", 9), (0, "1", 9), (2, "2", 5)}
+
+
+def test_one_long_item_and_repeated_rows(spark):
+    r = random.Random(9)
+    long = [f"l{r.randrange(5000)}" for _ in range(10_000)]
+    texts = [" ".join(long[4000:4030]), " ".join(f"m{i}" for i in range(50_000)), " ".join(long)]
+    docs = frame(spark, [*texts, texts[0]], [0, 1, 2, 0])
+    b = bench(spark, [" ".join(long)])
+    got = [(x.doc_id, x.item_id) for x in dc.contaminated(docs, b.union(b)).collect()]
+    assert sorted(got) == [(0, "0"), (2, "0")]
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    texts, items, truth = world(6)
+    docs = spark.createDataFrame([(i, t, 7, 8, 9, 10, 11) for i, t in enumerate(texts)], "doc_id long, text string, k long, _k0 long, _k long, _h long, `a.b` long")
+    kept = dc.drop_contaminated(docs, bench(spark, items))
+    assert kept.schema == docs.schema
+    assert {tuple(r)[2:] for r in kept.collect()} == {(7, 8, 9, 10, 11)}
