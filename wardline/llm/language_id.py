@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import LOWER, arrow, blocks, keyed, raw, text_column
+from wardline.llm.common import LOWER, arrow, blocks, keyed, raw, scanned, text_column
 
 CODES = 1 << 13
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cosine", pa.float64()), ("rejected", pa.bool_())])
@@ -201,4 +201,4 @@ def keep_identified(docs: DataFrame, per_language: int = 400, clusters: int = 4)
             for verdict in judge([batch], model):
                 yield batch.filter(pa.compute.invert(verdict["rejected"]))
 
-    return docs.mapInArrow(kept, schema)
+    return scanned(docs).mapInArrow(kept, schema)
