@@ -49,7 +49,7 @@ SCAN_BYTES = 32 << 20
 
 
 def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage. rows: about how many it has, so that a small table is not spread over many files."""
+    """Write df to the shared checkpoint folder and cut its lineage. rows: about how many its last stage reads, so that a small table is not spread over many files."""
     shared_dir(df.sparkSession)
     if rows is not None:
         df = df.coalesce(max(1, min(partitions(df.sparkSession), rows // FILE_ROWS + 1)))

@@ -27,7 +27,7 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct(), 2 * mark[0])
+        e = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct(), 4 * mark[0])
         was, mark = mark, _mark(e)
         if mark == was:
             break

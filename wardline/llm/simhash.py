@@ -164,7 +164,7 @@ def links(nodes: DataFrame, radius: int, rows: int, split: int) -> DataFrame:
     for turn in range(1, TURNS + 1):
         most = split if turn < TURNS else 1 << 62
         dealt = dealt.repartition(n, "t", "key").sortWithinPartitions("t", "key", "fp")
-        out = settle(dealt.mapInArrow(lambda it, most=most: link(it, radius, most), "t int, u long, v long"), rows)
+        out = settle(dealt.mapInArrow(lambda it, most=most: link(it, radius, most), "t int, u long, v long"), rows * (2 ** (radius + 1) - 1))
         found.append(out.where("t < 0").select("u", "v"))
         large = out.where("t >= 0")
         if not large.limit(1).count():
