@@ -85,10 +85,15 @@ def whole_rows(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"), F.xxhash64(text).alias("h"), *more)
 
 
-def held(column):
-    """The column, behind a condition that always holds but that the optimizer can't move: a later filter on the result
-    then stays above and does not evaluate the column's whole expression tree again and again."""
-    return F.when(F.monotonically_increasing_id() >= 0, column)
+def once(rows: DataFrame, keys: list[str], **columns) -> DataFrame:
+    """The keys of rows beside columns, made by a generator of one row.
+
+    A later filter on one of the columns stays above the generator and does not
+    evaluate the column's whole expression again; filters on keys still move
+    down to the scan.
+    """
+    made = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("made")
+    return rows.select(*keys, made).select(*keys, "made.*")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +60,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask("base"))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits", "policy")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does alone, from the ledger of operator 7."""
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents")).select("fail_bits")
+    # the ledger's bit patterns are counted once; every policy reads the counts
+    parts = [quality_rules.ablations(rows, p).select(F.lit(p).alias("policy"), "*") for p in quality_rules.POLICIES]
+    return reduce(DataFrame.union, parts)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +90,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_url_filters, op3_packing, op4_language_id, op5_secret_scans, op6_line_dedup, op7_quality_rules, op8_simhash, op9_decontamination, op10_toxicity)
+    for f in (op1_substring_dedup, op2_url_filters, op3_packing, op4_language_id, op5_secret_scans, op6_line_dedup, op7_quality_rules, op8_simhash, op9_decontamination, op10_toxicity, quality_ablations)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
 
+#: The quality ledger in SQL: measurements and one bit per rule.
+LEDGER = rf"""
+with d as materialized (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '{WORD}') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
+g as (select doc_id, s, array_to_string(list_slice(w, s, s + 7), ' ') g from d, unnest(generate_series(1, len(w) - 7)) t(s) where len(w) >= 8),
+r8 as (select doc_id, s from g qualify count(*) over (partition by doc_id, g) > 1),
+c as (select doc_id, count(distinct i) n from (select doc_id, unnest(generate_series(s, s + 7)) i from r8) group by 1),
+m8 as (select doc_id, cast(len(w) as bigint) n_words, cast(length(regexp_replace(text, '{BLANK}', '', 'g')) as bigint) word_chars, cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) n_symbols,
+  cast(len(l) as bigint) n_lines, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, coalesce(n, 0) n_repeat_words,
+  cast(length(regexp_replace(text, '[^A-Z]', '', 'g')) as bigint) n_capitals, cast(len(list_filter(w, lambda x, i: i > 1 and x = w[i - 1])) as bigint) n_stutter from d left join c using (doc_id)),
+b as (select *, cast({" + ".join(f"(case when {rule} then {1 << i} else 0 end)" for i, (_, rule) in enumerate(quality_rules.RULES))} as bigint) fail_bits from m8)"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": rf"""
 with d as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents),
@@ -109,14 +129,8 @@ k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(
 c as (select key, max(doc_id) last from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
 j as (select doc_id, n, line, last is not null and last <> doc_id gone from k left join c using (key))
 select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) kept_sha256 from j group by doc_id""",
-    "op7_quality_rules": rf"""
-with d as materialized (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '{WORD}') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
-g as (select doc_id, s, array_to_string(list_slice(w, s, s + 7), ' ') g from d, unnest(generate_series(1, len(w) - 7)) t(s) where len(w) >= 8),
-r as (select doc_id, s from g qualify count(*) over (partition by doc_id, g) > 1),
-c as (select doc_id, count(distinct i) n from (select doc_id, unnest(generate_series(s, s + 7)) i from r) group by 1),
-m as (select doc_id, cast(len(w) as bigint) n_words, cast(length(regexp_replace(text, '{BLANK}', '', 'g')) as bigint) word_chars, cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) n_symbols,
-  cast(len(l) as bigint) n_lines, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, coalesce(n, 0) n_repeat_words from d left join c using (doc_id)),
-b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, cast((case when n_words < 20 then 1 else 0 end) + (case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end) + (case when 10 * n_symbols > 3 * word_chars then 4 else 0 end)
-  + (case when n_lines >= 10 and 10 * n_dup_lines > 8 * n_lines then 8 else 0 end) + (case when word_chars > 40 * n_words then 16 else 0 end) + (case when 10 * word_chars < 12 * n_words then 32 else 0 end) as bigint) fail_bits from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 kept, fail_bits from b""",
+    "op7_quality_rules": f"{LEDGER} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality_rules.mask('base')} <> 0 base_failed, fail_bits & {quality_rules.mask('v2')} = 0 kept, fail_bits, 'v2' policy from b",
+    "quality_ablations": f"""{LEDGER}, p(policy, m) as (values {", ".join(f"('{p}', {quality_rules.mask(p)}::bigint)" for p in quality_rules.POLICIES)}),
+r("rule", bit) as (values {", ".join(f"('{n}', {1 << i}::bigint)" for i, (n, _) in enumerate(quality_rules.RULES))})
+select policy, "rule", count(*) filter (fail_bits & bit <> 0) n_fail, count(*) filter (fail_bits & m = bit) n_only, count(*) filter (fail_bits & m & ~bit = 0) n_kept_without from b cross join p cross join r where m & bit <> 0 group by all""",
 }

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import held
+from wardline.llm.common import once
 
 #: Fixed patterns, in the order of kinds. A match must also meet its minimum length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -170,7 +170,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     cut = F.array_max(F.transform(ranked, lambda p, i: F.when(p <= FALSE_RATE * (i + 1) / F.size("found"), p)))
     rows = rows.withColumn("cut", cut)
     more = F.transform(F.filter("found", lambda r: r["t"]["random"] & (r["t"]["p"] <= F.col("cut"))), span(3))
-    return rows.select("doc_id", held(F.sort_array(F.concat("base", F.coalesce(more, none)))).alias("spans"))
+    return once(rows, ["doc_id"], spans=F.sort_array(F.concat("base", F.coalesce(more, none))))
 
 
 def listed(spans: Column) -> Column:
