@@ -64,3 +64,49 @@ def test_unseen_languages_and_noise_are_rejected_at_any_length(spark):
     assert share(left) > 0.95
     assert share(range(n, n + 100)) > 0.95 and share(range(n + 100, n + 200)) > 0.95
     assert share(seen) < 0.005 and share(range(n + 200, n + 200 + len(short))) < 0.01
+
+
+def test_one_doc_id_on_many_rows_and_a_very_long_text(spark):
+    """A hot row is one training row; a long text is judged whole; ties and repeated rows are judged alike."""
+    from wardline.llm.language_id import train
+
+    texts, langs = corpus(120)
+    long = " ".join(texts[0] for _ in range(20_000))
+    docs = frame(spark, [*texts, long, *[texts[0]] * 20_000], [*range(120), 500, *[0] * 20_000], langs={**langs, 500: langs[0]})
+    model = train(docs, 400, 4)
+    assert model["names"] == ["aa", "bb", "cc"] and len(model["centroids"]) <= 12
+    got = identify(docs).where("doc_id in (0, 500)").select("doc_id", "lang_pred", "score", "rejected").distinct().collect()
+    assert len(got) == 2 and {r.lang_pred for r in got} == {langs[0]}
+
+
+def brute_near(model, text):
+    """The language of the nearest centroid and its cosine, gram by gram."""
+    import math
+
+    letters = [c + 32 if 65 <= c <= 90 else c for c in text.encode()]
+    letters = [32 if c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in letters]
+    n = {}
+    for size, add in ((2, 977), (3, 5)):
+        for i in range(len(letters) - size + 1):
+            code = letters[i] * 31337 + add
+            for c in letters[i + 1 : i + size]:
+                code = code * 263 + c
+            code = (code ^ (code >> 13)) & 8191
+            n[code] = n.get(code, 0) + 1
+    w = {c: math.log1p(x) * model["idf"][c] for c, x in n.items()}
+    norm = math.sqrt(sum(x * x for x in w.values())) or 1
+    cosines = [sum(x * float(row[c]) for c, x in w.items()) / norm for row in model["centroids"]]
+    best = max(range(len(cosines)), key=cosines.__getitem__)
+    return model["names"][model["owner"][best]], cosines[best]
+
+
+def test_against_brute_force(spark):
+    from wardline.llm.language_id import train
+
+    texts, langs = corpus(150)
+    texts += ["Ñandú ß é", "ab", "der the ción", "UPPER and lower", "the-and_of.ing"]
+    docs = frame(spark, texts, langs=langs)
+    model = train(docs, 400, 4)
+    for r in identify(docs).collect():
+        lang, cosine = brute_near(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.cosine - cosine) < 1e-4, texts[r.doc_id]

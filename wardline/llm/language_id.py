@@ -12,13 +12,18 @@ of the other half of the texts: they lie between the stretches' lowest cosines
 own language, at a third to two thirds of the former, so that short clean texts
 stay.
 
-Training reads a bounded sample, at most about ``per_language`` labelled rows
-of each language, chosen by a hash of doc_id; the frequencies belong to the
-classifier and come from that sample. Whole texts are used throughout.
+Training reads a bounded sample of distinct labelled texts, chosen by a hash of
+doc_id and text: about ``per_language`` of each language, MOST_ROWS in all, none
+over LONGEST_LEARNED bytes (so a doc_id or text on many rows is one row of it);
+the frequencies belong to the classifier and come from that sample. Texts are
+used whole, in training as in prediction, whatever their length.
 
 Defined results: null text or text without a letter is ``und`` with score 0
 and rejected; without training rows everything is ``und``; a null doc_id is
-not held out and never learned from.
+not held out and never learned from; repeated rows each get the same result;
+of equally near languages (ties) the first by name is taken; an empty table
+gives an empty result; other columns of docs are not read by identify() and
+kept by keep_identified().
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", p
 #: Characters of the stretches that floors are learned from, and how many values size_of() has, rounded down.
 STRETCHES = (3, 6, 12, 25, 50, 100, 200, 400, 800, 1600, 3200)
 SIZES = CODES.bit_length()
+#: Bounds of the training sample: rows in all, and bytes of a text.
+MOST_ROWS, LONGEST_LEARNED = 8000, 1 << 17
 LETTERS = LOWER.copy()
 LETTERS[:65] = LETTERS[91:97] = LETTERS[123:128] = 32
 
@@ -133,19 +140,22 @@ def size_of(v: np.ndarray) -> np.ndarray:
     return np.log2(1 + (v > 0).sum(1))
 
 
-def sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
-    """About bound rows of each label at most, by a hash of doc_id; a label's rows are counted first."""
+def sample(rows: DataFrame, label: str, bound: int, *keys: str) -> DataFrame:
+    """About bound rows of each label at most, by a hash of the keys; a label's rows are counted first."""
     n = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20))
+    bound = max(1, min(bound, MOST_ROWS // max(1, len(n))))
+    u = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30))
     keep = F.lit(False)
     for value, many in n.items():
-        keep = F.when(F.col(label) == F.lit(value), u < int((1 << 20) * min(1.0, bound / many))).otherwise(keep)
+        keep = F.when(F.col(label) == F.lit(value), u < int((1 << 30) * min(1.0, bound / many))).otherwise(keep)
     return rows.where(keep)
 
 
 def train(docs: DataFrame, per_language: int, clusters: int) -> dict:
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(3) != 1))
-    got = sample(rows, "lang", per_language).orderBy("doc_id", "text").toArrow()
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(3) != 1) & (F.octet_length("text") <= LONGEST_LEARNED))
+    got = sample(rows, "lang", per_language, "doc_id", "text").dropDuplicates(["lang", "text"]).select("doc_id", "text", "lang").orderBy("doc_id", "text", "lang").toArrow()
     langs = got["lang"].to_pylist()
     names = sorted(set(langs))
     if not names:
