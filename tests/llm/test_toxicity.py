@@ -56,3 +56,75 @@ def test_gradients_are_right():
         down = loss()
         flat[where] = old
         assert abs((up - down) / 2e-2 - g[name].reshape(-1)[where]) < 1e-3 + 0.02 * abs(g[name]).max(), name
+
+
+def plain(p, text):
+    """Largest logit and windows of a text, window by window and word by word, without the module's batching."""
+    import re
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode()
+    words = re.findall(rb"[^ \t-\r]+", low)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(w):
+        b = [1, *w, 2]
+        codes = [((a * 263 + m) * 269 + z) for a, m, z in zip(b, b[1:], b[2:])]
+        grams = sum(p["grams"][(c ^ (c >> 9)) & (tx.GRAMS - 1)].astype(float) for c in codes) / np.sqrt(len(w))
+        bucket = int(tx.Text(np.frombuffer(w, np.uint8), np.array([0, len(w)])).bucket[0])
+        return np.concatenate([p["words"][bucket], grams])
+
+    def states(x, d):
+        h, out = np.zeros(tx.HIDDEN), [None] * len(x)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            gx, gh = x[t] @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            r, z = np.split(sig(gx[: 2 * tx.HIDDEN] + gh[: 2 * tx.HIDDEN]), 2)
+            h = z * h + (1 - z) * np.tanh(gx[2 * tx.HIDDEN :] + r * gh[2 * tx.HIDDEN :])
+            out[t] = h
+        return np.array(out)
+
+    n = len(words)
+    begins = [0] if n <= tx.SPAN else range(0, n - tx.SPAN + tx.STRIDE, tx.STRIDE)
+    best = []
+    for lo in begins:
+        x = [vector(w) for w in words[lo : lo + tx.SPAN]]
+        h = np.concatenate([states(x, "f"), states(x, "b")], 1)
+        a = np.exp(h @ p["query"] - (h @ p["query"]).max())
+        best.append((a / a.sum()) @ h @ p["out"] + p["bias"][0])
+    return max(best), len(begins)
+
+
+def test_scores_against_a_plain_network():
+    import pyarrow as pa
+
+    texts, labels = world(80)
+    model = tx.fit(pa.array(texts), np.array([y for _, y, _ in labels]), 0.25)
+    r = random.Random(5)
+    some = [*texts[:12], "Ein Wort", " ".join(r.choice(texts).split()[0] for _ in range(33)), "é ß \t 漢字 x" * 9]
+    got = np.concatenate([b["score"].to_numpy() for b in tx.scores([pa.record_batch({"doc_id": list(range(len(some))), "text": some})], model)])
+    for s, text in zip(got, some, strict=True):
+        top, windows = plain(model, text)
+        want = 1 / (1 + np.exp(-np.array([top, np.log(windows), 1]) @ model["logistic"]))
+        assert abs(s - want) < 1e-4, text
+
+
+def test_a_long_text_scores_as_one(monkeypatch):
+    """Stretch by stretch as all at once, also with a word of many bytes and at every number of words around the borders."""
+    texts, labels = world(80)
+    import pyarrow as pa
+
+    model = tx.fit(pa.array(texts), np.array([y for _, y, _ in labels]), 0.25)
+    words = " ".join(texts).split()
+    one = lambda n, big: np.frombuffer((" ".join(words[:n]) + " " + "z" * big).encode(), np.uint8)
+    cases = [one(n, big) for n in (1, 24, 31, 32, 33, 95, 96, 97, 103, 104, 105, 127, 128, 129, 500, 2000) for big in (0, 3000)]
+    whole = [tx.text_features(model, b, np.array([0, len(b)])) for b in cases]
+    monkeypatch.setattr(tx, "STRETCH", 4)
+    monkeypatch.setattr(tx, "TOGETHER", 700)
+    for b, want in zip(cases, whole, strict=True):
+        assert np.abs(tx.long_features(model, b) - want).max() < 1e-4
+
+
+def test_one_doc_id_on_many_rows_is_one_training_text(spark):
+    texts, labels = world(200)
+    docs = frame(spark, [*texts, *["the same text again"] * 5000], [*range(200), *[3] * 5000])
+    model = tx.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int, text string"), 50)
+    assert "words" in model

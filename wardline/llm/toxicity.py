@@ -7,14 +7,20 @@ score is a logistic of its largest window logit and its number of windows,
 fitted with the label frequencies of all training rows.
 
 Training reads a bounded sample, about ``per_label`` training rows of each
-label at most, chosen by a hash of doc_id. It first learns from all windows of
-the sample and then, round by round, from the windows that score highest in
-each document (labels are per document). Scoring covers every window of every
-whole text; words are looked up once per block.
+label at most, chosen by a hash of doc_id; a doc_id on many rows is one text
+(the smallest), and texts over LONGEST_LEARNED bytes are not learned from. It
+first learns from all windows of the sample and then, round by round, from the
+windows that score highest in each document (one of label 1, three of label 0:
+labels are per document). Each step leaves out the vectors of a share DROP of
+the words, so that a small sample is not learned by heart. Scoring covers every
+window of every whole text, a long text some thousand windows at a time; words
+are looked up once per block.
 
 Defined results: null, empty or wordless text scores as the median label 0 text of the sample; without
 training rows of both labels every score is the mean label (0 if there is
-none); a null doc_id is not held out and never learned from.
+none); a null doc_id is not held out and never learned from; of several labels
+of a doc_id (ties) 1 wins; repeated rows each get the same score; an empty
+table gives an empty result; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import BYTE_CODES, LOWER, Ranges, arrow, blocks, keyed, raw, text_column, word_bounds
-from wardline.llm.language_id import remainder, sample
+from wardline.llm.common import BYTE_CODES, IS_SPACE, LOWER, Ranges, arrow, blocks, keyed, raw, text_column, word_bounds
+from wardline.llm.language_id import LONGEST_LEARNED, remainder, sample
 
 WORDS, GRAMS, WIDTH, HIDDEN = 1 << 14, 1 << 12, 8, 8
 SPAN, STRIDE = 32, 24
+#: Share of the distinct words whose own vector a training step leaves out, so that spelling is learned too.
+DROP = 0.7
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
+#: Bytes of texts (or trigrams of words) that are taken together.
+TOGETHER = 1 << 19
 
 # ------------------------------------------------------------- input
 
@@ -70,7 +80,12 @@ def inputs(p: dict, t: Text, kinds: np.ndarray) -> np.ndarray:
     n = t.n[kinds]
     lead = np.cumsum(n) - n
     at = np.arange(n.sum()) + np.repeat(t.lead[kinds] - lead, n)
-    chars = np.add.reduceat(p["grams"][t.grams[at]], lead) / np.sqrt(n)[:, None] if len(kinds) else np.zeros((0, WIDTH), np.float32)
+    chars = np.zeros((len(kinds), WIDTH), np.float32)
+    for lo in range(0, len(at), TOGETHER):  # a word may be longer than that
+        first = np.unique(np.maximum(lead[np.searchsorted(lead, lo, "right") - 1 : np.searchsorted(lead, lo + TOGETHER)] - lo, 0))
+        own = np.searchsorted(lead, lo, "right") - 1
+        chars[own : own + len(first)] += np.add.reduceat(p["grams"][t.grams[at[lo : lo + TOGETHER]]], first)
+    chars /= np.sqrt(n)[:, None]
     return np.concatenate([p["words"][t.bucket[kinds]], chars], 1).astype(np.float32)
 
 
@@ -123,13 +138,15 @@ def run_back(grad: np.ndarray, saved: list, mask: np.ndarray, u: np.ndarray):
     return dgx, du
 
 
-def forward(p: dict, t: Text, pick: np.ndarray, keep: bool = False):
-    """Logits of the windows ``pick``."""
+def forward(p: dict, t: Text, pick: np.ndarray, keep: bool = False, seen: np.ndarray | None = None):
+    """Logits of the windows ``pick``. seen: a factor for the word vector of each of t's distinct words (training leaves some out)."""
     word = t.word[:, pick]
     kinds, index = np.unique(word, return_inverse=True)
     index = index.reshape(word.shape)
     pad = int(len(kinds) and kinds[0] == -1)
     x = inputs(p, t, kinds[pad:])
+    if seen is not None:
+        x[:, :WIDTH] *= seen[kinds[pad:], None]
     if pad:
         x = np.concatenate([np.zeros((1, 2 * WIDTH), np.float32), x])
     mask = (word >= 0).astype(np.float32)[:, :, None]
@@ -146,8 +163,8 @@ def forward(p: dict, t: Text, pick: np.ndarray, keep: bool = False):
     return logit, (kinds, index, pad, x, mask, saved, h, a, pooled) if keep else None
 
 
-def gradients(p: dict, t: Text, pick: np.ndarray, target: np.ndarray) -> dict:
-    logit, (kinds, index, pad, x, mask, saved, h, a, pooled) = forward(p, t, pick, True)
+def gradients(p: dict, t: Text, pick: np.ndarray, target: np.ndarray, seen: np.ndarray | None = None) -> dict:
+    logit, (kinds, index, pad, x, mask, saved, h, a, pooled) = forward(p, t, pick, True, seen)
     d = ((sigmoid(logit) - target) / len(target)).astype(np.float32)
     g = {"out": pooled.T @ d, "bias": np.array([d.sum()], np.float32)}
     dpool = d[:, None] * p["out"]
@@ -164,7 +181,7 @@ def gradients(p: dict, t: Text, pick: np.ndarray, target: np.ndarray) -> dict:
         dx += by @ p[f"w{way}"].T
     kinds, dx = kinds[pad:], dx[pad:]
     g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
-    np.add.at(g["words"], t.bucket[kinds], dx[:, :WIDTH])
+    np.add.at(g["words"], t.bucket[kinds], dx[:, :WIDTH] if seen is None else dx[:, :WIDTH] * seen[kinds, None])
     n = t.n[kinds]
     lead = np.cumsum(n) - n
     at = np.arange(n.sum()) + np.repeat(t.lead[kinds] - lead, n)
@@ -218,10 +235,10 @@ def fit(texts: pa.Array, y: np.ndarray, share: float) -> dict:
         pick = rng.permutation(pick)
         for lo in range(0, len(pick), 256):
             part = pick[lo : lo + 256]
-            adam.step(gradients(p, t, part, label[part].astype(np.float32)))
+            seen = (rng.random(len(t.bucket)) >= DROP).astype(np.float32) / (1 - DROP)
+            adam.step(gradients(p, t, part, label[part].astype(np.float32), seen))
 
-    few = np.flatnonzero(t.windows[t.doc] <= np.median(t.windows))
-    epoch(few)
+    epoch(np.arange(len(t.doc)))
     for i in range(rounds):
         logits = window_logits(p, t)
         order = np.lexsort((-logits, t.doc))
@@ -236,26 +253,59 @@ def fit(texts: pa.Array, y: np.ndarray, share: float) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int) -> dict:
-    marks = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marks = marks.where(remainder(4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     # the sample is bounded whatever the tables hold, so the texts stay where they are
-    chosen = F.broadcast(sample(marks, "toxic", per_label).limit(4 * per_label))
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(chosen, "doc_id").orderBy("doc_id", "text").toArrow()
+    chosen = F.broadcast(sample(marks, "toxic", per_label, "doc_id").limit(4 * per_label))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.octet_length("text") <= LONGEST_LEARNED)).join(chosen, "doc_id")
+    got = known.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
     y = np.array(got["toxic"].to_pylist(), np.int64)
     texts = got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
     return fit(texts, y, n.get(1, 0) / max(1, sum(n.values())))
 
 
+#: Windows of a long text that are scored together.
+STRETCH = 4096
+
+
+def stretches(buf: np.ndarray) -> list[tuple[int, int]]:
+    """Byte ranges of a text that hold STRETCH of its windows each (the last one the rest), without the words of all of it at once."""
+    step, cuts, n, before = STRETCH * STRIDE, {}, 0, False
+    for lo in range(0, len(buf), TOGETHER):
+        inside = ~IS_SPACE[buf[lo : lo + TOGETHER]]
+        start = np.flatnonzero(inside & ~np.append(before, inside[:-1]))
+        # a stretch begins with word i * step and ends before word (i + 1) * step + SPAN - STRIDE
+        for at in (*range(-(-n // step) * step, n + len(start), step), *(i for i in range(SPAN - STRIDE + -(-(n - SPAN + STRIDE) // step) * step, n + len(start), step) if i >= n)):
+            cuts[at] = lo + int(start[at - n])
+        n, before = n + len(start), bool(inside[-1])
+    windows = -(-(n - SPAN) // STRIDE) + 1 if n > SPAN else 1
+    many = -(-windows // STRETCH)
+    return [(cuts.get(i * step, 0), cuts.get((i + 1) * step + SPAN - STRIDE, len(buf)) if i + 1 < many else len(buf)) for i in range(many)]
+
+
+def text_features(model: dict, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Features of each text; a text without a word gets the model's ``empty`` logit."""
+    t = Text(buf, off)
+    x = features(window_logits(model, t), t)
+    x[t.word[0, np.cumsum(t.windows) - t.windows] < 0, 0] = model["empty"]
+    return x
+
+
+def long_features(model: dict, buf: np.ndarray) -> np.ndarray:
+    """Features of one long text, a stretch at a time: the largest logit, the sum of the windows."""
+    parts = np.concatenate([text_features(model, buf[a:b], np.array([0, b - a])) for a, b in stretches(buf)])
+    return np.array([[parts[:, 0].max(), np.log(np.exp(parts[:, 1]).sum().round()), 1.0]])
+
+
 def scores(batches, model: dict):
     for batch in batches:
         buf, off = raw(text_column(batch["text"]))
         out = np.full(batch.num_rows, model.get("mean", 0.0))
         if "mean" not in model:
-            for lo, hi in blocks(off, 1 << 19):
-                t = Text(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                x = features(window_logits(model, t), t)
-                x[t.word[0, np.cumsum(t.windows) - t.windows] < 0, 0] = model["empty"]
+            for lo, hi in blocks(off, TOGETHER):
+                own = buf[off[lo] : off[hi]]
+                x = long_features(model, own) if len(own) > TOGETHER else text_features(model, own, off[lo : hi + 1] - off[lo])
                 out[lo:hi] = 1 / (1 + np.exp(-np.clip(x @ model["logistic"], -30, 30)))
         yield arrow(SCORES, batch["doc_id"], out)
 
