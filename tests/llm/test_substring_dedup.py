@@ -41,3 +41,38 @@ def test_repeated_rows_long_text_and_empty_table(spark):
     assert have == brute(rows)
     assert substring_dedup(frame(spark, [])).collect() == []
     assert substring_dedup(frame(spark, ["x"], [None])).collect()[0].n_words == 1
+
+
+def test_a_passage_between_ever_new_words_in_every_document(spark):
+    """Its edge windows stand in as many regions as there are documents; each task sends them on about once."""
+    from pyspark.sql import functions as F
+
+    from wardline.llm import substring_dedup as sd
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"{i}a{j}" for j in range(25)) + " " + passage + " " + " ".join(f"{i}b{j}" for j in range(25))) for i in range(400)]
+    got = substring_dedup(frame(spark, [t for _, t in rows]).repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got) == brute(rows)
+    docs = frame(spark, [t for _, t in rows]).select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), "text", F.array(F.struct(F.lit(25).alias("s"), F.lit(11).alias("n"), F.lit(False).alias("whole"))).alias("marks"))
+    out = docs.coalesce(2).mapInArrow(lambda it: sd.extend(it, 20), sd.ddl(sd.WINDOWS))
+    assert out.where("w1 is not null").groupBy("w1", "w2").count().agg(F.max("count")).first()[0] <= 2 * docs.coalesce(2).rdd.getNumPartitions()
+
+
+def test_what_was_met_lately_is_a_repeat_only_after_an_earlier_one():
+    import numpy as np
+
+    from wardline.llm.substring_dedup import Lately
+
+    r = np.random.default_rng(1)
+    lately, first = Lately(64), {}
+    for _ in range(300):
+        w = np.unique(r.integers(-50, 50, 20))
+        k, h, s = r.integers(0, 30, len(w)), r.integers(0, 2, len(w)), r.integers(0, 5, len(w))
+        for x, row, known in zip(w.tolist(), zip(k.tolist(), h.tolist(), s.tolist()), lately.known(w, w * 7, k, h, s), strict=True):
+            assert not known or first[x] < row
+            first[x] = min(first.get(x, row), row)
+
+
+def test_columns_of_any_name(spark):
+    docs = frame(spark, ["a b c"]).withColumnsRenamed({"lang": "marks", "source": "runs", "region": "w1"})
+    assert [(r.doc_id, r.kept_text) for r in substring_dedup(docs).collect()] == [(0, "a b c")]

@@ -11,14 +11,17 @@ anchor occurrence is its *region*, the anchor extended both ways.
    anchor with several regions (or one cut by a partition border) the first
    occurrence of each region goes on.
 2. These few are extended window by window: their window hashes (128 bits)
-   are first reduced inside a block, then meet by hash; all but the first
-   occurrence of a window are repeats.
+   are first reduced inside a block and against the windows that the task has
+   met lately, so that a window of very many regions leaves each task about
+   once; then they meet by hash, and all but the first occurrence of a window
+   are repeats.
 3. Repeated windows are merged per document into maximal ranges and cut out.
 
 Defined results: null text has no words; rows that repeat doc_id and text
 count once and get the same result; equal doc_ids with other texts are ordered
-by a text hash; a null doc_id comes first; fewer than ``window`` words: nothing
-removed; an empty table gives an empty result.
+by a text hash (ties); a null doc_id comes first; fewer than ``window`` words:
+nothing removed; texts may have any length and docs any other columns; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -151,8 +154,28 @@ def merged(row: np.ndarray, s: np.ndarray, n: np.ndarray):
     return row[first], s[first], (end - s[first]).astype(s.dtype)
 
 
+class Lately:
+    """The first occurrences of windows that a task has met, in a table of fixed size where a window may oust another."""
+
+    def __init__(self, size: int = 1 << 17) -> None:
+        self.size, self.full = size, np.zeros(size, bool)
+        self.rows = np.zeros((5, size), np.int64)  # w1, w2, k, h, s
+
+    def known(self, w1: np.ndarray, w2: np.ndarray, k: np.ndarray, h: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Whether an earlier occurrence of each (distinct) window has been met; what has none is kept."""
+        at = (w1.view(np.uint64) % np.uint64(self.size)).astype(np.int64)
+        v1, v2, a, b, c = self.rows[:, at]
+        same = self.full[at] & (v1 == w1) & (v2 == w2)
+        out = same & ((a < k) | ((a == k) & ((b < h) | ((b == h) & (c < s)))))
+        new = ~out
+        self.full[at[new]] = True
+        self.rows[:, at[new]] = np.stack([x[new] for x in (w1, w2, k, h, s.astype(np.int64))])
+        return out
+
+
 def extend(batches, window: int):
-    """Window hashes of the marked regions; whole repeats, and repeats inside the block, leave as plain ranges (w1 = w2 = null)."""
+    """Window hashes of the marked regions; whole repeats, and repeats inside the block or of what was met lately, leave as plain ranges (w1 = w2 = null)."""
+    lately = Lately()
     for batch in batches:
         buf, off = raw(batch["text"])
         k, h = batch["k"].to_numpy(), batch["h"].to_numpy()
@@ -179,6 +202,9 @@ def extend(batches, window: int):
             head = np.maximum.accumulate(np.where(new, np.arange(len(wr)), 0)) if len(wr) else np.empty(0, int)
             same = (k[lo + wr] == k[lo + wr[head]]) & (h[lo + wr] == h[lo + wr[head]]) & (ws == ws[head])
             known = ~new & ~same
+            i = np.flatnonzero(new)
+            known[i] = lately.known(w1[i], w2[i], k[lo + wr[i]], h[lo + wr[i]], ws[i])
+            new &= ~known
             mr, ms, mn = merged(np.concatenate([row[pw], wr[known]]), np.concatenate([ps[pw], ws[known]]).astype(np.int64), np.concatenate([pn[pw], np.ones(known.sum(), pn.dtype)]).astype(np.int64))
             if len(mr):
                 none = pa.nulls(len(mr), pa.int64())
