@@ -2,7 +2,16 @@
 
 Counts as part of wardline.llm. Each stage takes (spark, docs, sf_dir); all but
 the last return the columns of documents. run() writes each stage as Parquet in
-the shared checkpoint folder and reads it again as the next one's docs.
+the shared checkpoint folder and reads it again as the next one's docs; a stage
+before the last two is deleted. A run that is given a folder resumes there
+after its last finished stage.
+
+Defined results: documents of null, empty or letterless text go in the first
+stage; of rows that repeat doc_id and text one stays (third stage); rows that
+only share a doc_id, or have none, are kept apart; texts may have any length;
+further columns of documents, whatever their names, stay up to the fourth
+stage; of a group of near copies the smallest doc_id stays, a null one before
+all (ties: the smaller text hash); an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -15,6 +24,12 @@ from pyspark.sql import functions as F
 from wardline.llm import decontamination, language_id, line_dedup, packing, simhash
 from wardline.llm.common import shared_dir, table
 from wardline.llm.queries import tokenizer_file
+from wardline.plans.runner import exists
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +65,18 @@ STAGES = [("language_id", identified), ("line_dedup", lines_once), ("simhash_nea
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return docs
+def run(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """The rows of the last stage. base: a folder that executors and driver share, where an earlier run of the same documents is taken up."""
+    base = base or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = [f"{base}/{name}" for name, _ in STAGES]
+    done = max((i for i, out in enumerate(at) if exists(spark, f"{out}/_SUCCESS")), default=-1)
+    for i, (_, stage) in enumerate(STAGES):
+        if i <= done:
+            continue
+        docs = spark.read.parquet(at[i - 1]) if i else table(spark, sf_dir, "documents")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at[i])
+        if i > 1:
+            remove(spark, at[i - 2])
+    if len(at) > 1:
+        remove(spark, at[-2])
+    return spark.read.parquet(at[-1])

@@ -44,6 +44,54 @@ def test_run_against_brute_force(spark):
     assert sum(r.length for r in pieces) == sum(want.values())
 
 
+def test_odd_rows_and_columns_go_through_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, shared and missing ids, extra columns."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, SMALL, "documents").withColumns({"k": F.lit(7), "_k0": F.lit(8), "row": F.lit(9), "kept": F.lit(10)})
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    german = [t for i, t in sorted(texts.items()) if 80 < len(t.split()) < 300][:8]
+    extra = [(900, None), (901, ""), (902, "1 2 3"), (None, german[0] + " " + german[1]), (None, german[2] + " " + german[3]), (903, german[4] + " " + german[5]), (903, german[6] + " " + german[0]), (904, " ".join([*german, *texts.values()]))]
+    rows = spark.createDataFrame([(i, t) for i, t in extra], "doc_id long, text string")
+    more = docs.unionByName(rows, allowMissingColumns=True).fillna({"k": 7, "_k0": 8, "row": 9, "kept": 10})
+    more = more.unionByName(more.where("doc_id = 904 or doc_id < 20"))
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SMALL, "benchmark").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert sorted(step.columns) == sorted(docs.columns), name
+    kept = step.collect()
+    ids = [r.doc_id for r in kept]
+    assert not {900, 901, 902} & set(ids) and ids.count(904) == 1 and ids.count(None) == 2 and ids.count(903) == 2
+    assert len(kept) == len({(r.doc_id, r.text) for r in kept}) and {(r.k, r["_k0"], r.row, r.kept) for r in kept} == {(7, 8, 9, 10)}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(i or -1 for i in ids) == sorted(r.doc_id or -1 for r in pieces if r.start == 0)
+
+
+def test_a_run_is_taken_up_after_its_last_stage(spark, tmp_path, monkeypatch):
+    base, ran = f"file://{tmp_path}/run", []
+
+    def told(name, stage, fails):
+        def f(spark, docs, sf_dir):
+            ran.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return stage(spark, docs, sf_dir)
+
+        return f
+
+    stages = corpus_pipeline.STAGES
+    for at in (2, None):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, told(n, f, i == at)) for i, (n, f) in enumerate(stages)])
+        try:
+            rows = corpus_pipeline.run(spark, SMALL, base)
+        except RuntimeError:
+            continue
+    assert ran == [n for n, _ in stages[:3]] + [n for n, _ in stages[2:]]
+    assert rows.count() > 0 and [p.name for p in (tmp_path / "run").iterdir()] == [stages[-1][0]]
+
+
 def test_stages_keep_the_columns(spark):
     docs = table(spark, SMALL, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
