@@ -155,3 +155,85 @@ def test_strict_balance_takes_the_smallest_quadrant_of_each(spark):
     got = [r["quadrant"] for r in sampling.strictly_balanced(rows, 3).collect()]
     assert {q: got.count(q) for q in have} == dict.fromkeys(have, 4) and len(got) == 16
     assert sampling.strictly_balanced(rows.where("quadrant != 'like_unsafe'"), 3).count() == 0
+
+
+def test_a_blocked_row_still_gets_its_negative(spark):
+    """All but a few items are seen, so the trials fail; what is left is drawn exactly."""
+    n = spark.createDataFrame([(500,)], "n long")
+    seen = sorted(set(range(500)) - {3, 250, 499})
+    who = spark.createDataFrame([(1, 0, seen), (2, 0, list(range(500))), (3, 0, [*seen, 3, 250, 9999])], "u long, i long, block array<bigint>")
+    got = sampling.trial_negatives(who, n, 40, 2, 5).select("u", "neg").collect()
+    assert {r["neg"] for r in got if r["u"] == 1} == {3, 250, 499}
+    assert {r["neg"] for r in got if r["u"] == 2} == {None} and {r["neg"] for r in got if r["u"] == 3} == {499}
+
+
+def test_negatives_by_draws_by_join_and_for_the_nearly_blocked(spark, monkeypatch):
+    items = spark.range(400).select((F.col("id") * 7 + 3).alias("i"))
+    ids = [7 * k + 3 for k in range(400)]
+    users = spark.createDataFrame([(1, []), (2, ids[:200]), (3, ids[:395]), (4, ids)], "u long, block array<bigint>")
+    want = {}
+    for u, block in ((1, []), (2, ids[:200]), (3, ids[:395]), (4, ids)):
+        drawn = [ids[int(hashlib.md5(f"5|{u}|{t}".encode()).hexdigest()[:12], 16) % 400] for t in range(4 * 20)]
+        free = list(dict.fromkeys(i for i in drawn if i not in block))
+        rest = sorted((i for i in ids if i not in block), key=lambda i: (hashlib.md5(f"5|{u}|{i}".encode()).hexdigest()[:12], i))
+        want[u] = (free if len(free) >= 20 else rest)[:20]
+    for bound in (1_000_000, 10):
+        monkeypatch.setattr(sampling, "BROADCAST_ITEMS", bound)
+        got = {}
+        for r in sorted(sampling.negatives(users, items, 20, 5).collect(), key=lambda r: (r["u"], r["place"])):
+            got.setdefault(r["u"], []).append(r["i"])
+        assert got == {u: x for u, x in want.items() if x}
+
+
+def test_long_pool_lines_keep_their_tail(spark):
+    from wardline.sources.readers import pool_lines
+
+    n = 1_000_003
+    line = spark.range(1).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i.cast("string"))).alias("value"))
+    assert pool_lines(line).agg(F.count("*"), F.max("i")).first()[:] == (n, n)
+
+
+def test_fingerprints_tell_repeated_rows_apart(spark):
+    from wardline.sources.writers import fingerprint
+
+    of = lambda rows: fingerprint(spark.createDataFrame(rows, "x string, y string")).first()
+    assert of([("a", None), ("a", None)]) != of([("b", None), ("b", None)])
+    assert of([("a", None)]) != of([(None, "a")]) and of([("a", "b"), ("c", "d")]) == of([("c", "d"), ("a", "b")])
+
+
+def test_bootstrap_of_2000_replicas_equals_brute_force(spark):
+    import numpy as np
+
+    values = {u: (u * 37 % 11) / 10 for u in range(60)}
+    steps, means = audit.poisson_steps(), []
+    for r in range(2000):
+        w = {u: sum((int(hashlib.md5(f"7|{u}|{r // 4}".encode()).hexdigest()[8 * (r % 4) : 8 * (r % 4) + 8], 16) + 0.5) / 2**32 > t for t in steps) for u in values}
+        means.append(sum(w[u] * x for u, x in values.items()) / max(1, sum(w.values())))
+    got = audit.bootstrap(spark.createDataFrame(list(values.items()), "u long, v double"), "v").first()
+    assert np.allclose([got["low"], got["high"], got["mean"]], [*np.quantile(means, [0.025, 0.975]), np.mean(list(values.values()))])
+
+
+def test_the_best_of_many_pieces_are_the_best_of_all():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    scores, ids = r.integers(0, 9, (4, 500)) / 9.0, r.permutation(500)
+    best = retrieval.Best(4, 7)
+    for lo in range(0, 500, 23):
+        order = np.argsort(ids[lo : lo + 23])
+        best.add(ids[lo : lo + 23][order], scores[:, lo : lo + 23][:, order])
+    for q in range(4):
+        assert list(zip(-best.score[q], best.id[q])) == sorted(zip(-scores[q], ids))[:7]
+
+
+def test_catalogues_are_cut_by_their_bytes(spark, monkeypatch):
+    from wardline.operators import ranking
+
+    users = spark.createDataFrame([(1, [5]), (2, [])], "u long, block array<bigint>")
+    items = spark.range(40).select(F.col("id").alias("i"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: k.cast("double")).alias("v"))
+    score = lambda rows, columns: np.stack(columns["v"]).sum(1)[None, :] * 0 + (columns["i"][None, :] * 7 % 40)
+    import numpy as np
+
+    want = sorted(ranking.rank_catalogue(users, items, score, 6).collect())
+    monkeypatch.setattr(ranking, "ITEM_BYTES", 900)
+    assert sorted(ranking.rank_catalogue(users, items, score, 6).collect()) == want and len(want) == 12

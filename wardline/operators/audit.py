@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -63,16 +64,26 @@ def paired_means(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return both.agg(F.count(F.when(paired, 1)).alias("n"), F.round(F.avg(F.when(paired, F.col("y") - F.col("x"))), 6).alias("mean_diff"), F.count(F.when(~paired, 1)).alias("unpaired"))
 
 
-def bootstrap(diffs: DataFrame, value: str, repeats: int = 200, seed: int = 7) -> DataFrame:
-    """mean, low, high: 95 % interval of the mean by Poisson resampling; each row is weighted in all replicas where it stands."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "u", "r"), F.lit(1 << 40)) + 0.5) / (1 << 40)
-    weight, term = F.lit(0), 0.36787944117144233
-    upto = 0.0
-    for n in range(8):
-        upto += term
-        weight = weight + (u > upto).cast("int")
+def poisson_steps(most: int = 8) -> list[float]:
+    """Chances that a Poisson(1) weight is at most 0, 1, ...: a uniform draw above the n-th of them weighs more than n."""
+    out, term = [], math.exp(-1)
+    for n in range(most):
+        out.append((out[-1] if out else 0.0) + term)
         term /= n + 1
-    rows = diffs.select("u", F.col(value).alias("x")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("w", weight)
-    means = rows.groupBy("r").agg((F.sum(F.col("w") * F.col("x")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
+    return out
+
+
+def bootstrap(diffs: DataFrame, value: str, repeats: int = 2000, seed: int = 7) -> DataFrame:
+    """mean, low, high: 95 % interval of the mean by Poisson resampling; each row is weighted in all replicas where it stands.
+
+    One md5 of seed|u|b gives the draws of four replicas; sums are partial before the shuffle, which carries one row per replica and task.
+    """
+    rows = diffs.select("u", F.col(value).alias("x")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit((repeats - 1) // 4))))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("u").cast("string"), F.col("b").cast("string")))
+    rows = rows.select("x", "b", digest.alias("d"))
+    four = F.array(*[F.struct(F.lit(q).alias("q"), ((F.conv(F.substring("d", 8 * q + 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32).alias("z")) for q in range(4)])
+    rows = rows.select("x", "b", F.explode(four).alias("y")).select("x", (F.col("b") * 4 + F.col("y.q")).alias("r"), F.col("y.z").alias("z")).where(F.col("r") < repeats)
+    weight = reduce(lambda s, t: s + (F.col("z") > t).cast("int"), poisson_steps(), F.lit(0))
+    means = rows.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("w") * F.col("x")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
     point = diffs.agg(F.avg(value).alias("mean"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).join(F.broadcast(point))

@@ -22,13 +22,15 @@ def risk_curve(ranked: DataFrame, grid: DataFrame) -> DataFrame:
     safety at least gamma; the envelope takes the largest risk at gamma or
     above; adjusted is (n * envelope + 1) / (n + 1).
     """
-    rows = ranked.join(F.broadcast(grid), F.lit(True)).where(F.col("safety") >= F.col("gamma"))
-    place = F.row_number().over(Window.partitionBy("u", "g").orderBy("rank"))
-    risk = rows.withColumn("place", place).where(F.col("place") <= SLOTS).groupBy("u", "g").agg((F.sum("unsafe") / SLOTS).alias("risk"))
-    full = ranked.select("u").distinct().join(F.broadcast(grid), F.lit(True)).join(risk, ["u", "g"], "left").fillna(0.0, ["risk"])
-    above = Window.partitionBy("u").orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, 0)
-    full = full.withColumn("top", F.max("risk").over(above))
-    out = full.groupBy("g", "gamma").agg(F.avg("risk").alias("raw"), F.avg("top").alias("envelope"), F.count("*").alias("n"))
+    # a user's bounded list stays one row; its whole curve is computed there
+    lists = ranked.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("rank", "safety", "unsafe"))).alias("x"))
+    steps = F.broadcast(grid.agg(F.array_sort(F.collect_list(F.struct("g", "gamma"))).alias("grid")))
+    accepted = lambda gamma: F.slice(F.filter("x", lambda r: r["safety"] >= gamma), 1, SLOTS)
+    risk = F.transform("grid", lambda p: F.aggregate(accepted(p["gamma"]), F.lit(0.0), lambda s, r: s + r["unsafe"]) / SLOTS)
+    curves = lists.join(steps, F.lit(True)).select("grid", risk.alias("risk"))
+    tops = F.transform("risk", lambda r, i: F.array_max(F.slice("risk", i + 1, F.size("risk"))))
+    cells = curves.select(F.explode(F.arrays_zip(F.col("grid"), F.col("risk"), tops.alias("top"))).alias("c"))
+    out = cells.groupBy(F.col("c.grid.g").alias("g"), F.col("c.grid.gamma").alias("gamma")).agg(F.avg("c.risk").alias("raw"), F.avg("c.top").alias("envelope"), F.count("*").alias("n"))
     return out.withColumn("adjusted", (F.col("n") * F.col("envelope") + 1) / (F.col("n") + 1))
 
 

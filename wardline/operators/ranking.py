@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Items of one block; their columns are sent to every worker, so this bounds what is broadcast.
-ITEM_BLOCK = 1_000_000
+#: Items of one block, and bytes of their columns: these are sent to every worker, so this bounds what is broadcast.
+ITEM_BLOCK, ITEM_BYTES = 1_000_000, 64 << 20
 #: Score cells that a worker holds at once.
 CELLS = 1 << 22
 RANKED = pa.schema([("u", pa.int64()), ("i", pa.int64()), ("score", pa.float64())])
@@ -58,12 +59,13 @@ def top_of_block(users: DataFrame, items: dict[str, np.ndarray], score: Score, k
 def rank_catalogue(users: DataFrame, items: DataFrame, score: Score, k: int, more: list[str] | None = None) -> DataFrame:
     """u, i, score, rank (1 best) of each user's k best items that are not in the array ``block``.
 
-    items: column i and whatever score reads; more: the user columns that it reads. More than ITEM_BLOCK items come block by block, and the blocks'
-    best are ranked together; blocked items never surface, short lists stay short.
+    items: column i and whatever score reads; more: the user columns that it reads. Items of more than ITEM_BLOCK rows or ITEM_BYTES come block by
+    block, and the blocks' best are ranked together; blocked items never surface, short lists stay short.
     """
     names = items.columns
-    n = items.count()
-    blocks = -(-n // ITEM_BLOCK) or 1
+    width = lambda c, t: F.size(c) * 16 if t.startswith("array") else F.lit(8)
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(reduce(Column.__add__, [F.coalesce(width(c, t), F.lit(0)) for c, t in items.dtypes])), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-size["n"] // ITEM_BLOCK), -(-size["bytes"] // ITEM_BYTES), 1)
     parts = items.repartitionByRange(blocks, "i") if blocks > 1 else items
     best = None
     for b in range(blocks):

@@ -64,7 +64,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 9) -> D
     """q, c, score, rank: the k chunks of largest inner product per query, ties to the smaller c.
 
     queries: q, qv; chunks: c, cv, all of one length. Scores are rounded, so that equal vectors tie. Queries come in blocks of QUERY_BLOCK;
-    chunks stay where they are, and each piece of them gives only its k best per query.
+    chunks stay where they are, and each task gives only its k best per query.
     """
     blocks = -(-queries.count() // QUERY_BLOCK)
     parts = queries.select("q", "qv").repartitionByRange(blocks, "q") if blocks > 1 else queries.select("q", "qv")
@@ -78,18 +78,43 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 9) -> D
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Best:
+    """The k best chunks of each query so far: scores descending, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.score, self.id = k, np.full((queries, 0), 0.0), np.full((queries, 0), 0, np.int64)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """ids ascending, scores queries x ids."""
+        if scores.shape[1] > self.k:  # the k-th best of the piece; ties at it go to the smaller ids
+            edge = np.partition(scores, scores.shape[1] - self.k, 1)[:, -self.k, None]
+            over, tie = scores > edge, scores == edge
+            take = over | (tie & (np.cumsum(tie, 1) <= self.k - over.sum(1, keepdims=True)))
+            at = np.nonzero(take)[1].reshape(len(scores), self.k)
+            ids, scores = ids[at], np.take_along_axis(scores, at, 1)
+        else:
+            ids = np.broadcast_to(ids, scores.shape)
+        both, who = np.concatenate([self.score, scores], 1), np.concatenate([self.id, ids], 1)
+        order = np.lexsort((who, -both), axis=1)[:, : self.k]
+        self.score, self.id = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+
+
 def best_of_pieces(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> DataFrame:
+    """The k best of each task for each query, kept over all its pieces and sent on once."""
+
     def run(batches):
+        best, step = Best(len(ids), k), max(1, CELLS // max(1, len(ids)))
         for batch in batches:
-            step = max(1, CELLS // max(1, len(ids)))
             for lo in range(0, batch.num_rows, step):
                 piece = batch.slice(lo, step)
                 c = piece["c"].to_numpy()
                 v = np.stack(piece["cv"].to_numpy(zero_copy_only=False)).astype(np.float64)
                 order = np.argsort(c, kind="stable")
-                s = np.round(vectors @ v[order].T, digits)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(c[order][top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], schema=NEAR)
+                best.add(c[order], np.round(vectors @ v[order].T, digits))
+        n = max(1, CELLS // max(1, best.id.shape[1]))
+        for lo in range(0, len(ids), n):
+            own = best.id[lo : lo + n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + n], own.shape[1])), pa.array(own.ravel()), pa.array(best.score[lo : lo + n].ravel())], schema=NEAR)
 
     return chunks.select("c", "cv").where("c is not null and cv is not null").mapInArrow(run, "q long, c long, score double")
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.history import dense_ids
 from wardline.operators.ranking import rank_catalogue
 
 
@@ -16,8 +17,42 @@ def draw(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+#: Item ids that are broadcast as one sorted array (8 bytes each); of more, only the drawn ones are looked up, by a join.
+BROADCAST_ITEMS = 1_000_000
+#: Draws for each wanted item.
+DRAWS = 4
+
+
+def number(text: Column) -> Column:
+    """The first 12 hex digits of a text's md5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
 def negatives(users: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
-    """u, i, place: n items outside the user's ``block`` list in md5 order, drawn block by block so that no pair is shuffled."""
+    """u, i, place: the first n different items outside the user's ``block`` list among hashed draws from the catalogue.
+
+    Work follows n, not the catalogue. A user whose DRAWS * n draws give fewer
+    (the catalogue is small, or nearly all blocked) takes the first n unseen
+    items in md5 order instead, so that no one is short while there are items.
+    """
+    ids = items.select("i").distinct()
+    size = ids.count()
+    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS * n - 1)), lambda t: number(F.concat_ws("|", F.lit(str(seed)), F.col("u").cast("string"), t.cast("string"))) % max(1, size))
+    if size <= BROADCAST_ITEMS:
+        all_ = F.broadcast(ids.agg(F.array_sort(F.collect_list("i")).alias("all")))
+        drawn = users.select("u", "block").join(all_, F.lit(True)).select("u", "block", F.transform(draws, lambda d: F.get("all", d)).alias("drawn"))
+    else:
+        each = users.select("u", "block", F.posexplode(draws).alias("t", "d")).join(dense_ids(ids, "i", "d"), "d")
+        lists = each.groupBy("u").agg(F.any_value("block").alias("block"), F.array_sort(F.collect_list(F.struct("t", "i"))).alias("x"))
+        drawn = lists.select("u", "block", F.col("x.i").alias("drawn"))
+    free = drawn.select("u", "block", F.array_except("drawn", "block").alias("free"))
+    many = free.where(F.size("free") >= n).select("u", F.posexplode(F.slice("free", 1, n)).alias("place", "i"))
+    short = rank_catalogue(free.where(F.size("free") < n).select("u", "block"), ids, md5_order(seed), n)
+    return many.select("u", "i", (F.col("place") + 1).cast("long").alias("place")).unionByName(short.select("u", "i", F.col("rank").cast("long").alias("place")))
+
+
+def md5_order(seed: int):
+    """A block score for rank_catalogue: items in the order of md5(seed|u|i). One digest per pair, for the few that need it."""
 
     def score(rows: dict, columns: dict) -> np.ndarray:
         tails = [b"|%d" % i for i in columns["i"].tolist()]
@@ -30,8 +65,7 @@ def negatives(users: DataFrame, items: DataFrame, n: int, seed: int) -> DataFram
                 out[r, c] = -int.from_bytes(h.digest()[:6], "big")
         return out
 
-    drawn = rank_catalogue(users, items.select("i"), score, n)
-    return drawn.select("u", "i", F.col("rank").cast("long").alias("place"))
+    return score
 
 
 #: Leading hex digits of a draw whose counts come to the driver: at most 65,536 counts a stratum.
@@ -106,15 +140,21 @@ def strictly_balanced(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def trial_negatives(rows: DataFrame, n_items: DataFrame, per: int, trials: int, seed: int) -> DataFrame:
-    """rows with j (0 to per - 1) and neg: the first of ``trials`` hashed draws from 0..n-1 outside ``block``; null when all are blocked.
+    """rows with j (0 to per - 1) and neg: the first of ``trials`` hashed draws from 0..n-1 outside ``block``.
 
+    Where all trials are blocked one more draw picks among the unseen items
+    themselves, so neg is null only for a user who has seen everything.
     rows: u, i, block. n_items: one row with n, the number of dense item ids. Work and size follow the rows, not the catalogue.
     """
     each = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    text = lambda t: F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("u", "i", "j")], t.cast("string"))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: F.conv(F.substring(F.md5(text(t)), 1, 12), 16, 10).cast("long") % F.col("n"))
+    draw_ = lambda t: number(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("u", "i", "j")], t.cast("string")))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: draw_(t) % F.col("n"))
     free = F.filter(drawn, lambda x: ~F.array_contains("block", x))
-    return each.join(F.broadcast(n_items), F.lit(True)).withColumn("neg", F.get(free, F.lit(0))).drop("n")
+    seen = F.array_sort(F.filter(F.array_distinct("block"), lambda x: x.between(0, F.col("n") - 1)))
+    left = F.col("n") - F.size(seen)
+    # the place among the unseen ones grows by one for each seen item at or below it
+    rest = F.when(left > 0, F.aggregate(seen, draw_(F.lit(-1)) % F.greatest(left, F.lit(1)), lambda x, b: x + F.when(b <= x, 1).otherwise(0)))
+    return each.join(F.broadcast(n_items), F.lit(True)).withColumn("neg", F.coalesce(F.get(free, F.lit(0)), rest)).drop("n")
 
 
 def shuffled(rows: DataFrame, key: str, value: str, seed: int) -> DataFrame:

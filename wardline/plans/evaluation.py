@@ -9,17 +9,23 @@ from wardline.functions.policy import DIMS, bucket_flags, dim_flags
 from wardline.operators import audit, augment, calibrate, metrics, sampling, scoring
 from wardline.operators.ranking import block_lists, rank_catalogue
 from wardline.plans import adapters as A
+from wardline.plans.features import sql_negatives
 from wardline.plans.registry import query
 
 ALL_FLAGS = [*DIMS, "adult_hard", "unsafe_any"]
 SQL_DIM_FLAGS = ", ".join(f"cast({d} >= case when is_minor then 3 else 4 end as bigint) f_{d}" for d in DIMS)
 
 
-def sql_metrics(score: str, flags: str, names: list[str]) -> str:
+def sql_per(score: str, flags: str, names: list[str]) -> str:
+    """CTEs up to ``per``: one row per user and cutoff."""
     return f"""{A.PRELUDE}, {A.sql_ranked(score)},
 scored as (select r.u, r.is_minor, r.rank, r.i = t.i hit, {flags} from ranked r join item using (i) join spl t on t.u = r.u and t.split = 'test'),
 per as (select u, is_minor, k, max(cast(hit as int)) hit, sum(case when hit then 1 / log2(rank + 1) else 0 end) ndcg, count(*) slots, {", ".join(f"sum(f_{n}) {n}" for n in names)}
-  from scored join (values (1), (5), (10), (20)) v(k) on rank <= k group by 1, 2, 3),
+  from scored join (values (1), (5), (10), (20)) v(k) on rank <= k group by 1, 2, 3)"""
+
+
+def sql_metrics(score: str, flags: str, names: list[str]) -> str:
+    return f"""{sql_per(score, flags, names)},
 grouped as (select *, 'all' grp from per union all select *, case when is_minor then 'minor' else 'adult' end grp from per)
 select cast(k as bigint) k, grp, count(*) users, round(avg(hit), 6) hr, round(avg(ndcg), 6) ndcg, {", ".join(f"round(sum({n}) / sum(slots), 6) {n}" for n in names)} from grouped group by 1, 2"""
 
@@ -66,18 +72,32 @@ def macro_exposure(spark, sf_dir):
     return metrics.macro(dim_metrics(spark, sf_dir, A.base_score), "unsafe_any")
 
 
-@query("select * from (values ('part_over_whole', 0::bigint), ('whole_over_slots', 0::bigint)) t(\"check\", n)")
+PER_DIM = sql_per(A.sql_base(), DIM_SQL_FLAGS.replace("is_minor", "r.is_minor").replace("r.r.", "r."), ALL_FLAGS)
+
+
+@query(
+    f"""{PER_DIM}
+select 'part_over_whole' "check", count(*) filter (greatest({", ".join([*DIMS, "adult_hard"])}) > unsafe_any) n from per union all select 'whole_over_slots', count(*) filter (unsafe_any > slots) from per"""
+)
 def metric_consistency(spark, sf_dir):
     return audit.exposure_faults(dim_metrics(spark, sf_dir, A.base_score), [*DIMS, "adult_hard"], "unsafe_any")
 
 
+@query(
+    f"""{PER_DIM}, bad as (select u, k, slots, case when u % 7 = 0 then unsafe_any + 1 else sex end sex, case when u % 11 = 0 then slots + 2 else unsafe_any end unsafe_any from per)
+select 'part_over_whole' "check", count(*) filter (sex > unsafe_any) n from bad union all select 'whole_over_slots', count(*) filter (unsafe_any > slots) from bad"""
+)
+def metric_faults_found(spark, sf_dir):
+    """The same check over rows with planted faults."""
+    rows = dim_metrics(spark, sf_dir, A.base_score)
+    planted = {"sex": F.when(F.col("u") % 7 == 0, F.col("unsafe_any") + 1).otherwise(F.col("sex")), "unsafe_any": F.when(F.col("u") % 11 == 0, F.col("slots") + 2).otherwise(F.col("unsafe_any"))}
+    return audit.exposure_faults(rows.withColumns(planted), ["sex"], "unsafe_any")
 
 
 @query(
     f"""{A.PRELUDE},
-pool as (select usr.u, item.i, row_number() over (partition by usr.u order by md5('7|' || usr.u || '|' || item.i), item.i) place from usr cross join item
-  where usr.u in (select u from spl) and not exists (select 1 from inter s where s.u = usr.u and s.i = item.i) qualify place <= 99),
-cand as (select u, i, 0 pos from pool union all select u, i, 1 from spl where split = 'test'),
+who as materialized (select distinct u from spl), {sql_negatives(99, 7, "who")},
+cand as (select u, i, 0 pos from neg union all select u, i, 1 from spl where split = 'test'),
 r as (select u, i, pos, row_number() over (partition by u order by {A.sql_base("u", "i")} desc, i) rank from cand),
 k as (select k, u, max(case when pos = 1 and rank <= k then 1 else 0 end) hit, sum(case when pos = 1 and rank <= k then ln(2) / ln(rank + 1) else 0 end) ndcg from r cross join (values (1), (5), (10), (20)) v(k) group by 1, 2)
 select cast(k as bigint) k, count(*) users, round(avg(hit), 6) hr, round(avg(ndcg), 6) ndcg from k group by 1"""
@@ -151,10 +171,10 @@ def gmf_dot(spark, sf_dir):
 
 
 @query(
-    f"""{A.PRELUDE}, e as (select 'u' || u a, 'i' || i b from inter union all select 'i' || i, 'u' || u from inter),
-d as (select a, count(*) d from e group by 1),
-n as (select a node, dim, ((length(a) * 7 + dim * 3 + cast(substr(a, 2) as bigint)) % 11) / 11.0::double x from d cross join (values (0), (1), (2), (3)) t(dim)),
-m as (select e.a node, dim, sum(x / sqrt(cast(d1.d as double) * d2.d)) x from e join d d1 on d1.a = e.a join d d2 on d2.a = e.b join n on n.node = e.b group by 1, 2)
+    f"""{A.PRELUDE}, e as materialized (select 'u' || u a, 'i' || i b from inter union all select 'i' || i, 'u' || u from inter),
+d as materialized (select a, count(*) d from e group by 1),
+n as materialized (select a node, dim, ((length(a) * 7 + dim * 3 + cast(substr(a, 2) as bigint)) % 11) / 11.0::double x from d cross join (values (0), (1), (2), (3)) t(dim)),
+m as materialized (select e.a node, dim, sum(x / sqrt(cast(d1.d as double) * d2.d)) x from e join d d1 on d1.a = e.a join d d2 on d2.a = e.b join n on n.node = e.b group by 1, 2)
 select n.node, cast(n.dim as bigint) dim, round((n.x + coalesce(m.x, 0)) / 2, 6) x from n left join m using (node, dim)"""
 )
 def lightgcn_propagate_1hop(spark, sf_dir):
@@ -291,17 +311,68 @@ def paired_diff_mean(spark, sf_dir):
     return audit.paired_means(exposure(A.base_score), exposure(A.aug_score), "v")
 
 
-@query()
+STEPS = " + ".join(f"cast(z > {t!r}::double as int)" for t in audit.poisson_steps())
+
+
+@query(
+    f"""{PER_DIM}, v as materialized (select u, unsafe_any / 20.0::double - hit v from per where k = 20),
+b as (select v, b, md5('7|' || u || '|' || b) d from v cross join (select unnest(generate_series(0, 499)) b)),
+z as (select v, b * 4 + q r, (cast('0x' || substr(d, 8 * q + 1, 8) as bigint) + 0.5::double) / 4294967296.0::double z from b cross join (values (0), (1), (2), (3)) t(q)),
+m as (select r, sum(w * v) / greatest(sum(w), 1) m from (select r, v, {STEPS} w from z) group by 1)
+select round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high, (select round(avg(v), 6) from v) mean from m"""
+)
 def paired_bootstrap(spark, sf_dir):
     base = dim_metrics(spark, sf_dir, A.base_score).where("k = 20").select("u", (F.col("unsafe_any") / 20 - F.col("hit")).alias("v"))
-    return audit.bootstrap(base, "v")
+    found = audit.bootstrap(base, "v")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
-@query("select * from (values ('train_valid_overlap', 0::bigint), ('train_valid_time', 0), ('train_test_overlap', 0), ('train_test_time', 0), ('valid_test_overlap', 0), ('valid_test_time', 0)) t(\"check\", n)")
+def sql_leaks(rows: str) -> str:
+    """The six counts of split_leaks over a CTE with u, i, ts, split."""
+    out = []
+    for a, b in (("train", "valid"), ("train", "test"), ("valid", "test")):
+        out.append(f"select '{a}_{b}_overlap' \"check\", count(*) n from {rows} x where split = '{a}' and exists (select 1 from {rows} y where y.split = '{b}' and y.u = x.u and y.i = x.i)")
+        out.append(f"select '{a}_{b}_time', count(*) from (select u, max(ts) hi from {rows} where split = '{a}' group by 1) x join (select u, min(ts) lo from {rows} where split = '{b}' group by 1) y using (u) where hi > lo")
+    return " union all ".join(out)
+
+
+@query(f"{A.PRELUDE} {sql_leaks('spl')}")
 def split_leakage_audit(spark, sf_dir):
     return audit.split_leaks(A.split(spark, sf_dir))
 
 
+FAULTY = """faulty as materialized (select u, i, ts, split from spl union all select u, i, ts, 'valid' from spl where split = 'train' and u % 10 = 0 union all select u, i, ts - interval '4000 days', 'test' from spl where split = 'valid' and u % 4 = 0)"""
+
+
+def faulty_split(spark, sf_dir):
+    """The split with planted faults: training pairs that are also valid, valid pairs that are also old test pairs."""
+    rows = A.split(spark, sf_dir).select("u", "i", "ts", "split")
+    twice = rows.where("split = 'train' and u % 10 = 0").withColumn("split", F.lit("valid"))
+    old = rows.where("split = 'valid' and u % 4 = 0").withColumns({"split": F.lit("test"), "ts": F.col("ts") - F.expr("interval 4000 days")})
+    return rows.union(twice).union(old)
+
+
+@query(f"{A.PRELUDE}, {FAULTY} {sql_leaks('faulty')}")
+def split_leakage_found(spark, sf_dir):
+    """The same audit over a split with planted faults."""
+    return audit.split_leaks(faulty_split(spark, sf_dir))
+
+
+@query(
+    f"""{A.PRELUDE}, pool as (select u, case when u % 9 = 0 then pos + 1 else pos end pos, place, x i from (select u, i pos, unnest([1, 2]) place, unnest([(i * 3 + 1) % 1000, (u + i) % 1000]) x from spl where split = 'test')),
+heads as (select distinct u, pos i from pool), want as (select u, i from spl where split = 'test')
+select 'test_negative_leak' "check", count(distinct p.u) n from pool p where exists (select 1 from spl s where s.u = p.u and s.i = p.i)
+union all select 'test_head_mismatch', count(distinct u) from ((select * from heads except select * from want) union all (select * from want except select * from heads))"""
+)
+def negative_pool_audit(spark, sf_dir):
+    """Pools of the test pairs, some with a wrong head, against all interactions."""
+    rows = A.split(spark, sf_dir)
+    test = rows.where("split = 'test'")
+    each = F.array((F.col("i") * 3 + 1) % 1000, (F.col("u") + F.col("i")) % 1000)
+    pool = test.select("u", F.when(F.col("u") % 9 == 0, F.col("i") + 1).otherwise(F.col("i")).alias("pos"), F.posexplode(each).alias("place", "i"))
+    return audit.pool_leaks(rows, {"test": pool.select("u", "pos", (F.col("place") + 1).alias("place"), "i")})
+
+
 @query("select l_orderkey, l_linenumber, count(*) n from lineitem group by 1, 2 having count(*) > 1")
 def dup_key_audit(spark, sf_dir):
     return audit.duplicate_keys(A.read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")

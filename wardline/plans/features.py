@@ -153,9 +153,9 @@ def sql_tolerance() -> str:
     raw = ", ".join(f"cast(case when coalesce(n, 0) >= 15 then o.{d} else g.{d} end as bigint) tol_raw_{d}" for d in TOL)
     tops = ", ".join(f"ceil(quantile_cont(cast({d} as int), 0.75)) {d}" for d in TOL)
     caps = ", ".join(f"cast(case when is_minor then least(tol_raw_{d}, {tolerance.MINOR_CAPS[d]}) else tol_raw_{d} end as bigint) tol_{d}" for d in TOL)
-    return f"""{A.PRELUDE}, h as (select spl.u, is_minor, item.* exclude (i, title, genres, bucket) from spl join usr using (u) join item using (i) where split = 'train'),
-g as (select is_minor, {tops} from h group by 1), o as (select u, count(*) n, {tops} from h group by 1),
-r as (select usr.u, is_minor, coalesce(n, 0) train_history_count, cast(coalesce(n, 0) < 15 as int) used_population_default, {raw} from usr left join o using (u) left join g using (is_minor)),
+    return f"""{A.PRELUDE}, h as materialized (select spl.u, is_minor, item.* exclude (i, title, genres, bucket) from spl join usr using (u) join item using (i) where split = 'train'),
+g as materialized (select is_minor, {tops} from h group by 1), o as materialized (select u, count(*) n, {tops} from h group by 1),
+r as materialized (select usr.u, is_minor, coalesce(n, 0) train_history_count, cast(coalesce(n, 0) < 15 as int) used_population_default, {raw} from usr left join o using (u) left join g using (is_minor)),
 tol as materialized (select *, {caps} from r)"""
 
 
@@ -274,7 +274,17 @@ def mmr_quota_mix(spark, sf_dir):
 # ------------------------------------------------------------- sampling
 
 
-@query(f"{A.PRELUDE} select usr.u, item.i, row_number() over (partition by usr.u order by md5('7|' || usr.u || '|' || item.i), item.i) place from usr cross join item where not exists (select 1 from inter s where s.u = usr.u and s.i = item.i) qualify place <= 99")
+def sql_negatives(n: int, seed: int, who: str = "usr") -> str:
+    """CTE neg (u, i, place): what sampling.negatives gives the users of a CTE who."""
+    return f"""ids as materialized (select i, row_number() over (order by i) - 1 d from item),
+dr as (select u, t, cast('0x' || substr(md5('{seed}|' || u || '|' || t), 1, 12) as bigint) % (select count(*) from item) d from {who} cross join (select unnest(generate_series(0, {4 * n - 1})) t)),
+fr as materialized (select dr.u, ids.i, min(t) t from dr join ids using (d) left join inter s on s.u = dr.u and s.i = ids.i where s.u is null group by 1, 2),
+enough as materialized (select u from fr group by 1 having count(*) >= {n}),
+neg as materialized (select u, i, row_number() over (partition by u order by t) place from fr where u in (from enough) qualify place <= {n}
+  union all select w.u, item.i, row_number() over (partition by w.u order by md5('{seed}|' || w.u || '|' || item.i), item.i) place from {who} w cross join item where w.u not in (from enough) and not exists (select 1 from inter s where s.u = w.u and s.i = item.i) qualify place <= {n})"""
+
+
+@query(f"{A.PRELUDE}, {sql_negatives(99, 7)} select u, i, place from neg")
 def hash_negatives(spark, sf_dir):
     who = block_lists(A.users(spark, sf_dir), A.interactions(spark, sf_dir))
     return sampling.negatives(who, A.items(spark, sf_dir), 99, 7)
@@ -313,7 +323,11 @@ def generated_id_augment(spark, sf_dir):
     return augment.generated_ids(texts, A.items(spark, sf_dir), A.split(spark, sf_dir).where("split = 'train'"), 10)
 
 
-@query()
+@query(
+    f"""{A.PRELUDE}, {sql_negatives(200, 9)},
+r as (select neg.u, neg.i, {A.FLAGS} unsafe, row_number() over (partition by neg.u order by {A.sql_base("neg.u", "neg.i")} + 0.5::double * ({A.sql_p1("neg.u", "neg.i")} - {A.sql_base("neg.u", "neg.i")}) desc, neg.i) r from neg join usr using (u) join item using (i))
+select u, coalesce(arg_min(i, r) filter (unsafe = 0 and r <= 50), arg_min(i, r) filter (unsafe = 0)) safe_item, coalesce(arg_min(i, r) filter (unsafe = 1 and r <= 50), arg_min(i, r) filter (unsafe = 1)) unsafe_item from r group by 1"""
+)
 def hard_safety_pair(spark, sf_dir):
     """Per user one safe and one unsafe unseen item: the first of each among the 50 best by base + 0.5 * (p1 - base) of a hashed pool of 200."""
     who = block_lists(A.users(spark, sf_dir), A.interactions(spark, sf_dir))

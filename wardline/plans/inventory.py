@@ -67,7 +67,9 @@ def negative_pool_explode(spark, sf_dir):
 def draws(per: int, trials: int, seed: int) -> str:
     return f"""{A.PRELUDE}, d as (select u, i, j, t, cast('0x' || substr(md5('{seed}|' || u || '|' || i || '|' || j || '|' || t), 1, 12) as bigint) % (select count(*) from item) x
   from spl cross join (select unnest(generate_series(0, {per - 1})) j) cross join (select unnest(generate_series(0, {trials - 1})) t) where split = 'train'),
-neg as (select d.u, d.i, cast(j as int) j, arg_min(x, t) filter (s.u is null) neg from d left join spl s on s.split = 'train' and s.u = d.u and s.i = d.x group by 1, 2, 3)"""
+neg0 as materialized (select d.u, d.i, cast(j as int) j, arg_min(x, t) filter (s.u is null) neg from d left join spl s on s.split = 'train' and s.u = d.u and s.i = d.x group by 1, 2, 3),
+unseen as (select b.u, list_filter(range((select count(*) from item)), lambda x: not list_contains(l, x)) f from (select u, list(i) l from spl where split = 'train' group by 1) b where u in (select u from neg0 where neg is null)),
+neg as (select u, i, j, coalesce(neg, f[1 + cast('0x' || substr(md5('{seed}|' || u || '|' || i || '|' || j || '|-1'), 1, 12) as bigint) % len(f)]) neg from neg0 left join unseen using (u))"""
 
 
 def drawn(spark, sf_dir, per, trials, seed):
@@ -182,7 +184,11 @@ def sft_prompts(spark, sf_dir):
     return asked.select("u", "i", "split", records.pair_prompt(F.col("is_minor"), F.col("lines"), F.col("title"), F.col("genres")).alias("input"), F.when(good, "Yes").otherwise("No").alias("output"))
 
 
-@query()
+@query(
+    """with recursive t as (select conv_id, list(coalesce(text, '') order by turn, coalesce(text, '')) x, count(*) n from conversations group by 1),
+r as (select conv_id, n, x, 0 step from t union all select conv_id, n, x[len(x) // 8 + 2:], step + 1 from r where list_sum(list_transform(x, lambda p: length(p))) > 2000)
+select conv_id, cast(n as int) n_turns, cast(len(x) as int) n_kept, array_to_string(x, chr(10)) text from r qualify row_number() over (partition by conv_id order by step desc) = 1"""
+)
 def budgeted_history(spark, sf_dir):
     """Conversation turns, oldest first, cut from the old end to 2,000 characters."""
     turns = A.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))

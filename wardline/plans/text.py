@@ -76,7 +76,16 @@ def rerank_mal(spark, sf_dir):
     return retrieval.rerank_buckets(rows).select("q", "c", F.round("rerank_score", 5).alias("rerank_score"))
 
 
-@query()
+@query(
+    f"""with {SQL_RAW}, w as (select *, case when tag = trig then 1.45::double when tag = 'minor' and is_minor then 1.35 when tag = 'adult' and not is_minor then 1.0 when tag = 'adult_content' and hard then 1.55 when tag = 'general' then 0.75 else 0 end tw,
+ 1.45::double + case when hard then 1.55 else 0 end + case when is_minor then 1.35 else 1.0 end + 0.75 total from raw),
+sc as (select q, c, tag, c % 5 source, is_minor, hard, trig, row_number() over (partition by q order by 0.35::double * score / top + 0.35::double * tw / total + 0.15::double * least(hits / 4.0::double, 1) + 0.10::double * src + 0.05::double * least(chars / 450.0::double, 1) - pen desc, c) o from w where tw > 0 or score / top >= 0.1),
+need as (select *, case when tag = 'minor' and is_minor then 1 when tag = 'adult_content' and hard then 2 when tag = trig then 3 when tag = 'general' then 4 end m from sc),
+taken as (select *, m is not null and row_number() over (partition by q, m order by o) = 1 must from need),
+fit as (select *, not must and row_number() over (partition by q, source, must order by o) <= 2 - count(*) filter (must) over (partition by q, source) spread from taken),
+s as (select q, c, row_number() over (partition by q order by case when must then 0 when spread then 1 else 2 end, case when must then m end, o) slot from fit)
+select q, c, slot from s where slot <= 5"""
+)
 def rag_slot_select(spark, sf_dir):
     scored = retrieval.rerank_dims(raw(spark, sf_dir))
     must = F.concat(F.when(F.col("is_minor"), F.array(F.lit("minor"))).otherwise(F.array().cast("array<string>")), F.when(F.col("adult_hard"), F.array(F.lit("adult_content"))).otherwise(F.array().cast("array<string>")), "triggered", F.array(F.lit("general")))

@@ -70,7 +70,7 @@ def pool_lines(lines: DataFrame) -> DataFrame:
     parts = F.split(line, r"\s+")
     u = F.when(marked, F.regexp_extract(line, head, 1)).otherwise(F.get(parts, F.lit(0)))
     pos = F.when(marked, F.regexp_extract(line, head, 2)).otherwise(F.get(parts, F.lit(1)))
-    rest = F.when(marked, F.regexp_extract_all(F.regexp_replace(line, head, ""), F.lit(r"\d+"), F.lit(0))).otherwise(F.slice(parts, 3, 1_000_000))
+    rest = F.when(marked, F.regexp_extract_all(F.regexp_replace(line, head, ""), F.lit(r"\d+"), F.lit(0))).otherwise(F.slice(parts, F.lit(3), F.greatest(F.size(parts), F.lit(1))))
     rows = lines.select(to_int(u).alias("u"), to_int(pos).alias("pos"), rest.alias("rest")).where("u is not null and pos is not null")
     rows = rows.select("u", "pos", F.posexplode(F.concat(F.array(F.col("pos").cast("string")), "rest")).alias("place", "i"))
     return rows.select("u", "pos", F.col("place").cast("long").alias("place"), to_int(F.col("i")).alias("i")).where("i is not null")

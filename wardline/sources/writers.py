@@ -51,6 +51,6 @@ def private_columns_dropped(rows: DataFrame, private: tuple[str, ...] = ("userna
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """rows, digest: an order-free fingerprint, to tell that a copy is the same."""
-    line = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])), 256)
-    return rows.agg(F.count("*").alias("rows"), F.bit_xor(F.conv(F.substring(line, 1, 15), 16, 10).cast("long")).alias("digest"))
+    """rows, digest: an order-free fingerprint, to tell that a copy is the same. The sum of row hashes counts every repeat of a row."""
+    line = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}), 256)
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias("digest"))
