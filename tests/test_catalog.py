@@ -53,3 +53,9 @@ def test_slots_start_with_needed_tags(spark):
     got = catalog.QUERIES["rag_slot_select"](spark, SMALL).collect()
     asked = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 20 = 0").count()
     assert len(got) == 5 * asked and {r["slot"] for r in got} == {1, 2, 3, 4, 5}
+
+
+def test_learned_safety_tells_safe_pairs(spark):
+    got = catalog.QUERIES["learned_safety"](spark, SMALL).collect()
+    assert len(got) > 100 and all(0 <= r["p_safe"] <= 1 for r in got)
+    assert sum((r["p_safe"] > 0.5) == bool(r["safe"]) for r in got) > 0.9 * len(got)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,153 @@ def mlp_scorer(weights: list[tuple[np.ndarray, np.ndarray]]):
     return score
 
 
+def dot_scorer(digits: int = 9):
+    """A block score for rank_catalogue: inner products of users' p and items' q, rounded so that equal vectors tie."""
+
+    def score(rows: dict, columns: dict) -> np.ndarray:
+        return np.round(stacked(rows["p"]) @ stacked(columns["q"]).T, digits)
+
+    return score
+
+
+def stacked(vectors: np.ndarray) -> np.ndarray:
+    return np.stack(vectors).astype(np.float64)
+
+
+def gmf_scorer(weights: list[float], bias: float, digits: int = 9):
+    """A block score: sigma(sum w p q + bias)."""
+
+    def score(rows: dict, columns: dict) -> np.ndarray:
+        return np.round(1 / (1 + np.exp(-((stacked(rows["p"]) * np.array(weights)) @ stacked(columns["q"]).T + bias))), digits)
+
+    return score
+
+
+def neumf_scorer(factor: list[float], layers: list[tuple[np.ndarray, np.ndarray]], out: list[float], bias: float, digits: int = 9):
+    """A block score: factor part and ReLU network over [p, q] under one head."""
+
+    def score(rows: dict, columns: dict) -> np.ndarray:
+        u, v = stacked(rows["p"]), stacked(columns["q"])
+        h = hidden(u, v, layers)
+        return np.round(1 / (1 + np.exp(-((u * np.array(factor)) @ v.T + h @ np.array(out) + bias))), digits)
+
+    return score
+
+
+def hidden(u: np.ndarray, v: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """users x items x units after the ReLU layers over [u, v]; the first one is split, so no pair is concatenated."""
+    (w, b), *rest = layers
+    h = np.maximum((u @ w[: u.shape[1]])[:, None, :] + (v @ w[u.shape[1] :])[None, :, :] + b, 0)
+    for w, b in rest:
+        h = np.maximum(h @ w + b, 0)
+    return h
+
+
+def score_rows(users: DataFrame, items: DataFrame, score, more: list[str]) -> DataFrame:
+    """u, scores: each user's scores of all items in the order of i, the row of a score matrix. items are one bounded block, like those of rank_catalogue."""
+    from wardline.operators.ranking import ITEM_BLOCK
+
+    if items.count() > ITEM_BLOCK:
+        raise ValueError(f"more than {ITEM_BLOCK} items")
+    rows = items.orderBy("i").toArrow()
+    columns = {c: rows[c].to_numpy() for c in items.columns}
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                s = np.asarray(score({"u": part["u"].to_numpy()} | {c: part[c].to_numpy(zero_copy_only=False) for c in more}, columns), np.float64)
+                off = np.arange(len(s) + 1, dtype=np.int32) * s.shape[1]
+                yield pa.RecordBatch.from_arrays([part["u"], pa.ListArray.from_arrays(pa.array(off), pa.array(s.ravel()))], names=["u", "scores"])
+
+    return users.select("u", *more).mapInArrow(run, "u long, scores array<double>")
+
+
+def looked_up(pairs: DataFrame, matrix: DataFrame, ids: DataFrame) -> DataFrame:
+    """pairs (u, i) with score, null for an unknown user or item. matrix: u, scores; ids: i and its place in scores."""
+    return pairs.join(ids.select("i", "place"), "i", "left").join(matrix, "u", "left").withColumn("score", F.get("scores", F.col("place").cast("int"))).drop("scores", "place")
+
+
+def two_class(l0: Column, l1: Column) -> dict[str, Column]:
+    """p0, p1, margin and pred of two logits; the exponent is never positive, so nothing overflows. Ties are 0."""
+    e = F.exp(-F.abs(l1 - l0))
+    high, low = 1 / (1 + e), e / (1 + e)
+    p1 = F.when(l1 >= l0, high).otherwise(low)
+    p0 = F.when(l1 >= l0, low).otherwise(high)
+    return {"p0": p0, "p1": p1, "margin": p1 - p0, "pred": (l1 > l0).cast("int")}
+
+
+def with_predictions(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
+    """pairs with psg_pred, p1, margin: of the pair's last prediction (largest n), 0 where there is none."""
+    last = predictions.groupBy("u", "i").agg(F.max(F.struct("n", "psg_pred", "p1", "margin")).alias("x"))
+    rows = pairs.join(last, ["u", "i"], "left")
+    return rows.withColumns({c: F.coalesce(F.col(f"x.{c}").cast(t), F.lit(0).cast(t)) for c, t in (("psg_pred", "double"), ("p1", "double"), ("margin", "double"))}).drop("x")
+
+
+def bucket_features() -> dict[str, Column]:
+    """The eleven gate inputs of rating-bucket data, from base, aug, psg_pred, p1, margin, the bucket flags and is_minor."""
+    b, p = F.col("base"), F.col("aug")
+    flags = {f: F.col(f).cast("double") for f in ("r17", "rplus", "rx", "unsafe_any")}
+    return {"base": b, "aug": p, "gap": p - b, "pred": F.col("psg_pred").cast("double"), "p1": F.col("p1"), "margin": F.col("margin")} | flags | {"minor": F.col("is_minor").cast("double")}
+
+
+def single_head(features: dict[str, Column], weights: list[list[float]], bias: list[float], out: list[float], out_bias: float, most: float) -> Column:
+    """most * sigma of a one-layer ReLU network over the features."""
+    h = relu_layer(F.array(*features.values()), weights, bias)
+    return most * sigmoid(dot(h, F.array(*[F.lit(float(w)) for w in out])) + out_bias)
+
+
+def layer_norm(x: Column, epsilon: float = 1e-5) -> Column:
+    """An array at mean 0 and population variance 1."""
+    n = F.size(x)
+    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n
+    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + epsilon))
+
+
+def bucket_heads(features: dict[str, Column], shared: Column, heads: dict[str, tuple[list[float], float]], most: float, by_p1: float = 1.0, by_margin: float = 0.1, by_unsafe: float = 0.8) -> Column:
+    """most times three heads over shared units: preference; confidence, moved by p1 - 0.5 and margin; safety, lowered by softplus(by_unsafe) where unsafe."""
+    level = {k: dot(shared, F.array(*[F.lit(float(w)) for w in ws])) + b for k, (ws, b) in heads.items()}
+    p1 = F.least(F.greatest(features["p1"], F.lit(0.0)), F.lit(1.0))
+    level["confidence"] = level["confidence"] + by_p1 * (p1 - 0.5) + by_margin * features["margin"]
+    level["safety"] = level["safety"] - softplus(F.lit(by_unsafe)) * features["unsafe_any"]
+    return reduce(Column.__mul__, [sigmoid(x) for x in level.values()], F.lit(most))
+
+
+def gate_step(rows: DataFrame, names: list[str], weights: list[float], rate: float, margin: float = 0.1) -> tuple[list[float], float]:
+    """One full-batch gradient step of a linear gate over a hinge loss of safe against unsafe rows, and the loss before it.
+
+    rows: base, aug, target (1 safe and liked, -1 not) and the named features.
+    The fused score is base + sigma(w x) (aug - base); the loss of a row is
+    max(0, margin - target * score). Only sums leave the tasks.
+    """
+    z = reduce(Column.__add__, [F.col(n) * float(w) for n, w in zip(names, weights, strict=True)])
+    g = sigmoid(z)
+    short = margin - F.col("target") * (F.col("base") + g * (F.col("aug") - F.col("base")))
+    slope = F.when(short > 0, -F.col("target") * (F.col("aug") - F.col("base")) * g * (1 - g)).otherwise(0.0)
+    sums = rows.agg(F.count("*").alias("n"), F.sum(F.greatest(short, F.lit(0.0))).alias("loss"), *[F.sum(slope * F.col(n)).alias(f"_{j}") for j, n in enumerate(names)]).first()
+    n = max(1, sums["n"])
+    return [w - rate * (sums[f"_{j}"] or 0.0) / n for j, w in enumerate(weights)], (sums["loss"] or 0.0) / n
+
+
+def train_gate(rows: DataFrame, names: list[str], steps: int, rate: float) -> tuple[list[float], list[float]]:
+    """Weights and losses of gate_step from zero."""
+    weights, losses = [0.0] * len(names), []
+    for _ in range(steps):
+        weights, loss = gate_step(rows, names, weights, rate)
+        losses.append(loss)
+    return weights, losses
+
+
+def learned_safety(rows: DataFrame, features: list[str], label: str):
+    """A fitted logistic model of a pair being safe, from observed training pairs; transform() adds probability."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.001, maxIter=50)]).fit(rows)
+
+
 def propagate(edges: DataFrame, nodes: DataFrame, hops: int = 1, digits: int | None = None) -> DataFrame:
     """node, dim, x: mean over hops 0..hops of the symmetrically normalised neighbour sums. edges: (a, b) once per direction; nodes: node, dim, x."""
     degree = edges.groupBy("a").agg(F.count("*").alias("d"))
