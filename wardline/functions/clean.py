@@ -143,3 +143,58 @@ def is_minor(flag: Column, described: Column, age: Column) -> Column:
     """By the stated flag, else the description, else the age."""
     told = F.when(strip(described) != "", F.contains(F.lower(described), F.lit("under 18")))
     return F.coalesce(flag, told, age < 18, F.lit(False))
+
+
+#: Other spellings of the rating buckets, exact and by beginning or part.
+BUCKET_WORDS = {"G": ("g", "g - all ages", "0"), "PG": ("pg", "pg - children", "1"), "PG13": ("pg13", "2"), "R17": ("r17", "3"), "RPLUS": ("rplus", "r_plus", "4"), "RX": ("rx", "5")}
+BUCKET_STARTS = {"R17": "r - 17", "RPLUS": "r+", "RX": "rx"}
+
+
+def loose_bucket(text: Column) -> Column:
+    """A bucket from any known spelling or code; another text in upper case; UNKNOWN for none."""
+    bare = strip(F.coalesce(text.cast("string"), F.lit("")))
+    low = F.lower(bare)
+    out = F.when(bare == "", "UNKNOWN").otherwise(F.upper(bare))
+    for name in reversed(BUCKET_WORDS):
+        fits = low.isin(*BUCKET_WORDS[name])
+        if name in BUCKET_STARTS:
+            fits = fits | F.startswith(low, F.lit(BUCKET_STARTS[name]))
+        if name == "PG13":
+            fits = fits | F.contains(low, F.lit("pg-13"))
+        out = F.when(fits, name).otherwise(out)
+    return out
+
+
+def gender_word(text: Column) -> Column:
+    mark = F.upper(strip(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.when(mark.isin("F", "FEMALE", "WOMAN"), "female").when(mark.isin("M", "MALE", "MAN"), "male").otherwise("unknown-gender")
+
+
+def cutoffs(text: Column) -> Column:
+    """Sorted distinct positive whole numbers of a comma-separated list."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: to_int(x))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x > 0)))
+
+
+def first_numbers(values: Column) -> Column:
+    """The whole numbers of a list of texts, each where it first stands."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: to_int(x)), lambda x: x.isNotNull()))
+
+
+def after(text: Column, marker: str) -> Column:
+    """What follows the first marker, trimmed; the whole text where there is none."""
+    at = F.instr(text, F.lit(marker))
+    return strip(F.when(at > 0, F.substring(text, at + len(marker), F.length(text))).otherwise(text))
+
+
+def last_json_line(text: Column) -> Column:
+    """The last line that is a JSON object."""
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.startswith(x, F.lit("{")) & F.get_json_object(x, "$").isNotNull())
+    return F.get(lines, F.size(lines) - 1)
+
+
+def item_text(title: Column, genres: Column, overview: Column, most: int = 1200) -> Column:
+    """One cleaned line of title, genres and overview, each with its default."""
+    known = lambda x, default: F.coalesce(F.nullif(strip(x), F.lit("")), F.lit(default))
+    line = F.concat(F.lit("Title: "), known(title, "Unknown"), F.lit(". Genres: "), known(genres, "Not specified"), F.lit(". Overview: "), known(overview, "Not available"))
+    return clean_text(line, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.plans import evaluation, features, inventory, scores, text
+from wardline.plans import building, cleaning, evaluation, features, files, inventory, scores, text
 from wardline.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "evaluation", "features", "inventory", "scores", "text"]
+__all__ = ["ORACLE", "QUERIES", "building", "cleaning", "evaluation", "features", "files", "inventory", "scores", "text"]

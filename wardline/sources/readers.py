@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.clean import first_of, split_line, strip, title_id, to_float, to_int
+from wardline.functions.clean import first_of, is_minor, loose_bucket, split_line, strip, title_id, to_bool, to_float, to_int
 
 
 def column_key(name: str) -> str:
@@ -76,16 +78,91 @@ def pool_lines(lines: DataFrame) -> DataFrame:
     return rows.select("u", "pos", F.col("place").cast("long").alias("place"), to_int(F.col("i")).alias("i")).where("i is not null")
 
 
-def table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """CSV with a header in one fixed dialect, all columns text, names normalised."""
-    return normalised(spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True))
+#: Separators that a CSV may have, in order of preference where they are equally frequent.
+SEPARATORS = (",", "\t", ";", "|")
+
+
+def separator(spark: SparkSession, path: str) -> str:
+    """The separator that the header line has most of."""
+    first = spark.read.text(path).where(strip(F.col("value")) != "").limit(1).collect()
+    line = first[0]["value"] if first else ""
+    return max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
+
+
+def table(spark: SparkSession, path: str, sep: str | None = ",", needs: tuple[str, ...] = ()) -> DataFrame:
+    """CSV with a header, all columns text, names normalised. sep None: told by the header line. A missing header or needed column is an error."""
+    rows = normalised(spark.read.csv(path, header=True, sep=sep or separator(spark, path), quote='"', escape='"', multiLine=True))
+    if not rows.columns:
+        raise ValueError(f"{path} has no header")
+    if missing := [c for c in needs if c not in rows.columns]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return rows
+
+
+def json_lines(spark: SparkSession, path: str, schema: str | T.StructType | None = None, most: int = 0, skip: int = 0) -> DataFrame:
+    """One object a line; blank and broken lines go. skip and most: the first lines of the files in path order that are left out, and how many follow (0: all)."""
+    if not most and not skip:
+        reader = spark.read.option("mode", "DROPMALFORMED")
+        return (reader if schema is None else reader.schema(schema)).json(path)
+    lines = spark.read.text(path).where(strip(F.col("value")) != "").select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.orderBy("f", "n").offset(skip)
+    rows = (lines.limit(most) if most else lines).select("value")
+    kind = schema if schema is not None else F.schema_of_json(F.lit(rows.first()["value"]))
+    return rows.select(F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("x")).where("x is not null").select("x.*")
+
+
+def last_rows(rows: DataFrame, key: str) -> DataFrame:
+    """The last row of each key in file order."""
+    names = [c for c in rows.columns if c != key]
+    numbered = rows.select("*", F.monotonically_increasing_id().alias("_n"))
+    last = numbered.groupBy(key).agg(F.max(F.struct("_n", *names)).alias("_x"))
+    return last.select(key, *[F.col(f"_x.{c}").alias(c) for c in names])
+
+
+CODES = ("sex", "violence", "profanity", "drug", "intense")
+
+
+def item_dimension(spark: SparkSession, path: str) -> DataFrame:
+    """i, title, bucket, is_adult and five codes (1 where missing) of an item table under any of its column names; the last row of an id wins."""
+    rows = table(spark, path, None)
+    codes = [to_int(pick(rows, f"{d}_code", d), 1).alias(d) for d in CODES]
+    out = rows.select(to_int(pick(rows, "inner_item_id", "item_id", "iid")).alias("i"), pick(rows, "title", "name").alias("title"), loose_bucket(pick(rows, "rating_bucket", "rating")).alias("bucket"), (to_int(pick(rows, "isAdult", "is_adult"), 0) == 1).alias("is_adult"), *codes)
+    return last_rows(out.where("i >= 0"), "i")
+
+
+def user_dimension(spark: SparkSession, path: str) -> DataFrame:
+    """u, is_minor, age_desc of a user table under any of its column names; the last row of an id wins."""
+    rows = table(spark, path, None)
+    flag, told, age = pick(rows, "is_minor", "minor"), pick(rows, "age_desc", "age_group"), to_int(pick(rows, "age", "age_at_join"))
+    minor = is_minor(F.when(strip(flag) != "", to_bool(flag)), told, age)
+    out = rows.select(to_int(pick(rows, "inner_user_id", "user_id", "uid")).alias("u"), minor.alias("is_minor"), told.alias("age_desc"))
+    return last_rows(out.where("u >= 0"), "u")
+
+
+def item_texts(spark: SparkSession, path: str) -> DataFrame:
+    """i, text of an item table: title, genres, studio and source joined by "; " where they are given."""
+    rows = table(spark, path, None)
+    parts = [F.nullif(strip(pick(rows, *names)), F.lit("")) for names in (("title", "name"), ("genres", "genre"), ("studio",), ("source",))]
+    return last_rows(rows.select(to_int(pick(rows, "inner_item_id", "item_id", "anime_id")).alias("i"), F.concat_ws("; ", *parts).alias("text")).where("i is not null"), "i")
+
+
+def factor_table(spark: SparkSession, path: str, role: str) -> DataFrame:
+    """id, vector of the table of a checkpoint folder whose name says users or items; a checkpoint is one Parquet folder per tensor, rows id and values."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = sorted(str(f.getPath().getName()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.isDirectory())
+    found = [n for n in names if role in column_key(n) and any(w in column_key(n) for w in ("embed", "factor"))] or [n for n in names if role in column_key(n)]
+    if not found:
+        raise ValueError(f"no tensor of {role} among {', '.join(names)}")
+    return spark.read.parquet(f"{path}/{found[0]}").select(F.col("id"), F.col("values").alias("vector"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """One object a line; blank and broken lines go."""
-    if schema is None:
-        return spark.read.option("mode", "DROPMALFORMED").json(path)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def manifest(spark: SparkSession, path: str, needs: tuple[str, ...]) -> dict:
+    """A JSON configuration, with the keys that it must have."""
+    rows = spark.read.text(path, wholetext=True).limit(1).collect()
+    found = json.loads(rows[0]["value"]) if rows else {}
+    if missing := [k for k in needs if k not in found]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return found
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,46 @@ def summary_json(rows: DataFrame) -> str:
     return json.dumps([r.asDict(recursive=True) for r in got], ensure_ascii=False, default=str, indent=1)
 
 
+def document(spark: SparkSession, value: object, path: str) -> None:
+    """One JSON document: written beside its place and then renamed, so that a reader finds the old one or the new one whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, aside = hadoop.Path(path), hadoop.Path(f"{path}.tmp")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True).encode()))
+    finally:
+        out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(aside, at):
+        raise OSError(f"{path} could not be written")
+
+
+def copied(rows: DataFrame, path: str) -> None:
+    """The rows unchanged under path, and the proof: a differing fingerprint is an error."""
+    rows.write.mode("overwrite").parquet(path)
+    there = rows.sparkSession.read.parquet(path)
+    if fingerprint(there.select(*rows.columns)).first() != fingerprint(rows).first():
+        raise ValueError(f"the copy under {path} differs")
+
+
+def score_matrix(rows: DataFrame, path: str) -> None:
+    """u, scores as Parquet: a row of the matrix is one row, found by its u without reading the others' pages."""
+    rows.select("u", "scores").repartitionByRange("u").sortWithinPartitions("u").write.mode("overwrite").parquet(path)
+
+
+def sequence_lines(rows: DataFrame, path: str) -> None:
+    """"u i" lines with ids from 1, in the order of (u, pos). rows: u, i, pos from 0."""
+    ordered = rows.repartitionByRange("u").sortWithinPartitions("u", "pos")
+    ordered.select(F.concat_ws(" ", F.col("u") + 1, F.col("i") + 1).alias("value")).write.mode("overwrite").text(path)
+
+
+def tensor(rows: DataFrame, path: str, name: str) -> None:
+    """One tensor of a checkpoint folder: id, values."""
+    rows.select("id", "values").write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def private_columns_dropped(rows: DataFrame, private: tuple[str, ...] = ("username", "birth_date", "join_date", "gender", "location")) -> DataFrame:
     return rows.drop(*private)
 
