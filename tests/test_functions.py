@@ -1,7 +1,6 @@
 """Hand-derived answers of single functions and operators."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,12 +112,16 @@ def brute_mix(recall, lam=0.75):
     return [recall[order[j]][0] for j in chosen]
 
 
-def test_greedy_mix_against_brute_force():
+def test_greedy_mix_against_brute_force(spark, monkeypatch):
+    """Users of different lists, some with fewer candidates than there is room for, together and one by one."""
     r = np.random.default_rng(3)
-    for _ in range(20):
-        recall = [(i, float(r.integers(0, 9)) / 8, float(r.integers(0, 5)) / 4, set(r.choice(list("abcdef"), r.integers(0, 4)))) for i in range(25)]
-        frame = pd.DataFrame([(1, *x) for x in recall], columns=["u", "i", "rel", "pop", "genres"]).sort_values(["rel", "i"], ascending=[False, True]).reset_index(drop=True)
-        assert candidates.mmr_mix(frame, 4, 3, 3, 12, 0.75)["i"].tolist() == brute_mix(recall)
+    recalls = [[(i, float(r.integers(0, 9)) / 8, float(r.integers(0, 5)) / 4, sorted(set(r.choice(list("abcdef"), r.integers(0, 4)).tolist()))) for i in range(25 if u % 4 else 3 + u)] for u in range(24)]
+    rows = spark.createDataFrame([(u, *x) for u, own in enumerate(recalls) for x in own], "u long, i long, rel double, pop double, genres array<string>")
+    want = {u: brute_mix([(i, a, b, set(g)) for i, a, b, g in own]) for u, own in enumerate(recalls)}
+    got = {}
+    for x in sorted(candidates.select_mixed(rows, 4, 3, 3, 12).collect(), key=lambda x: (x.u, x.place)):
+        got.setdefault(x.u, []).append(x.i)
+    assert got == {u: x for u, x in want.items() if x}
 
 
 def test_ranking_ties_blocks_and_short_lists(spark, monkeypatch):
@@ -151,3 +154,13 @@ def test_append_resumes(spark, tmp_path):
     assert sorted(r.y for r in spark.read.parquet(out).collect()) == [2 * i for i in range(10)]
     done = spark.createDataFrame([(1,), (1,)], "x long")
     assert incremental.resume(spark.range(3).select(F.col("id").alias("x")), done, "x").count() == 2
+
+
+def test_passages_that_begin_inside_words(spark):
+    from wardline.plans.text import verbatim
+
+    docs = {1: "xthe cat sat on mats", 2: "a cat sat", 3: "the  cat sat on ma", 4: "", 5: None, 6: "one two three four fivex one two three four five", 7: "a\ncat sat"}
+    items = {"a": "the cat sat on ma", "b": "cat sa", "c": "t s", "d": "one two three four five", "e": None, "f": "he cat sat o", "g": "cat", "h": "a cat s"}
+    want = {i: sorted(k for k, p in items.items() if p is not None and p in (t or "")) for i, t in docs.items()}
+    got = verbatim(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id string, passage string")).collect()
+    assert {r.doc_id: (r.n_items, r.first_item) for r in got} == {i: (len(x), x[0]) for i, x in want.items() if x}

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.functions.clean import strip
+from wardline.functions.clean import clean_text, distinct_list, strip
 
 
 def leaks(text: Column, forbidden: list[str]) -> Column:
@@ -112,3 +112,22 @@ def hidden_query(minor: Column, triggered: Column, terms: dict[str, str]) -> Col
     """Search text of the policy retrieval: audience, then a phrase for each trigger in the order of terms."""
     phrases = [F.when(F.array_contains(triggered, name), F.lit(text)) for name, text in terms.items()]
     return F.concat_ws(" ", F.when(minor, "protection of minors").otherwise("general content limits"), *phrases)
+
+
+def profile_text(age: Column, said: Column, genres: Column, themes: Column, items: Column, most: int = 4000) -> Column:
+    """The query document of a profile: age group, description, preferred genres and themes, then numbered item lines; missing parts go."""
+    told = lambda head, x: F.when(strip(x) != "", F.concat(F.lit(head), x, F.lit(".")))
+    lines = F.array_join(F.transform(items, lambda t, j: F.concat(F.lit("History "), (j + 1).cast("string"), F.lit(": "), t)), " ")
+    return clean_text(F.concat_ws(" ", told("User age group: ", age), F.nullif(strip(said), F.lit("")), told("Preferred genres: ", genres), told("Preferred themes: ", themes), F.nullif(lines, F.lit(""))), most)
+
+
+#: Fixed value: what stands for a description that is missing.
+NO_DESCRIPTION = "A viewer with general interests."
+
+
+def normal_profile(description: Column, text: Column, genres: Column, terms: list[str], most: int = 8) -> dict[str, Column]:
+    """user_description (or a stand-in), profile_text (or the description) without the terms, preferred_genres once each."""
+    said = clean_text(description, 300)
+    said = without_terms(F.when(said != "", said).otherwise(NO_DESCRIPTION), terms)
+    long = without_terms(clean_text(text, 700), terms)
+    return {"user_description": said, "profile_text": F.when(long != "", long).otherwise(said), "preferred_genres": distinct_list(genres, most)}

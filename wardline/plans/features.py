@@ -263,7 +263,28 @@ def block_pool_variants(spark, sf_dir):
     return out.select("u", (F.col("n") - F.coalesce("seen", F.lit(0))).alias("eligible_all"), (F.col("n") - F.coalesce("train", F.lit(0))).alias("eligible_train_only"))
 
 
-@query()
+def sql_scores(score: str) -> str:
+    return f"list_transform(range(1, len(rel) + 1), lambda k: case when free[k] then {score} else -1e9 end)"
+
+
+def sql_without(taken: str) -> str:
+    return f"list_transform(free, lambda f, k: f and k <> {taken})"
+
+
+@query(
+    f"""{SQL_GENRE.replace("with inter as", "with recursive inter as", 1)}, names as (select list_sort(list_distinct(flatten(list(genres)))) g from item),
+top as materialized (select u, i, score, row_number() over (partition by u order by score desc, i) o from sc qualify o <= 600),
+l as materialized (select u, list(top.i order by o) i, list(score order by o) rel, list(pop.pop order by o) pop, list(list_sum(list_transform(genres, lambda x: 1::bigint << cast(list_position(g, x) - 1 as int)))::bigint order by o) bits from top join pop on pop.i = top.i cross join names group by 1),
+st(u, step, red, free, chosen) using key (u) as (select u, 0, list_transform(rel, lambda x: 0.0::double), list_transform(rel, lambda x: true), cast([] as bigint[]) from l
+  union select u, step + 1, list_transform(red, lambda x, k: greatest(x, bit_count(bits[k] & bits[j]) / bit_count(bits[k] | bits[j]))), {sql_without("j")}, list_append(chosen, j)
+  from (select *, list_position(s, list_max(s)) j from (select st.u, step, red, free, chosen, bits, {sql_scores("0.75::double * rel[k] - 0.25::double * red[k]")} s from st join l on l.u = st.u where step < 60 and len(chosen) < len(rel)))),
+pp as (select u, list(k order by x desc, k) c from (select st.u, k, pop[k] x, row_number() over (partition by st.u order by pop[k] desc, k) n from st join l on l.u = st.u, unnest(range(1, len(rel) + 1)) t(k) where free[k]) where n <= 20 group by 1),
+s2 as materialized (select st.u, chosen m, coalesce(c, []) c, list_transform(free, lambda f, k: f and not list_contains(coalesce(c, []), k)) free from st left join pp on pp.u = st.u),
+dv(u, step, free, seen, chosen) using key (u) as (select s2.u, 0, free, list_reduce(list_transform(list_concat(m, c), lambda k: bits[k]), lambda x, y: x | y), cast([] as bigint[]) from s2 join l on l.u = s2.u
+  union select u, step + 1, {sql_without("j")}, seen | bits[j], list_append(chosen, j) from (select *, list_position(s, list_max(s)) j from (select dv.u, step, free, seen, chosen, bits, {sql_scores("bit_count(bits[k] & ~seen) + 0.20::double * rel[k] + 0.10::double * pop[k]")} s from dv join l on l.u = dv.u where step < 20 and list_contains(free, true)))),
+f as (select s2.u, list_concat(list_concat(list_transform(m, lambda k: {{'k': k, 'b': 'mmr'}}), list_transform(c, lambda k: {{'k': k, 'b': 'popularity'}})), list_concat(list_transform(dv.chosen, lambda k: {{'k': k, 'b': 'diversity'}}), list_transform(list_filter(range(1, len(dv.free) + 1), lambda k: dv.free[k]), lambda k: {{'k': k, 'b': 'relevance'}})))[:100] x from s2 join dv on dv.u = s2.u)
+select f.u, l.i[x[n].k] i, x[n].b bucket, n place from f join l on l.u = f.u, unnest(range(1, len(x) + 1)) t(n)"""
+)
 def mmr_quota_mix(spark, sf_dir):
     rows = genre_users(spark, sf_dir)
     items = popular_items(spark, sf_dir)

@@ -40,6 +40,51 @@ def tfidf_topk(spark, sf_dir):
     return top.select("u", "i", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+MAX_DF = 0.3
+
+
+@query(
+    f"""{A.PRELUDE}, it as materialized (select i, genres, lower(title || ' ' || array_to_string(genres, ' ')) text from item),
+h as (select u, is_minor, list_sort(list_distinct(list_concat(flatten(list(genres)), case when u % 2 = 0 then ['red', 'none such'] else ['blue'] end))) genres, string_agg('History ' || n || ': ' || title, ' ' order by n) lines
+  from (select hist.u, title, genres, is_minor, row_number() over (partition by hist.u order by back desc) n from hist join item using (i) join usr using (u) where back <= 5 and hist.n >= 3) group by 1, 2),
+us as materialized (select u, genres, lower('User age group: ' || case when is_minor then 'minor' else 'adult' end || '. Likes widgets. Preferred genres: ' || case when u % 2 = 0 then 'red' else 'blue' end || '. ' || lines) text from h),
+w as (select 'i' || i k, regexp_extract_all(text, '[a-z0-9_\\-'']+') w from it union all select 'u' || u, regexp_extract_all(text, '[a-z0-9_\\-'']+') from us),
+tf as materialized (select k, term, count(*) tf from (select k, unnest(list_concat(w, case when len(w) > 1 then list_transform(generate_series(1, len(w) - 1), lambda j: w[j] || '_' || w[j + 1]) else [] end)) term from w) group by 1, 2),
+df as (select term, count(*) df from tf where k[1] = 'i' group by 1 having count(*) <= {MAX_DF}::double * (select count(*) from item)),
+x as materialized (select k, term, (1 + ln(tf)) * (ln(((select count(*) from item) + 1) / (df + 1)) + 1) w from tf join df using (term)), n as (select k, sqrt(sum(w * w)) norm from x group by 1),
+v as materialized (select k, term, w / norm w from x join n using (k)),
+cos as materialized (select a.k ku, b.k ki, sum(a.w * b.w) c from v a join v b using (term) where a.k[1] = 'u' and b.k[1] = 'i' group by 1, 2),
+sc as (select us.u, it.i, round(0.75::double * coalesce(c, 0) + 0.25::double * (len(list_intersect(us.genres, it.genres)) / len(list_distinct(list_concat(us.genres, it.genres)))), 9) score
+  from us cross join it left join cos on ku = 'u' || us.u and ki = 'i' || it.i where not exists (select 1 from inter s where s.u = us.u and s.i = it.i))
+select u, i, round(score, 6) score, rank from (select *, row_number() over (partition by u order by score desc, i) rank from sc) where rank <= 20"""
+)
+def tfidf_profile_topk(spark, sf_dir):
+    """Candidates by the profile's text and genres beside the history's, without the terms that most items share."""
+    items = A.items(spark, sf_dir).select("i", "genres", F.concat_ws(" ", "title", F.array_join("genres", " ")).alias("text"))
+    last = history.last_k(A.interactions(spark, sf_dir), 5).join(A.items(spark, sf_dir).select("i", "title"), "i")
+    titles = last.groupBy("u").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), "title"))).alias("x")).select("u", F.col("x.title").alias("titles"))
+    even = F.col("u") % 2 == 0
+    told = records.profile_text(F.when(F.col("is_minor"), "minor").otherwise("adult"), F.lit("Likes widgets."), F.when(even, "red").otherwise("blue"), F.lit(""), F.col("titles"))
+    users = genre_users(spark, sf_dir).join(titles, "u").join(A.users(spark, sf_dir), "u")
+    users = users.withColumns({"text": told, "genres": F.array_sort(F.array_union("genres", F.when(even, F.array(F.lit("red"), F.lit("none such"))).otherwise(F.array(F.lit("blue")))))})
+    top = candidates.relevance_top(users, items, 20, max_df=MAX_DF)
+    return top.select("u", "i", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """with p as (select c_custkey u, case when c_custkey % 3 = 0 then 'Likes mature and ' || c_mktsegment when c_custkey % 3 = 1 then 'A viewer with general interests.' else c_name end d, case when c_custkey % 2 = 0 then c_name || ' said mature things' end t, c_mktsegment g, c_custkey from customer)
+select u, d user_description, coalesce(t, d) profile_text, case when c_custkey % 5 = 0 then 'Not specified' else g || ', Red' end preferred_genres from p"""
+)
+def profile_normalised(spark, sf_dir):
+    """Profiles with stand-ins for missing parts and without unwanted terms."""
+    k = F.col("c_custkey")
+    said = F.when(k % 3 == 0, F.concat(F.lit("Likes  IDIOT and\n"), "c_mktsegment")).when(k % 3 == 1, "  ").otherwise(F.col("c_name"))
+    text = F.when(k % 2 == 0, F.concat("c_name", F.lit(" said  idiot things ")))
+    genres = F.when(k % 5 != 0, F.concat("c_mktsegment", F.lit("| Red ;"), F.lower("c_mktsegment"), F.lit("/red"))).otherwise(" | ")
+    found = records.normal_profile(said, text, genres, ["idiot"])
+    return A.read(spark, sf_dir, "customer").select(k.alias("u"), *[v.alias(n) for n, v in found.items()])
+
+
 @query(
     SQL_GENRE
     + """, top as (select u, i from sc qualify row_number() over (partition by u order by round(score, 9) desc, i) <= 100)

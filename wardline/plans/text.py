@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardline.operators import candidates, records, retrieval
@@ -141,13 +142,57 @@ def sensitive_sanitize(spark, sf_dir):
     return A.read(spark, sf_dir, "documents").select("doc_id", records.without_terms(F.col("text"), terms).alias("cleaned"), records.has_term(F.col("text"), terms).alias("had"))
 
 
+#: Passages of at most two words, which have no whole word inside: so many at most are held against every text.
+MOST_SHORT = 10_000
+
+
 @query("select d.doc_id, count(*) n_items, min(b.item_id) first_item from documents d join benchmark b on contains(d.text, b.text) group by 1")
 def verbatim_benchmark(spark, sf_dir):
-    """Documents that hold a benchmark passage; passages are met on their first three words, then compared whole."""
-    b = A.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(F.split("text", r"\s"), 1, 3), " ").alias("head"))
-    docs = A.read(spark, sf_dir, "documents").select("doc_id", "text")
-    w = F.col("w")
-    starts = docs.select("doc_id", F.split("text", r"\s").alias("w")).select("doc_id", F.array_distinct(F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1), F.lit(" "), F.get(w, i + 2)))).alias("heads"))
-    # outer: the filter that a plain explode infers would split each text again for every word
-    hits = starts.select("doc_id", F.explode_outer("heads").alias("head")).join(b, "head").select("doc_id", "item_id", "passage").join(docs, "doc_id").where(F.contains("text", F.col("passage")))
+    return verbatim(A.read(spark, sf_dir, "documents").select("doc_id", "text"), A.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
+
+
+def verbatim(docs, passages):
+    """doc_id, n_items, first_item of documents that hold a passage character by character.
+
+    A passage may begin and end inside a word, but the words within are whole:
+    documents and passages meet on up to three of these, then are compared whole.
+    """
+    inner = F.split("passage", r"\s")
+    b = passages.where("passage is not null").withColumn("n", F.least(F.size(inner) - 2, F.lit(3))).withColumn("head", F.array_join(F.slice(inner, F.lit(2), F.greatest("n", F.lit(0))), " "))
+    sizes = sorted(r["n"] for r in b.select("n").distinct().collect())
+    w = F.split("text", r"\s")
+
+    def grams_of(n: int):
+        return F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + j) for j in range(1, n)]))
+
+    grams = [grams_of(n) for n in sizes if n > 0]
+    hits = docs.select("doc_id", F.lit(None).cast(passages.schema["item_id"].dataType).alias("item_id")).limit(0)
+    if grams:
+        # outer: the filter that a plain explode infers would split each text again for every word
+        starts = docs.select("doc_id", w.alias("w")).select("doc_id", F.explode_outer(F.array_distinct(F.concat(*grams))).alias("head"))
+        met = starts.join(b.where("n > 0"), "head").select("doc_id", "item_id", "passage")
+        hits = met.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    if sizes and sizes[0] <= 0:
+        few = b.where("n <= 0")
+        if few.count() > MOST_SHORT:
+            raise ValueError(f"more than {MOST_SHORT} passages of at most two words")
+        lists = few.agg(F.collect_list(F.struct("item_id", "passage")).alias("p"))
+        short = docs.join(F.broadcast(lists), F.lit(True)).select("doc_id", F.explode(F.filter("p", lambda p: F.contains("text", p["passage"]))).alias("x"))
+        hits = hits.unionByName(short.select("doc_id", "x.item_id"))
     return hits.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"))
+
+
+@query(
+    f"""with {SQL_RAW}, w as (select *, case when tag = trig then 1.45::double when tag = 'minor' and is_minor then 1.35 when tag = 'adult' and not is_minor then 1.0 when tag = 'adult_content' and hard then 1.55 when tag = 'general' then 0.75 else 0 end tw,
+ 1.45::double + case when hard then 1.55 else 0 end + case when is_minor then 1.35 else 1.0 end + 0.75 total from raw),
+sc as (select q, c, is_minor, hard, trig, row_number() over (partition by q order by 0.35::double * score / top + 0.35::double * tw / total + 0.15::double * least(hits / 4.0::double, 1) + 0.10::double * src + 0.05::double * least(chars / 450.0::double, 1) - pen desc, c) o from w where tw > 0 or score / top >= 0.1)
+select q, case when is_minor then 'minor' else 'adult' end || '::' || trig || '::' || cast(hard as int) || '::' || cast(hard as int) signature, string_agg(c, ',' order by o) chunks,
+  case when is_minor then '- Keep content suitable for viewers under eighteen.' else '- Respect the general limits for adult viewers.' end || chr(10) || '- Avoid strong ' || trig || ' content.' as rule from sc where o <= 3 group by q, is_minor, hard, trig"""
+)
+def policy_rules(spark, sf_dir):
+    """From queries to rules: retrieve, rerank, keep three chunks, and write the rule of each signature once."""
+    w = Window.partitionBy("q").orderBy(F.desc("rerank_score"), "c")
+    best = retrieval.rerank_dims(raw(spark, sf_dir)).withColumn("o", F.row_number().over(w)).where("o <= 3")
+    rows = best.groupBy("q", "is_minor", "adult_hard", "triggered").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda s: s["c"].cast("string")), ",").alias("chunks"))
+    rows = rows.withColumn("signature", records.signature(F.col("is_minor"), F.col("triggered"), F.col("adult_hard"), F.col("adult_hard")))
+    return records.memoised(rows, "signature", ["is_minor", "triggered"], records.template_rule(F.col("is_minor"), F.col("triggered"))).select("q", "signature", "chunks", "rule")
