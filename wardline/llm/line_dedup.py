@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from wardline.llm.common import SPACES, arrow, keyed, mix, partitions, pieces, scanned, settle, text_column, whole_rows
 
-SHARD_KEYS = 1 << 16
+SHARD_KEYS = 1 << 13
 FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k", pa.int64()), ("h", pa.int64())])
 INDEX = pa.schema([("shard", pa.int64()), ("arrays", pa.binary())])
 HITS = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
