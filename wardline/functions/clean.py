@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WHITE = r"^\s+|\s+$"
 
@@ -198,3 +199,16 @@ def item_text(title: Column, genres: Column, overview: Column, most: int = 1200)
     known = lambda x, default: F.coalesce(F.nullif(strip(x), F.lit("")), F.lit(default))
     line = F.concat(F.lit("Title: "), known(title, "Unknown"), F.lit(". Genres: "), known(genres, "Not specified"), F.lit(". Overview: "), known(overview, "Not available"))
     return clean_text(line, most)
+
+
+def rounded(x: Column, kind: T.DataType, digits: int) -> Column:
+    """Every double inside a nested value rounded; all else as it is."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.round(x.cast("double"), digits)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: rounded(v, kind.elementType, digits))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: rounded(v, kind.valueType, digits))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[rounded(x[f.name], f.dataType, digits).alias(f.name) for f in kind.fields]))
+    return x

@@ -53,6 +53,19 @@ def tags(text: Column, lexicon: dict[str, list[str]]) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
 
 
+#: The keywords of the policy tags.
+POLICY_LEXICON = {
+    "sex": ["色情", "淫秽", "性", "裸露", "低俗", "挑逗", "成人", "性暗示", "sexual", "nudity", "adult"],
+    "violence": ["暴力", "血腥", "凶杀", "杀戮", "残忍", "伤害", "恐怖活动", "violence", "gore", "blood"],
+    "profanity": ["脏话", "粗口", "粗俗", "辱骂", "低俗语言", "profanity", "vulgar", "abusive"],
+    "drug": ["毒品", "吸毒", "酒精", "酗酒", "吸烟", "成瘾", "drug", "alcohol", "smoking", "addiction"],
+    "intense": ["惊悚", "恐怖", "惊吓", "紧张", "心理", "危险", "horror", "frightening", "disturbing"],
+    "adult_content": ["成人", "未成年人不宜", "儿童不宜", "色情", "淫秽", "低俗", "adult-oriented"],
+    "minor": ["未成年人", "未成年", "青少年", "儿童", "身心健康", "保护", "适龄", "minor", "child"],
+    "adult": ["成年人", "一般内容", "合规", "底线", "公众", "社会公德", "adult"],
+    "general": ["互联网视听", "内容审核", "禁止", "不得", "违法", "有害", "导向", "公序良俗"],
+}
+
 #: Queries of one block; their vectors are sent to every worker, so this bounds what is broadcast.
 QUERY_BLOCK = 10_000
 #: Score cells that a worker holds at once.

@@ -20,20 +20,6 @@ def gmf(p: Column, q: Column, w: Column, bias: float) -> Column:
     return sigmoid(F.aggregate(triple, F.lit(0.0), lambda s, x: s + x) + bias)
 
 
-def mlp_scorer(weights: list[tuple[np.ndarray, np.ndarray]]):
-    """A block score for rank_catalogue: ReLU layers over [user vector, item vector], a sigmoid at the end."""
-
-    def score(rows: dict, columns: dict) -> np.ndarray:
-        u, v = np.stack(rows["p"]), np.stack(columns["q"])
-        (w, b), *rest = weights
-        h = (u @ w[: u.shape[1]])[:, None, :] + (v @ w[u.shape[1] :])[None, :, :] + b
-        for w, b in rest:
-            h = np.maximum(h, 0) @ w + b
-        return 1 / (1 + np.exp(-h[..., 0]))
-
-    return score
-
-
 def dot_scorer(digits: int = 9):
     """A block score for rank_catalogue: inner products of users' p and items' q, rounded so that equal vectors tie."""
 
@@ -182,14 +168,17 @@ def learned_safety(rows: DataFrame, features: list[str], label: str):
 
 
 def propagate(edges: DataFrame, nodes: DataFrame, hops: int = 1, digits: int | None = None) -> DataFrame:
-    """node, dim, x: mean over hops 0..hops of the symmetrically normalised neighbour sums. edges: (a, b) once per direction; nodes: node, dim, x."""
-    degree = edges.groupBy("a").agg(F.count("*").alias("d"))
-    weight = edges.join(degree, "a").withColumnRenamed("d", "da").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
-    weight = weight.select("a", "b", (1 / F.sqrt(F.col("da").cast("double") * F.col("db"))).alias("w"))
+    """node, dim, x: mean over hops 0..hops of the symmetrically normalised neighbour sums. edges: (a, b) once per direction; nodes: node, dim, x.
+
+    The weight of an edge is one factor of each end, so nodes are scaled before and after a hop and edges carry no weights. Sums are partial before
+    their shuffle; the edges of a node with very many are split by the engine's skew join.
+    """
+    degree = edges.groupBy(F.col("a").alias("node")).agg((1 / F.sqrt(F.count("*").cast("double"))).alias("s"))
     layer, total = nodes, nodes
     for _ in range(hops):
-        moved = weight.join(layer, weight["b"] == layer["node"]).groupBy("a", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-        layer = moved.select(F.col("a").alias("node"), "dim", "x")
+        sent = layer.join(degree, "node").select(F.col("node").alias("b"), "dim", (F.col("x") * F.col("s")).alias("x"))
+        moved = edges.join(sent, "b").groupBy(F.col("a").alias("node"), "dim").agg(F.sum("x").alias("x"))
+        layer = moved.join(degree, "node").select("node", "dim", (F.col("x") * F.col("s")).alias("x"))
         total = total.unionByName(layer)
     out = total.groupBy("node", "dim").agg((F.sum("x") / (hops + 1)).alias("x"))
     return out if digits is None else out.withColumn("x", F.round("x", digits))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.policy import DIMS
 from wardline.operators import build, history
 from wardline.plans import adapters as A
+from wardline.plans import runner
 from wardline.plans.registry import query
 
 BOUNDS = build.Bounds(least=20, most=200, positives=5, liked=6, sizes={True: 8, False: 60})
@@ -164,3 +168,29 @@ def documents_head(spark, sf_dir):
 def raw_id_lookup(spark, sf_dir):
     """Rows of a few raw ids."""
     return A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("raw"), "c_name").where(F.col("raw").isin(7, 42, 100))
+
+
+@query(
+    f"""{A.PRELUDE}, b as (select u, i, 'train' p from spl where split = 'train' union select u, i, 'train_valid_test' from spl union select u, i, 'last5' from hist where back <= 5 and n >= 3
+  union select u, i, 'all_and_pools' from spl union select u, unnest([(i * 3 + 1) % 1000, (u + i) % 1000]), 'all_and_pools' from spl where split = 'test')
+select u, p as policy, (select count(*) from item) - count(distinct item.i) eligible, min(item.i) first_blocked from b join item on item.i = b.i group by 1, 2"""
+)
+def block_policies(spark, sf_dir):
+    """What each policy of blocked items leaves of the catalogue per user."""
+    rows = A.split(spark, sf_dir)
+    test = rows.where("split = 'test'").select("u", F.explode(F.array((F.col("i") * 3 + 1) % 1000, (F.col("u") + F.col("i")) % 1000)).alias("i"))
+    last = history.last_k(A.interactions(spark, sf_dir), 5).join(rows.select("u").distinct(), "u", "left_semi")
+    seen = rows.select("u", "i")
+    parts = {"train": rows.where("split = 'train'").select("u", "i"), "train_valid_test": seen, "last5": last.select("u", "i"), "all_and_pools": seen.union(test)}
+    blocked = reduce(DataFrame.union, [p.select("u", "i", F.lit(n).alias("policy")) for n, p in parts.items()]).distinct()
+    items = A.items(spark, sf_dir).select("i")
+    n = items.agg(F.count("*").alias("n"))
+    own = blocked.join(items, "i").groupBy("u", "policy").agg(F.count("*").alias("c"), F.min("i").alias("first_blocked"))
+    return own.join(F.broadcast(n), F.lit(True)).select("u", "policy", (F.col("n") - F.col("c")).alias("eligible"), "first_blocked")
+
+
+@query("with l as (select event_id % 40 epoch, round(avg(value), 6) ndcg from events where event_id % 7 <> 0 group by 1) select epoch, ndcg from l order by ndcg desc, epoch limit 1")
+def best_epoch(spark, sf_dir):
+    """The best row of a training log."""
+    log = A.read(spark, sf_dir, "events").where("event_id % 7 <> 0").groupBy((F.col("event_id") % 40).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("ndcg"))
+    return runner.best_epoch(log, "ndcg")

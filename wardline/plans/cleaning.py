@@ -148,3 +148,25 @@ def chunk_packing(spark, sf_dir):
     lists = chunks.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("n", "chunk"))).alias("x"))
     text = F.col("x.chunk")
     return lists.select("page", F.size("x").cast("long").alias("n"), F.array_max(F.transform(text, lambda c: F.length(c))).cast("long").alias("longest"), F.md5(F.array_join(text, "|")).alias("digest"))
+
+
+@query("select vec_id, format('{:.3f}', round(cast(embedding[1] as double), 3) + 0.0) first, format('{:.3f}', round(cast(embedding[2] as double) * 2, 3) + 0.0) inner_, label from embeddings")
+def nested_rounding(spark, sf_dir):
+    """A nested record whose doubles are rounded wherever they stand."""
+    e = F.col("embedding")
+    nested = F.struct(e.alias("all"), F.create_map(F.lit("m"), F.struct((e[1].cast("double") * 2).alias("x"), "label")).alias("by"))
+    rows = A.read(spark, sf_dir, "embeddings").select("vec_id", nested.alias("r"))
+    rows = rows.select("vec_id", clean.rounded(F.col("r"), rows.schema["r"].dataType, 3).alias("r"))
+    shown = lambda x: F.format_string("%.3f", x)
+    return rows.select("vec_id", shown(F.col("r.all")[0]).alias("first"), shown(F.col("r.by")["m"]["x"]).alias("inner_"), F.col("r.by")["m"]["label"].alias("label"))
+
+
+SQL_POLICY_TAGS = "list_filter([" + ", ".join("case when " + " or ".join(f"contains(t, '{w}')" for w in words) + f" then '{tag}' end" for tag, words in sorted(retrieval.POLICY_LEXICON.items())) + "], lambda x: x is not null)"
+PHRASES = ["禁止暴力与血腥内容", "Protect the CHILD from alcohol", "成年人", "nothing here", "Horror and vulgar adult-oriented scenes", ""]
+
+
+@query(f"select event_id, case when len(x) > 0 then array_to_string(x, '|') else 'general' end tags from (select event_id, {SQL_POLICY_TAGS} x from (select event_id, lower({sql_list(PHRASES)}[event_id % {len(PHRASES)} + 1] || ' ' || event_type) t from events))")
+def policy_tags(spark, sf_dir):
+    """Tags of policy phrases under the nine keyword lists."""
+    text = F.concat(nth(PHRASES, F.col("event_id")), F.lit(" "), "event_type")
+    return A.read(spark, sf_dir, "events").select("event_id", F.array_join(retrieval.tags(text, retrieval.POLICY_LEXICON), "|").alias("tags"))
