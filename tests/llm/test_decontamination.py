@@ -121,3 +121,23 @@ def test_rows_keep_columns_of_any_name(spark):
     kept = dc.drop_contaminated(docs, bench(spark, items))
     assert kept.schema == docs.schema
     assert {tuple(r)[2:] for r in kept.collect()} == {(7, 8, 9, 10, 11)}
+
+
+def test_equals_its_sql(spark):
+    """The query's SQL over odd texts: short items, marks, unspaced scripts, repeated rows, null ids."""
+    import duckdb
+    import pandas as pd
+
+    from wardline.llm.queries import ORACLE
+
+    texts, items, _ = world(7)
+    nine = [f"n{i}" for i in range(9)]
+    items += [" ".join(nine) + ".", "春眠暁を覚えず処処啼鳥を聞く夜来風雨の声", " ".join(f"t{i}" for i in range(11)), "a b c d"]
+    texts += ["x " + " ".join(nine) + " y", "。春眠暁を覚えず処処啼鳥を聞く、夜来風雨の声abc", " ".join("other" if i in (2, 7) else f"t{i}" for i in range(11)), "a b c d e", texts[0]]
+    ids = [*range(len(texts) - 2), None, 0]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text": texts}))
+    con.register("benchmark", pd.DataFrame({"item_id": [str(i) for i in range(len(items))], "text": items}))
+    got = dc.contaminated(frame(spark, texts, ids), bench(spark, items)).select("doc_id", "item_id", "matched", "first").collect()
+    want = con.sql(ORACLE["op9_decontamination"]).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(got) > 40

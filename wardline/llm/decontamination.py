@@ -33,6 +33,7 @@ the length of texts is not bounded.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -57,6 +58,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Characters of scripts written without blanks, and their marks.
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 UNSPACED_MARKS = r"\u3000-\u303F\u30FB\uFF01-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65"
+#: The same classes as the SQL of query 9 writes them.
+UNSPACED_SQL, MARKS_SQL, SEPARATORS_SQL = (re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", x) for x in (UNSPACED, UNSPACED_MARKS, SEPARATORS))
 
 
 def tokens(text):

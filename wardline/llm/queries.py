@@ -107,6 +107,31 @@ m8 as (select doc_id, cast(len(w) as bigint) n_words, cast(length(regexp_replace
   cast(length(regexp_replace(text, '[^A-Z]', '', 'g')) as bigint) n_capitals, cast(len(list_filter(w, lambda x, i: i > 1 and x = w[i - 1])) as bigint) n_stutter from d left join c using (doc_id)),
 b as (select *, cast({" + ".join(f"(case when {rule} then {1 << i} else 0 end)" for i, (_, rule) in enumerate(quality_rules.RULES))} as bigint) fail_bits from m8)"""
 
+#: Query 9 in SQL: the same seeds and verification, positions by list functions.
+SPLIT = rf"list_filter(regexp_split_to_array(lower(case when regexp_matches(t, '[{decontamination.UNSPACED_SQL}{decontamination.MARKS_SQL}]') then regexp_replace(regexp_replace(t, '[{decontamination.MARKS_SQL}]', ' ', 'g'), '([{decontamination.UNSPACED_SQL}])', ' \1 ', 'g') else t end), '{decontamination.SEPARATORS_SQL}'), lambda x: x <> '')"
+
+
+def sql_seed(mask: tuple, at: str) -> str:
+    return " || ' ' || ".join(f"w[{at} + {i + 1}]" for i in mask)
+
+
+def sql_decontamination() -> str:
+    masks = (*decontamination.MASKS, decontamination.SHORT, decontamination.WHOLE)
+    spans = (*[decontamination.SPAN] * len(decontamination.MASKS), len(decontamination.SHORT), decontamination.EXACT)
+    places = [f"select id, n, unnest(range(0, n - {decontamination.SPAN - 1})) q, w from items where n >= {decontamination.SPAN}"] * len(decontamination.MASKS)
+    places += [f"select id, n, unnest({list(decontamination.SHORT_AT)}) q, w from items where n between {decontamination.SPAN} and {decontamination.SURE - 1}", f"select id, n, 0 q, w from items where n < {decontamination.SPAN}"]
+    keys = " union all ".join(f"select id, n, q, {m} m, {sql_seed(mask, 'q')} seed from ({place})" for m, (mask, place) in enumerate(zip(masks, places, strict=True)))
+    seeds = " union all ".join(f"select d, p, {m} m, {sql_seed(mask, 'p')} seed from (select d, w, unnest(range(0, len(w) - {span - 1})) p from docs)" for m, (mask, span) in enumerate(zip(masks, spans, strict=True)))
+    return f"""with docs as materialized (select row_number() over () d, doc_id, {SPLIT} w from (select distinct doc_id, text t from documents)),
+items as materialized (select row_number() over () id, item_id, w, len(w) n from (select item_id, {SPLIT} w from (select distinct item_id, text t from benchmark)) where len(w) >= {decontamination.EXACT}),
+keys as materialized ({keys}), seeds as ({seeds}),
+hits as (select distinct d, id, p - q s from seeds join keys using (m, seed)),
+eq as (select hits.d, id, s, n, least(n, 13) wide, list_transform(range(greatest(s, 0), least(len(docs.w), greatest(s, 0) + n)), lambda j: case when docs.w[j + 1] = items.w[j - s + 1] then 1 else 0 end) e from hits join docs using (d) join items using (id)),
+best as (select d, id, s, n, wide, list_max(list_transform(range(0, greatest(0, len(e) - wide) + 1), lambda a: list_sum(e[a + 1:a + wide]))) matched from eq)
+select doc_id, item_id, cast(max(matched) as bigint) matched, cast(min(s) filter (matched >= case when best.n < {decontamination.SPAN} then best.n else ceil(wide * 0.8::double) end) as bigint) as first
+from best join docs using (d) join items using (id) group by d, doc_id, item_id having first is not null"""
+
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": rf"""
 with d as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents),
@@ -129,6 +154,7 @@ k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(
 c as (select key, max(doc_id) last from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
 j as (select doc_id, n, line, last is not null and last <> doc_id gone from k left join c using (key))
 select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) kept_sha256 from j group by doc_id""",
+    "op9_decontamination": sql_decontamination(),
     "op7_quality_rules": f"{LEDGER} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality_rules.mask('base')} <> 0 base_failed, fail_bits & {quality_rules.mask('v2')} = 0 kept, fail_bits, 'v2' policy from b",
     "quality_ablations": f"""{LEDGER}, p(policy, m) as (values {", ".join(f"('{p}', {quality_rules.mask(p)}::bigint)" for p in quality_rules.POLICIES)}),
 r("rule", bit) as (values {", ".join(f"('{n}', {1 << i}::bigint)" for i, (n, _) in enumerate(quality_rules.RULES))})
