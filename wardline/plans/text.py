@@ -127,13 +127,18 @@ def prompt_leakage(spark, sf_dir):
     return A.read(spark, sf_dir, "documents").select("doc_id", F.array_join(records.leaks(F.col("text"), FORBIDDEN), "|").alias("leaks"))
 
 
-@query(f"{A.PRELUDE} select u, bool_or(contains(lower('I liked the Red Widget and a blue bolt'), lower(title))) leak from hist join item using (i) where back <= 5 group by 1")
+@query(f"{A.PRELUDE}, said as (select u, 'We saw ' || t.title || ' (1984) and a blue bolt' line from usr join item t on t.i = (u * 37) % (select count(*) from item)) select hist.u, bool_or(contains(lower(line), lower(title))) leak from hist join said on said.u = hist.u join item using (i) where back <= 5 group by 1")
 def title_leak(spark, sf_dir):
+    """Whether a sentence about another item names a title of the user's latest ones."""
     from wardline.operators import history
 
-    last = history.last_k(A.interactions(spark, sf_dir), 5).join(A.items(spark, sf_dir).select("i", "title"), "i")
-    rows = last.groupBy("u").agg(F.collect_list(F.concat("title", F.lit(" (1999)"))).alias("titles"))
-    return rows.select("u", records.title_leaks(F.lit("I liked the Red Widget and a blue bolt"), F.col("titles")).alias("leak"))
+    items = A.items(spark, sf_dir).select("i", "title")
+    n = items.agg(F.count("*").alias("n"))
+    said = A.users(spark, sf_dir).join(F.broadcast(n), F.lit(True)).select("u", ((F.col("u") * 37) % F.col("n")).alias("i")).join(items, "i")
+    said = said.select("u", F.concat(F.lit("We saw "), "title", F.lit(" (1984) and a blue bolt")).alias("line"))
+    last = history.last_k(A.interactions(spark, sf_dir), 5).join(items, "i")
+    rows = last.groupBy("u").agg(F.collect_list(F.concat("title", F.lit(" (1999)"))).alias("titles")).join(said, "u")
+    return rows.select("u", records.title_leaks(F.col("line"), F.col("titles")).alias("leak"))
 
 
 @query("select doc_id, regexp_replace(regexp_replace(text, 'worthless', 'mature', 'gi'), 'idiot', 'mature', 'gi') cleaned, regexp_matches(lower(text), 'worthless|idiot') had from documents")
