@@ -173,10 +173,10 @@ def test_negatives_by_draws_by_join_and_for_the_nearly_blocked(spark, monkeypatc
     users = spark.createDataFrame([(1, []), (2, ids[:200]), (3, ids[:395]), (4, ids)], "u long, block array<bigint>")
     want = {}
     for u, block in ((1, []), (2, ids[:200]), (3, ids[:395]), (4, ids)):
-        drawn = [ids[int(hashlib.md5(f"5|{u}|{t}".encode()).hexdigest()[:12], 16) % 400] for t in range(4 * 20)]
-        free = list(dict.fromkeys(i for i in drawn if i not in block))
-        rest = sorted((i for i in ids if i not in block), key=lambda i: (hashlib.md5(f"5|{u}|{i}".encode()).hexdigest()[:12], i))
-        want[u] = (free if len(free) >= 20 else rest)[:20]
+        at = lambda t, u=u: int(hashlib.md5(f"5|{u}|{t}".encode()).hexdigest()[:12], 16) % 400
+        free = list(dict.fromkeys(i for i in (ids[at(t)] for t in range(sampling.DRAWS * 20)) if i not in block))
+        rest = [i for i in [*ids[at(-1) :], *ids[: at(-1)]] if i not in block and i not in free]
+        want[u] = [*free, *rest][:20]
     for bound in (1_000_000, 10):
         monkeypatch.setattr(sampling, "BROADCAST_ITEMS", bound)
         got = {}

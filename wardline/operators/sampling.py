@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +17,7 @@ def draw(seed: int, *keys: str) -> Column:
 #: Item ids that are broadcast as one sorted array (8 bytes each); of more, only the drawn ones are looked up, by a join.
 BROADCAST_ITEMS = 1_000_000
 #: Draws for each wanted item.
-DRAWS = 4
+DRAWS = 2
 
 
 def number(text: Column) -> Column:
@@ -31,41 +28,33 @@ def number(text: Column) -> Column:
 def negatives(users: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
     """u, i, place: the first n different items outside the user's ``block`` list among hashed draws from the catalogue.
 
-    Work follows n, not the catalogue. A user whose DRAWS * n draws give fewer
-    (the catalogue is small, or nearly all blocked) takes the first n unseen
-    items in md5 order instead, so that no one is short while there are items.
+    Work follows n, not the catalogue. Where DRAWS * n draws give fewer (the
+    catalogue is small, or nearly all blocked), the unseen items that follow a
+    hashed place in id order, cyclically, make up the rest, so that no one is
+    short while there are items.
     """
     ids = items.select("i").distinct()
-    size = ids.count()
-    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS * n - 1)), lambda t: number(F.concat_ws("|", F.lit(str(seed)), F.col("u").cast("string"), t.cast("string"))) % max(1, size))
+    size = max(1, ids.count())
+    drawn_at = lambda t: number(F.concat_ws("|", F.lit(str(seed)), F.col("u").cast("string"), t.cast("string"))) % size
+    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS * n - 1)), drawn_at)
     if size <= BROADCAST_ITEMS:
         all_ = F.broadcast(ids.agg(F.array_sort(F.collect_list("i")).alias("all")))
-        drawn = users.select("u", "block").join(all_, F.lit(True)).select("u", "block", F.transform(draws, lambda d: F.get("all", d)).alias("drawn"))
-    else:
-        each = users.select("u", "block", F.posexplode(draws).alias("t", "d")).join(dense_ids(ids, "i", "d"), "d")
-        lists = each.groupBy("u").agg(F.any_value("block").alias("block"), F.array_sort(F.collect_list(F.struct("t", "i"))).alias("x"))
-        drawn = lists.select("u", "block", F.col("x.i").alias("drawn"))
-    free = drawn.select("u", "block", F.array_except("drawn", "block").alias("free"))
-    many = free.where(F.size("free") >= n).select("u", F.posexplode(F.slice("free", 1, n)).alias("place", "i"))
-    short = rank_catalogue(free.where(F.size("free") < n).select("u", "block"), ids, md5_order(seed), n)
-    return many.select("u", "i", (F.col("place") + 1).cast("long").alias("place")).unionByName(short.select("u", "i", F.col("rank").cast("long").alias("place")))
-
-
-def md5_order(seed: int):
-    """A block score for rank_catalogue: items in the order of md5(seed|u|i). One digest per pair, for the few that need it."""
-
-    def score(rows: dict, columns: dict) -> np.ndarray:
-        tails = [b"|%d" % i for i in columns["i"].tolist()]
-        out = np.empty((len(rows["u"]), len(tails)))
-        for r, user in enumerate(rows["u"].tolist()):
-            lead = hashlib.md5(b"%d|%d" % (seed, user))
-            for c, tail in enumerate(tails):
-                h = lead.copy()
-                h.update(tail)
-                out[r, c] = -int.from_bytes(h.digest()[:6], "big")
-        return out
-
-    return score
+        free = F.array_except(F.transform(draws, lambda d: F.get("all", d)), "block")
+        # behind a generator of one row, so that the list is made once
+        rows = users.select("u", "block").join(all_, F.lit(True)).select("u", "block", "all", F.explode_outer(F.array(free)).alias("free"))
+        start = drawn_at(F.lit(-1)).cast("int")
+        cycle = F.concat(F.slice("all", start + 1, F.size("all")), F.slice("all", F.lit(1), start))
+        rest = F.array_except(F.array_except(cycle, "block"), "free")
+        full = F.when(F.size("free") >= n, F.col("free")).otherwise(F.concat("free", rest))
+        return rows.select("u", F.posexplode(F.slice(full, 1, n)).alias("place", "i")).select("u", "i", (F.col("place") + 1).cast("long").alias("place"))
+    each = users.select("u", "block", F.posexplode(draws).alias("t", "d")).join(dense_ids(ids, "i", "d"), "d")
+    lists = each.groupBy("u").agg(F.any_value("block").alias("block"), F.array_sort(F.collect_list(F.struct("t", "i"))).alias("x"))
+    rows = lists.select("u", "block", F.slice(F.array_except(F.col("x.i"), "block"), 1, n).alias("free"))
+    some = rows.select("u", F.posexplode("free").alias("place", "i"))
+    short = rows.where(F.size("free") < n).select("u", F.concat("block", "free").alias("block"), F.size("free").alias("have"), drawn_at(F.lit(-1)).alias("start"))
+    cyclic = lambda own, columns: -((columns["d"][None, :] - own["start"][:, None]) % size).astype(float)
+    rest = rank_catalogue(short, dense_ids(ids, "i", "d"), cyclic, n, ["start"]).join(short.select("u", "have"), "u").where(F.col("have") + F.col("rank") <= n)
+    return some.select("u", "i", (F.col("place") + 1).cast("long").alias("place")).unionByName(rest.select("u", "i", (F.col("have") + F.col("rank")).cast("long").alias("place")))
 
 
 #: Leading hex digits of a draw whose counts come to the driver: at most 65,536 counts a stratum.

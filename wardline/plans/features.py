@@ -298,11 +298,12 @@ def mmr_quota_mix(spark, sf_dir):
 def sql_negatives(n: int, seed: int, who: str = "usr") -> str:
     """CTE neg (u, i, place): what sampling.negatives gives the users of a CTE who."""
     return f"""ids as materialized (select i, row_number() over (order by i) - 1 d from item),
-dr as (select u, t, cast('0x' || substr(md5('{seed}|' || u || '|' || t), 1, 12) as bigint) % (select count(*) from item) d from {who} cross join (select unnest(generate_series(0, {4 * n - 1})) t)),
-fr as materialized (select dr.u, ids.i, min(t) t from dr join ids using (d) left join inter s on s.u = dr.u and s.i = ids.i where s.u is null group by 1, 2),
-enough as materialized (select u from fr group by 1 having count(*) >= {n}),
-neg as materialized (select u, i, row_number() over (partition by u order by t) place from fr where u in (from enough) qualify place <= {n}
-  union all select w.u, item.i, row_number() over (partition by w.u order by md5('{seed}|' || w.u || '|' || item.i), item.i) place from {who} w cross join item where w.u not in (from enough) and not exists (select 1 from inter s where s.u = w.u and s.i = item.i) qualify place <= {n})"""
+dr as (select u, t, cast('0x' || substr(md5('{seed}|' || u || '|' || t), 1, 12) as bigint) % (select count(*) from item) d from {who} cross join (select unnest(generate_series(-1, {sampling.DRAWS * n - 1})) t)),
+fr as materialized (select dr.u, ids.i, min(t) t from dr join ids using (d) left join inter s on s.u = dr.u and s.i = ids.i where s.u is null and t >= 0 group by 1, 2),
+lack as materialized (select w.u, dr.d start from {who} w join dr on dr.u = w.u and t = -1 where (select count(*) from fr where fr.u = w.u) < {n}),
+neg as materialized (select u, i, row_number() over (partition by u order by k) place from (select u, i, t k from fr union all
+  select lack.u, ids.i, 1000000 + (ids.d - start + (select count(*) from item)) % (select count(*) from item) from lack cross join ids
+  where not exists (select 1 from inter s where s.u = lack.u and s.i = ids.i) and not exists (select 1 from fr where fr.u = lack.u and fr.i = ids.i)) qualify place <= {n})"""
 
 
 @query(f"{A.PRELUDE}, {sql_negatives(99, 7)} select u, i, place from neg")
