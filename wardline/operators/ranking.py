@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Items of one block, and bytes of their columns: these are sent to every worker, so this bounds what is broadcast.
 ITEM_BLOCK, ITEM_BYTES = 1_000_000, 64 << 20
 #: Score cells that a worker holds at once.
-CELLS = 1 << 22
+CELLS = 1 << 18
 RANKED = pa.schema([("u", pa.int64()), ("i", pa.int64()), ("score", pa.float64())])
 
 #: (user columns, item columns) of a block to a users x items matrix.
@@ -41,28 +41,35 @@ def top_of_block(users: DataFrame, items: dict[str, np.ndarray], score: Score, k
                 at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
                 hit = ids[at] == own
                 s[row[hit], at[hit]] = -np.inf
-                n = min(k, len(ids))
-                if n < len(ids):  # the n-th best score; ties at it go to the smaller items
-                    edge = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n, None]
-                    over = s > edge
-                    tie = s == edge
-                    take = over | (tie & (np.cumsum(tie, 1) <= n - over.sum(1, keepdims=True)))
-                else:
-                    take = np.ones_like(s, bool)
-                take &= s > -np.inf
-                r, c = np.nonzero(take)
+                r, c = best_cells(s, min(k, len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(u[lo:hi][r]), pa.array(ids[c]), pa.array(s[r, c])], schema=RANKED)
 
     return users.select("u", "block", *more).mapInArrow(run, "u long, i long, score double")
 
 
+def best_cells(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the n best cells above -inf of each row; ties at the n-th go to the smaller columns."""
+    if n == s.shape[1]:
+        return np.nonzero(s > -np.inf)
+    edge = np.maximum(np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n], np.finfo(s.dtype).min)
+    r, c = np.nonzero(s >= edge[:, None])
+    tie = s[r, c] == edge[r]
+    over = np.bincount(r[~tie], minlength=len(s))
+    upto = np.cumsum(tie)
+    before = np.append(0, upto)[np.searchsorted(r, np.arange(len(s)))]  # ties in earlier rows
+    keep = ~tie | (upto - before[r] <= n - over[r])
+    return r[keep], c[keep]
+
+
 def rank_catalogue(users: DataFrame, items: DataFrame, score: Score, k: int, more: list[str] | None = None) -> DataFrame:
     """u, i, score, rank (1 best) of each user's k best items that are not in the array ``block``.
 
     items: column i and whatever score reads; more: the user columns that it reads. Items of more than ITEM_BLOCK rows or ITEM_BYTES come block by
     block, and the blocks' best are ranked together; blocked items never surface, short lists stay short.
     """
-    names = items.columns
+    # a user row is small and its work is the whole catalogue, so users are dealt by number, not gathered by their bytes
+    users = users.repartition(int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u")
+    names, items = items.columns, items.persist()  # measured, then fetched; all of it before this returns
     width = lambda c, t: F.size(c) * 16 if t.startswith("array") else F.lit(8)
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(reduce(Column.__add__, [F.coalesce(width(c, t), F.lit(0)) for c, t in items.dtypes])), F.lit(0)).alias("bytes")).first()
     blocks = max(-(-size["n"] // ITEM_BLOCK), -(-size["bytes"] // ITEM_BYTES), 1)
@@ -73,6 +80,7 @@ def rank_catalogue(users: DataFrame, items: DataFrame, score: Score, k: int, mor
         columns = {c: rows[c].to_numpy() for c in names}
         part = top_of_block(users, columns, score, k, more or []) if len(columns["i"]) else None
         best = part if best is None else best.unionByName(part) if part is not None else best
+    items.unpersist()
     if best is None:
         best = users.sparkSession.createDataFrame([], "u long, i long, score double")
     w = Window.partitionBy("u").orderBy(F.desc("score"), "i")
