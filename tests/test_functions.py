@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import clean, policy
-from wardline.operators import augment, calibrate, candidates, history, metrics, records, retrieval
+from wardline.operators import augment, calibrate, candidates, history, metrics, numbering, records, retrieval
 from wardline.operators.ranking import rank_catalogue
 from wardline.streaming import incremental
 
@@ -73,7 +73,7 @@ def test_split_and_ids(spark):
     got = {(r.u, r.split): r["count"] for r in history.leave_last_two(rows).groupBy("u", "split").count().collect()}
     assert got == {(1, "train"): 3, (1, "valid"): 1, (1, "test"): 1}
     keys = [-5, 70000, 3, 200000, 65536, 65535]
-    ids = history.dense_ids(spark.createDataFrame([(k,) for k in keys * 2], "k long"), "k", "id").collect()
+    ids = numbering.dense_ids(spark.createDataFrame([(k,) for k in keys * 2], "k long"), "k", "id").collect()
     assert {r.k: r.id for r in ids} == {k: j for j, k in enumerate(sorted(keys))}
 
 

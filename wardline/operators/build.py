@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions.clean import to_int
 from wardline.functions.policy import DIMS
-from wardline.operators.history import dense_ids, keep_last, leave_last_two, ranked
+from wardline.operators.history import keep_last, leave_last_two, ranked
+from wardline.operators.numbering import dense_ids
 from wardline.operators.sampling import draw, stratified
 
 

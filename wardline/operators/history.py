@@ -38,19 +38,6 @@ def leave_last_two(rows: DataFrame, least: int = 3) -> DataFrame:
     return out.withColumn("split", F.when(F.col("back") == 1, "test").when(F.col("back") == 2, "valid").otherwise("train")).drop("n")
 
 
-def dense_ids(keys: DataFrame, column: str, name: str) -> DataFrame:
-    """Contiguous ids from 0 in the order of the distinct integer keys.
-
-    Keys are numbered inside stretches of 65,536 key values and shifted by the
-    counts of the stretches before; only those counts meet in one task.
-    """
-    own = keys.select(column).distinct().withColumn("_s", F.shiftright(F.col(column).cast("long"), 16))
-    sizes = own.groupBy("_s").agg(F.count("*").alias("_n"))
-    before = sizes.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_b"))
-    place = F.row_number().over(Window.partitionBy("_s").orderBy(column)) - 1
-    return own.withColumn("_r", place).join(before, "_s").select(column, (F.col("_b") + F.col("_r")).cast("long").alias(name))
-
-
 def eligible(counts: DataFrame, least: int, most: int = 0, positives: int = 0) -> DataFrame:
     """Users with total in [least, most] (most 0: no cap) and at least so many positives."""
     out = counts.where((F.col("total") >= least) & (F.col("positives") >= positives))

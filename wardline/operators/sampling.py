@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.history import dense_ids
+from wardline.operators.numbering import dense_ids
 from wardline.operators.ranking import rank_catalogue
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clean, policy
 from wardline.functions.policy import DIMS
-from wardline.operators import augment, candidates, history, records, sampling, tolerance
+from wardline.operators import augment, candidates, history, numbering, records, sampling, tolerance
 from wardline.operators.ranking import block_lists
 from wardline.plans import adapters as A
 from wardline.plans.registry import query
@@ -97,7 +97,16 @@ def age_at_event(spark, sf_dir):
 
 @query(f"{A.PRELUDE} select i, row_number() over (order by i) - 1 inner_id from (select distinct i from inter)")
 def dense_ids(spark, sf_dir):
-    return history.dense_ids(A.interactions(spark, sf_dir), "i", "inner_id")
+    return numbering.dense_ids(A.interactions(spark, sf_dir), "i", "inner_id")
+
+
+@query("""with k as (select p_name, min(case when p_size < 25 then 0 else 1 end) late from part where p_name is not null group by 1)
+select p_name, row_number() over (order by late, p_name) - 1 name_id from k""")
+def extended_ids(spark, sf_dir):
+    """Ids of names: those of small parts first, a later run's new names behind them."""
+    names = A.read(spark, sf_dir, "part").select("p_name", "p_size")
+    known = numbering.dense_ids(names.where("p_size < 25"), "p_name", "name_id")
+    return numbering.extended_ids(known, names.where("p_name is not null"), "p_name", "name_id")
 
 
 @query(f"{A.PRELUDE} select u, i, row_number() over (partition by u order by ts, i) history_rank, n history_len, back reverse_rank from hist")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.policy import bucket_flags, dim_flags
 from wardline.operators import scoring
-from wardline.operators.history import dense_ids
+from wardline.operators.numbering import dense_ids
 from wardline.operators.ranking import rank_catalogue
 from wardline.plans import adapters as A
 from wardline.plans.evaluation import DIMS, SQL_PRED, predictions
