@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator over its whole table, with the digests its contract names."""
+"""The queries op1 to op13: each operator over its whole table, with the digests its contract names."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontamination, language_id, line_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, toxicity, url_filters
+from wardline.llm import alignment, decontamination, language_id, line_dedup, packing, quality_rules, resampling, secret_scan, simhash, substring_dedup, toxicity, url_filters
 from wardline.llm.common import table
 
 
@@ -18,6 +18,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def sha256(text: str):
     return F.sha2(F.col(text), 256)
 
@@ -88,9 +94,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file(), piece_file())
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_url_filters, op3_packing, op4_language_id, op5_secret_scans, op6_line_dedup, op7_quality_rules, op8_simhash, op9_decontamination, op10_toxicity, quality_ablations)
+    for f in (op1_substring_dedup, op2_url_filters, op3_packing, op4_language_id, op5_secret_scans, op6_line_dedup, op7_quality_rules, op8_simhash, op9_decontamination, op10_toxicity, op12_alignment, op13_resampling, quality_ablations)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -132,7 +147,24 @@ select doc_id, item_id, cast(max(matched) as bigint) matched, cast(min(s) filter
 from best join docs using (d) join items using (id) group by d, doc_id, item_id having first is not null"""
 
 
+#: Query 13 in SQL: crc32 by its table over the bytes of each distinct feature.
+RESAMPLED = r"""
+with recursive words(kind, id, w) as (select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  from (select 0 kind, doc_id id, text from documents union all select 1, null, text from benchmark)),
+runs as materialized (select kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) f from words),
+crcs as materialized (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+features as (select distinct f, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: cast('0x' || x as bigint)) b from (select distinct f from runs)),
+buckets as materialized (select f, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 k from features cross join crcs),
+n as (select k, count(*) filter (kind = 0)::double s, count(*) filter (kind = 1)::double t from runs join buckets using (f) group by k),
+gain as (select k, floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000)))) g from n),
+summed as (select id, count(*) n_features, sum(g)::bigint weight from runs join buckets using (f) join gain using (k) where kind = 0 group by id),
+scored as (select doc_id, len(w) n_words, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || sha256('42:' || doc_id)[1:8] as bigint) + 0.5) / 4294967296.0::double)))::bigint score
+  from (select id doc_id, w from words where kind = 0) left join summed on doc_id = id),
+ranked as (select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id) end r, count(*) filter (n_words >= 20) over () able from scored)
+select doc_id, cast(n_features as bigint) n_features, weight, score, case when r <= 5 * able // 100 then r end "rank" from ranked"""
+
 ORACLE: dict[str, str] = {
+    "op13_resampling": RESAMPLED,
     "op1_substring_dedup": rf"""
 with d as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents),
 wins as materialized (select doc_id, s, md5(array_to_string(list_slice(w, s, s + 19), ' ')) g from d, unnest(generate_series(1, len(w) - 19)) t(s) where len(w) >= 20),
