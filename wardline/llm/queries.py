@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import alignment, decontamination, language_id, line_dedup, packing, quality_rules, resampling, secret_scan, simhash, substring_dedup, toxicity, url_filters
+from wardline.llm import alignment, decontamination, fingerprints, language_id, line_dedup, packing, quality_rules, resampling, secret_scan, simhash, substring_dedup, toxicity, url_filters
 from wardline.llm.common import table
 
 
@@ -94,6 +94,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file(), piece_file())
 
@@ -105,7 +109,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_url_filters, op3_packing, op4_language_id, op5_secret_scans, op6_line_dedup, op7_quality_rules, op8_simhash, op9_decontamination, op10_toxicity, op12_alignment, op13_resampling, quality_ablations)
+    for f in (op1_substring_dedup, op2_url_filters, op3_packing, op4_language_id, op5_secret_scans, op6_line_dedup, op7_quality_rules, op8_simhash, op9_decontamination, op10_toxicity, op11_fingerprints, op12_alignment, op13_resampling, quality_ablations)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -147,6 +151,32 @@ select doc_id, item_id, cast(max(matched) as bigint) matched, cast(min(s) filter
 from best join docs using (d) join items using (id) group by d, doc_id, item_id having first is not null"""
 
 
+
+
+def sql_fingerprints() -> str:
+    """Query 11 in SQL: whole texts by Horner's rule, spans doubled up from their halves."""
+    f = fingerprints
+    p, b = f.PRIME, f.BASES[0]
+    whole = ", ".join(f"list_reduce(list_prepend(0::bigint, list_reverse(c)), lambda a, x: (a * {base} + x) % {p}) w{i}" for i, base in enumerate(f.BASES))
+    doubled = "".join(f"h{2 * w} as (select *, (x + lead(x, {w}) over q * {pow(b, w, p)}) % {p} y from h{w} window q as (partition by id, kind order by i)),\nd{2 * w} as (select id, kind, i, n, y x from h{2 * w}),\n".replace(f"from h{w} window", f"from {'d' if w > 1 else 'h'}{w} window") for w in (1, 2, 4, 8))
+    narrow = f"select id, kind, (x + coalesce(lead(x, 1) over q, 0) * {b} + coalesce(lead(x, 2) over q, 0) * {pow(b, 2, p)}) % {p} v, i, n, {f.NARROW} w from h1 where n < {f.NARROW_TO} window q as (partition by id, kind order by i)"
+    near = lambda x, y: f"case when {x}.f = {y}.f then 1.0::double else len(list_filter(range(1, {f.SLOTS + 1}), lambda j: {x}.s[j] = {y}.s[j] and {x}.s[j] <> 'ff'))::double / greatest(1, len(list_filter(range(1, {f.SLOTS + 1}), lambda j: {x}.s[j] <> 'ff' or {y}.s[j] <> 'ff'))) end"
+    reach = lambda x, y: f"coalesce(list_position(list_transform(range(1, least(len({x}.c), len({y}.c)) + 1), lambda j: {x}.c[j] = {y}.c[j]), false) - 1, least(len({x}.c), len({y}.c)))::bigint"
+    return f"""
+with o as (select doc_id, coalesce(text, '') t, row_number() over (order by doc_id desc) r, count(*) over () m from documents),
+two as (select o.doc_id id, x.doc_id following, o.t, left(o.t, length(o.t) - length(o.t) // 3) || left(x.t, length(o.t) // 3) e from o join o x on x.r = o.r % o.m + 1),
+texts as materialized (select id, kind, t, list_transform(regexp_extract_all(t, '(?s).'), lambda x: unicode(x)::bigint + 1) c from (select id, 0 kind, t from two union all select id, 1, e from two)),
+wholes as materialized (select id, kind, {whole} from texts),
+h1 as materialized (select id, kind, unnest(c) x, unnest(range(len(c))) i, len(c) n from texts),
+{doubled}spans as (select id, kind, x v, i, n, {f.WIDE} w from d{f.WIDE} where n >= {f.WIDE_FROM} union all {narrow}),
+least_ as (select id, kind, (v * {f.SPREAD} % {p}) >> {f.SLOT_BITS} slot, min(v * {f.SPREAD} % {p} & {(1 << f.SLOT_BITS) - 1}) x from spans where i <= n - least(w, n) group by all),
+slots as (select id, kind, map_from_entries(list((slot, x))) s from least_ group by all),
+prints as materialized (select texts.id, texts.kind, t, c, list_transform(range({f.SLOTS}), lambda j: coalesce(printf('%02x', s[j] % {f.EMPTY}), 'ff')) s, printf('%08x%08x', w0, w1) w from texts join wholes using (id, kind) left join slots using (id, kind)),
+f as materialized (select *, w || array_to_string(s, '') f from prints)
+select a.id doc_id, len(a.c)::bigint n_chars, sha256(b.t) edited_sha256, a.f fingerprint, b.f edited_fingerprint, {near("a", "b")} near_edited, {near("a", "x")} near_next, {reach("a", "b")} prefix_edited, {reach("a", "x")} prefix_next
+from f a join f b on a.id = b.id and a.kind = 0 and b.kind = 1 join two on two.id = a.id join f x on x.id = two.following and x.kind = 0"""
+
+
 #: Query 13 in SQL: crc32 by its table over the bytes of each distinct feature.
 RESAMPLED = r"""
 with recursive words(kind, id, w) as (select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
@@ -164,6 +194,7 @@ ranked as (select *, case when n_words >= 20 then row_number() over (partition b
 select doc_id, cast(n_features as bigint) n_features, weight, score, case when r <= 5 * able // 100 then r end "rank" from ranked"""
 
 ORACLE: dict[str, str] = {
+    "op11_fingerprints": sql_fingerprints(),
     "op13_resampling": RESAMPLED,
     "op1_substring_dedup": rf"""
 with d as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents),
