@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import audit, candidates, history, records, retrieval, sampling, scoring
-from wardline.operators.ranking import block_lists
 from wardline.plans import inventory, runner
 from wardline.streaming import incremental
 
@@ -41,8 +40,7 @@ def test_budgeted_history_keeps_the_latest_turns(spark):
 
 def test_drawn_negatives_are_unseen_and_null_when_all_is_blocked(spark):
     rows = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 0)], "u long, i long")
-    n = spark.createDataFrame([(5,)], "n long")
-    got = sampling.trial_negatives(block_lists(rows, rows), n, 3, 10, 1).collect()
+    got = sampling.trial_negatives(rows, rows, 5, 3, 10, 1).collect()
     assert all(r["neg"] is None for r in got if r["u"] == 1) and len(got) == 18
     assert all(r["neg"] in (1, 2, 3, 4, None) for r in got if r["u"] == 2)
 
@@ -159,30 +157,43 @@ def test_strict_balance_takes_the_smallest_quadrant_of_each(spark):
 
 def test_a_blocked_row_still_gets_its_negative(spark):
     """All but a few items are seen, so the trials fail; what is left is drawn exactly."""
-    n = spark.createDataFrame([(500,)], "n long")
     seen = sorted(set(range(500)) - {3, 250, 499})
-    who = spark.createDataFrame([(1, 0, seen), (2, 0, list(range(500))), (3, 0, [*seen, 3, 250, 9999])], "u long, i long, block array<bigint>")
-    got = sampling.trial_negatives(who, n, 40, 2, 5).select("u", "neg").collect()
+    old = [(u, i) for u, own in ((1, seen), (2, range(500)), (3, [*seen, 3, 250, 9999])) for i in own]
+    rows = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "u long, i long")
+    got = sampling.trial_negatives(rows, spark.createDataFrame(old, "u long, i long"), 500, 40, 2, 5).select("u", "neg").collect()
     assert {r["neg"] for r in got if r["u"] == 1} == {3, 250, 499}
     assert {r["neg"] for r in got if r["u"] == 2} == {None} and {r["neg"] for r in got if r["u"] == 3} == {499}
 
 
-def test_negatives_by_draws_by_join_and_for_the_nearly_blocked(spark, monkeypatch):
+def test_negatives_by_draws_and_for_the_nearly_blocked(spark):
     items = spark.range(400).select((F.col("id") * 7 + 3).alias("i"))
     ids = [7 * k + 3 for k in range(400)]
-    users = spark.createDataFrame([(1, []), (2, ids[:200]), (3, ids[:395]), (4, ids)], "u long, block array<bigint>")
+    blocks = {1: [], 2: ids[:200], 3: ids[:395], 4: ids}
+    users = spark.createDataFrame([(u,) for u in blocks], "u long")
+    seen = spark.createDataFrame([(u, i) for u, own in blocks.items() for i in own], "u long, i long")
     want = {}
     for u, block in ((1, []), (2, ids[:200]), (3, ids[:395]), (4, ids)):
         at = lambda t, u=u: int(hashlib.md5(f"5|{u}|{t}".encode()).hexdigest()[:12], 16) % 400
         free = list(dict.fromkeys(i for i in (ids[at(t)] for t in range(sampling.DRAWS * 20)) if i not in block))
         rest = [i for i in [*ids[at(-1) :], *ids[: at(-1)]] if i not in block and i not in free]
         want[u] = [*free, *rest][:20]
-    for bound in (1_000_000, 10):
-        monkeypatch.setattr(sampling, "BROADCAST_ITEMS", bound)
-        got = {}
-        for r in sorted(sampling.negatives(users, items, 20, 5).collect(), key=lambda r: (r["u"], r["place"])):
-            got.setdefault(r["u"], []).append(r["i"])
-        assert got == {u: x for u, x in want.items() if x}
+    got = {}
+    for r in sorted(sampling.negatives(users, items, seen, 20, 5).collect(), key=lambda r: (r["u"], r["place"])):
+        got.setdefault(r["u"], []).append(r["i"])
+    assert got == {u: x for u, x in want.items() if x}
+
+
+def test_a_long_history_in_a_large_catalogue(spark):
+    """100,000 seen items of one user, ten million items: no row holds either."""
+    items = spark.range(10_000_000).withColumnRenamed("id", "i")
+    seen = spark.range(100_000).select(F.lit(1).cast("long").alias("u"), (F.col("id") * 7).alias("i"))
+    users = spark.createDataFrame([(1,), (2,)], "u long")
+    got = sampling.negatives(users, items, seen, 30, 5).collect()
+    assert sorted((r["u"], r["place"]) for r in got) == [(u, p) for u in (1, 2) for p in range(1, 31)]
+    assert all(r["u"] == 2 or r["i"] % 7 or r["i"] >= 700_000 for r in got)
+    rows = seen.where("i < 70000")
+    drawn = sampling.trial_negatives(rows, seen, 10_000_000, 1, 3, 4)
+    assert drawn.count() == rows.count() and drawn.where("neg is null or (neg % 7 = 0 and neg < 700000)").count() == 0
 
 
 def test_long_pool_lines_keep_their_tail(spark):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.numbering import dense_ids
-from wardline.operators.ranking import rank_catalogue
+from wardline.sources.shared import settle
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -14,8 +16,6 @@ def draw(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-#: Item ids that are broadcast as one sorted array (8 bytes each); of more, only the drawn ones are looked up, by a join.
-BROADCAST_ITEMS = 1_000_000
 #: Draws for each wanted item.
 DRAWS = 2
 
@@ -25,36 +25,41 @@ def number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
-def negatives(users: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
-    """u, i, place: the first n different items outside the user's ``block`` list among hashed draws from the catalogue.
+def negatives(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, seed: int) -> DataFrame:
+    """u, i, place: the first n different items that are not among the user's ``seen`` (u, i), by hashed draws from the catalogue.
 
-    Work follows n, not the catalogue. Where DRAWS * n draws give fewer (the
-    catalogue is small, or nearly all blocked), the unseen items that follow a
-    hashed place in id order, cyclically, make up the rest, so that no one is
-    short while there are items.
+    Draws are rows of a user and a place in the catalogue; seen places leave
+    them by an anti join, so no row carries a history or the catalogue. Where
+    DRAWS * n draws give fewer than n (the catalogue is small, or nearly all
+    seen), the unseen items that follow a hashed place in id order, cyclically,
+    make up the rest, so that no one is short while there are items.
     """
-    ids = items.select("i").distinct()
-    size = max(1, ids.count())
+    ids = dense_ids(items, "i", "d")
+    size = ids.count()
+    if not size:
+        return users.select("u", F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("place")).limit(0)
     drawn_at = lambda t: number(F.concat_ws("|", F.lit(str(seed)), F.col("u").cast("string"), t.cast("string"))) % size
-    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS * n - 1)), drawn_at)
-    if size <= BROADCAST_ITEMS:
-        all_ = F.broadcast(ids.agg(F.array_sort(F.collect_list("i")).alias("all")))
-        free = F.array_except(F.transform(draws, lambda d: F.get("all", d)), "block")
-        # behind a generator of one row, so that the list is made once
-        rows = users.select("u", "block").join(all_, F.lit(True)).select("u", "block", "all", F.explode_outer(F.array(free)).alias("free"))
-        start = drawn_at(F.lit(-1)).cast("int")
-        cycle = F.concat(F.slice("all", start + 1, F.size("all")), F.slice("all", F.lit(1), start))
-        rest = F.array_except(F.array_except(cycle, "block"), "free")
-        full = F.when(F.size("free") >= n, F.col("free")).otherwise(F.concat("free", rest))
-        return rows.select("u", F.posexplode(F.slice(full, 1, n)).alias("place", "i")).select("u", "i", (F.col("place") + 1).cast("long").alias("place"))
-    each = users.select("u", "block", F.posexplode(draws).alias("t", "d")).join(dense_ids(ids, "i", "d"), "d")
-    lists = each.groupBy("u").agg(F.any_value("block").alias("block"), F.array_sort(F.collect_list(F.struct("t", "i"))).alias("x"))
-    rows = lists.select("u", "block", F.slice(F.array_except(F.col("x.i"), "block"), 1, n).alias("free"))
-    some = rows.select("u", F.posexplode("free").alias("place", "i"))
-    short = rows.where(F.size("free") < n).select("u", F.concat("block", "free").alias("block"), F.size("free").alias("have"), drawn_at(F.lit(-1)).alias("start"))
-    cyclic = lambda own, columns: -((columns["d"][None, :] - own["start"][:, None]) % size).astype(float)
-    rest = rank_catalogue(short, dense_ids(ids, "i", "d"), cyclic, n, ["start"]).join(short.select("u", "have"), "u").where(F.col("have") + F.col("rank") <= n)
-    return some.select("u", "i", (F.col("place") + 1).cast("long").alias("place")).unionByName(rest.select("u", "i", (F.col("have") + F.col("rank")).cast("long").alias("place")))
+    who = users.select("u").distinct()
+    taken = seen.select("u", "i").join(ids, "i").select("u", "d").distinct()
+    draws = who.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(DRAWS * n - 1)))).withColumn("d", drawn_at(F.col("t")))
+    draws = draws.groupBy("u", "d").agg(F.min("t").alias("t")).join(taken, ["u", "d"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("u").orderBy("t")).cast("long")
+    found = settle(draws.withColumn("place", place).where(F.col("place") <= n).select("u", "d", "place"))
+    have = found.groupBy("u").agg(F.count("*").alias("have"))
+    short = who.join(have, "u", "left").fillna(0, ["have"]).where(F.col("have") < n).withColumn("start", drawn_at(F.lit(-1)))
+    short, taken, parts = settle(short), taken.unionByName(found.select("u", "d")), [found]
+    lo, reach = 0, 4 * n
+    while lo < size and short.count():
+        # the next stretch behind each short user's place, without what is taken
+        steps = short.withColumn("o", F.explode(F.sequence(F.lit(lo), F.lit(min(lo + reach, size) - 1))))
+        steps = steps.withColumn("d", (F.col("start") + F.col("o")) % size).join(taken, ["u", "d"], "left_anti")
+        place = F.col("have") + F.row_number().over(Window.partitionBy("u").orderBy("o"))
+        more = settle(steps.withColumn("place", place.cast("long")).where(F.col("place") <= n).select("u", "d", "place"))
+        parts.append(more)
+        have = more.groupBy("u").agg(F.max("place").alias("now"))
+        short = settle(short.join(have, "u", "left").withColumn("have", F.coalesce("now", "have")).drop("now").where(F.col("have") < n))
+        lo, reach = lo + reach, 8 * reach
+    return reduce(DataFrame.unionByName, parts).join(ids, "d").select("u", "i", "place")
 
 
 #: Leading hex digits of a draw whose counts come to the driver: at most 65,536 counts a stratum.
@@ -128,22 +133,38 @@ def strictly_balanced(rows: DataFrame, seed: int) -> DataFrame:
     return marked(rows, "quadrant", sizes, seed, "u", "i").where("_in").drop("_in")
 
 
-def trial_negatives(rows: DataFrame, n_items: DataFrame, per: int, trials: int, seed: int) -> DataFrame:
-    """rows with j (0 to per - 1) and neg: the first of ``trials`` hashed draws from 0..n-1 outside ``block``.
+def trial_negatives(rows: DataFrame, seen: DataFrame, size: int, per: int, trials: int, seed: int) -> DataFrame:
+    """u, i, j (0 to per - 1) and neg for each distinct (u, i) of rows: the first of ``trials`` hashed draws from 0..size-1 that is not among the user's ``seen`` (u, i).
 
-    Where all trials are blocked one more draw picks among the unseen items
-    themselves, so neg is null only for a user who has seen everything.
-    rows: u, i, block. n_items: one row with n, the number of dense item ids. Work and size follow the rows, not the catalogue.
+    Where all trials are seen one more draw picks among the unseen items
+    themselves, so neg is null only for a user who has seen everything. Two
+    trials come first, the others only for what they leave; seen items meet the
+    draws in a join, so no row carries a history.
     """
-    each = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     draw_ = lambda t: number(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("u", "i", "j")], t.cast("string")))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: draw_(t) % F.col("n"))
-    free = F.filter(drawn, lambda x: ~F.array_contains("block", x))
-    seen = F.array_sort(F.filter(F.array_distinct("block"), lambda x: x.between(0, F.col("n") - 1)))
-    left = F.col("n") - F.size(seen)
-    # the place among the unseen ones grows by one for each seen item at or below it
-    rest = F.when(left > 0, F.aggregate(seen, draw_(F.lit(-1)) % F.greatest(left, F.lit(1)), lambda x, b: x + F.when(b <= x, 1).otherwise(0)))
-    return each.join(F.broadcast(n_items), F.lit(True)).withColumn("neg", F.coalesce(F.get(free, F.lit(0)), rest)).drop("n")
+    known = seen.select("u", F.col("i").cast("long").alias("x")).where(F.col("x").between(0, size - 1)).distinct()
+    marked_ = known.withColumn("old", F.lit(True))
+    left = rows.select("u", "i").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    done = []
+    for lo, hi in ((0, min(2, trials)), (2, trials)):
+        if lo < hi:
+            tried = left.withColumn("t", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))).withColumn("x", draw_(F.col("t")) % max(1, size))
+            tried = tried.join(marked_, ["u", "x"], "left").groupBy("u", "i", "j").agg(F.min_by("x", F.when(F.col("old").isNull(), F.col("t"))).alias("neg"))
+            tried = settle(tried if size else tried.withColumn("neg", F.lit(None).cast("long")))
+            done.append(tried.where("neg is not null"))
+            left = tried.where("neg is null").drop("neg")
+    # the place among the unseen ones grows by one for each seen item at or below it: x - (seen items below x) <= place
+    who = left.select("u").distinct()
+    below = F.row_number().over(Window.partitionBy("u").orderBy("x")) - 1
+    own = known.join(who, "u", "left_semi").select("u", (F.col("x") - below).alias("v"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("int").alias("j"))
+    count = known.join(who, "u", "left_semi").groupBy("u").agg(F.count("*").alias("seen"))
+    asked = left.join(count, "u", "left").withColumn("free", size - F.coalesce("seen", F.lit(0)))
+    asked = asked.withColumn("v", F.when(F.col("free") > 0, draw_(F.lit(-1)) % F.greatest("free", F.lit(1))))
+    both = own.unionByName(asked.where("free > 0").select("u", "v", F.lit(1).alias("asks"), F.col("i").cast("long").alias("i"), "j"))
+    upto = F.sum(1 - F.col("asks")).over(Window.partitionBy("u").orderBy("v", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    rest = both.withColumn("neg", F.col("v") + upto).where("asks = 1").select("u", "i", "j", "neg")
+    none = asked.where("free <= 0").select("u", "i", "j", F.lit(None).cast("long").alias("neg"))
+    return reduce(DataFrame.unionByName, [*done, rest, none])
 
 
 def shuffled(rows: DataFrame, key: str, value: str, seed: int) -> DataFrame:

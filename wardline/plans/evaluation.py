@@ -104,8 +104,8 @@ select cast(k as bigint) k, count(*) users, round(avg(hit), 6) hr, round(avg(ndc
 )
 def sampled_1p99_metrics(spark, sf_dir):
     rows = A.split(spark, sf_dir)
-    who = block_lists(A.users(spark, sf_dir).join(rows.select("u").distinct(), "u", "left_semi"), A.interactions(spark, sf_dir))
-    drawn = sampling.negatives(who, A.items(spark, sf_dir), 99, 7)
+    who = A.users(spark, sf_dir).join(rows.select("u").distinct(), "u", "left_semi")
+    drawn = sampling.negatives(who, A.items(spark, sf_dir), A.interactions(spark, sf_dir), 99, 7)
     cand = drawn.select("u", "i", F.lit(0).alias("pos")).unionByName(rows.where("split = 'test'").select("u", "i", F.lit(1).alias("pos")))
     from pyspark.sql import Window
 

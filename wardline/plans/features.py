@@ -317,8 +317,7 @@ neg as materialized (select u, i, row_number() over (partition by u order by k)
 
 @query(f"{A.PRELUDE}, {sql_negatives(99, 7)} select u, i, place from neg")
 def hash_negatives(spark, sf_dir):
-    who = block_lists(A.users(spark, sf_dir), A.interactions(spark, sf_dir))
-    return sampling.negatives(who, A.items(spark, sf_dir), 99, 7)
+    return sampling.negatives(A.users(spark, sf_dir), A.items(spark, sf_dir), A.interactions(spark, sf_dir), 99, 7)
 
 
 @query("select u, is_minor from (select c_custkey u, c_custkey % 10 = 0 is_minor, row_number() over (partition by c_custkey % 10 = 0 order by md5('2028|' || c_custkey), c_custkey) k from customer) where k <= case when is_minor then 20 else 180 end")
@@ -361,8 +360,7 @@ select u, coalesce(arg_min(i, r) filter (unsafe = 0 and r <= 50), arg_min(i, r)
 )
 def hard_safety_pair(spark, sf_dir):
     """Per user one safe and one unsafe unseen item: the first of each among the 50 best by base + 0.5 * (p1 - base) of a hashed pool of 200."""
-    who = block_lists(A.users(spark, sf_dir), A.interactions(spark, sf_dir))
-    pool = sampling.negatives(who, A.items(spark, sf_dir), 200, 9).join(A.users(spark, sf_dir), "u").join(A.items(spark, sf_dir), "i")
+    pool = sampling.negatives(A.users(spark, sf_dir), A.items(spark, sf_dir), A.interactions(spark, sf_dir), 200, 9).join(A.users(spark, sf_dir), "u").join(A.items(spark, sf_dir), "i")
     proxy = A.base_col() + 0.5 * (A.p1_col() - A.base_col())
     pool = pool.withColumns({"unsafe": policy.dim_flags(F.col("is_minor"), F.col("is_adult"))["unsafe_any"], "r": F.row_number().over(Window.partitionBy("u").orderBy(F.desc(proxy), "i"))})
     first = lambda flag: F.coalesce(F.min_by("i", F.when((F.col("unsafe") == flag) & (F.col("r") <= 50), F.col("r"))), F.min_by("i", F.when(F.col("unsafe") == flag, F.col("r"))))

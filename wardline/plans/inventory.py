@@ -110,17 +110,18 @@ def negative_pool_explode(spark, sf_dir):
 
 
 def draws(per: int, trials: int, seed: int) -> str:
-    return f"""{A.PRELUDE}, d as (select u, i, j, t, cast('0x' || substr(md5('{seed}|' || u || '|' || i || '|' || j || '|' || t), 1, 12) as bigint) % (select count(*) from item) x
-  from spl cross join (select unnest(generate_series(0, {per - 1})) j) cross join (select unnest(generate_series(0, {trials - 1})) t) where split = 'train'),
-neg0 as materialized (select d.u, d.i, cast(j as int) j, arg_min(x, t) filter (s.u is null) neg from d left join spl s on s.split = 'train' and s.u = d.u and s.i = d.x group by 1, 2, 3),
-unseen as (select b.u, list_filter(range((select count(*) from item)), lambda x: not list_contains(l, x)) f from (select u, list(i) l from spl where split = 'train' group by 1) b where u in (select u from neg0 where neg is null)),
-neg as (select u, i, j, coalesce(neg, f[1 + cast('0x' || substr(md5('{seed}|' || u || '|' || i || '|' || j || '|-1'), 1, 12) as bigint) % len(f)]) neg from neg0 left join unseen using (u))"""
+    at = lambda t: f"cast('0x' || substr(md5('{seed}|' || u || '|' || i || '|' || j || '|' || {t}), 1, 12) as bigint)"
+    return f"""{A.PRELUDE}, tr as materialized (select u, i, j from spl cross join (select unnest(generate_series(0, {per - 1})) j) where split = 'train'), size as materialized (select count(*) z from item),
+d as materialized (select u, i, j, t, {at("t")} % z x from tr cross join (select unnest(generate_series(0, {trials - 1})) t) cross join size),
+old as materialized (select u, i x, true old from spl where split = 'train'),
+neg0 as materialized (select u, i, cast(j as int) j, arg_min(x, t) filter (old is null) neg from d left join old using (u, x) group by 1, 2, 3),
+unseen as materialized (select u, list(x order by x) f from (select distinct u from neg0 where neg is null) cross join (select unnest(range(z)) x from size) anti join old using (u, x) group by 1),
+neg as materialized (select u, i, j, coalesce(neg, f[1 + {at("-1")} % len(f)]) neg from neg0 left join unseen using (u))"""
 
 
 def drawn(spark, sf_dir, per, trials, seed):
     train = A.split(spark, sf_dir).where("split = 'train'").select("u", "i")
-    who = block_lists(train.select("u").distinct(), train)
-    return sampling.trial_negatives(train.join(who, "u"), A.items(spark, sf_dir).agg(F.count("*").alias("n")), per, trials, seed)
+    return sampling.trial_negatives(train, train, A.items(spark, sf_dir).count(), per, trials, seed)
 
 
 @query(draws(4, 8, 21) + " select u, i, j, neg from neg")
