@@ -6,12 +6,16 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wardline.functions.policy import bucket_flags, dim_flags
-from wardline.operators import scoring
+from wardline.operators import sampling, scoring
+from wardline.operators.gate_training import Gate, gate_rows, train_gate
+from wardline.operators.metrics import per_user
 from wardline.operators.numbering import dense_ids
-from wardline.operators.ranking import rank_catalogue
+from wardline.operators.ranking import block_lists, rank_catalogue
 from wardline.plans import adapters as A
 from wardline.plans.evaluation import DIMS, SQL_PRED, predictions
 from wardline.plans.registry import query
+from wardline.plans.runner import best_epoch
+from wardline.sources.shared import settle
 
 #: The given weights of the networks, by rule.
 UNITS, K = 4, 20
@@ -200,6 +204,68 @@ def gate_training(spark, sf_dir):
     return spark.createDataFrame(found, "name string, weight double").withColumn("weight", F.round("weight", 6))
 
 
+def gate_inputs(spark, sf_dir):
+    """What adds the gate's inputs, the proxy and the unsafe flag to rows (u, i)."""
+    who, what = A.users(spark, sf_dir), A.items(spark, sf_dir).select("i", "bucket")
+
+    def add(rows):
+        p1 = A.p1_col()
+        rows = rows.join(who, "u").join(what, "i").withColumns({"base": A.base_col(), "aug": A.aug_col(), "p1": p1, "psg_pred": (p1 >= 0.5).cast("int"), "margin": 2 * p1 - 1})
+        rows = rows.withColumns(bucket_flags(F.col("is_minor"), F.col("bucket")))
+        x = F.array(*[v.cast("double") for v in scoring.bucket_features().values()])
+        return rows.select("u", "i", "round", "place", x.alias("x"), (F.col("base") + 0.5 * (F.col("aug") - F.col("base"))).alias("proxy"), F.col("unsafe_any").alias("unsafe"))
+
+    return add
+
+
+def block_inputs(u: dict, x: dict) -> np.ndarray:
+    """users x items x the gate's inputs, of a block of the ranking."""
+    base, aug = A.base_score(u, x), A.aug_score(u, x)
+    p1 = (u["u"][:, None] * 7919 + x["i"][None, :] * 104729) % 10007 / 10007.0
+    minor = u["is_minor"].astype(float)[:, None]
+    r17, rplus, rx = minor * x["r17"], x["rplus"] + 0 * minor, x["rx"] + 0 * minor
+    return np.stack([base, aug, aug - base, (p1 >= 0.5).astype(float), p1, 2 * p1 - 1, r17, rplus, rx, np.maximum(np.maximum(r17, rplus), rx), minor + 0 * base], -1)
+
+
+def held_out(spark, sf_dir, users, gate: Gate, k: int = 10):
+    """A monitor: NDCG and unsafe share at k of the users' validation items under given parameters, over the whole catalogue."""
+    rows = A.split(spark, sf_dir)
+    liked = settle(rows.where("split = 'valid'").join(users.select("u"), "u", "left_semi").select("u", "i"))
+    who = settle(block_lists(A.users(spark, sf_dir).join(liked.select("u"), "u", "left_semi"), rows.where("split = 'train'")))
+    flag = lambda b: (F.col("bucket") == b).cast("double")
+    what = settle(A.items(spark, sf_dir).select("i", flag("R17").alias("r17"), flag("RPLUS").alias("rplus"), flag("RX").alias("rx")))
+
+    def measured(theta: np.ndarray) -> dict[str, float]:
+        top = rank_catalogue(who, what, lambda u, x: np.round(gate.scores(theta, block_inputs(u, x)), 9), k, ["is_minor"])
+        top = top.join(who.select("u", "is_minor"), "u").join(what, "i")
+        unsafe = F.greatest(F.when(F.col("is_minor"), F.col("r17")).otherwise(0.0), "rplus", "rx")
+        per = per_user(top.withColumn("unsafe", unsafe), liked, ["unsafe"], (k,))
+        found = per.agg(F.avg("ndcg").alias("ndcg"), (F.sum("unsafe") / F.sum("slots")).alias("exposure")).first()
+        return {"ndcg": found["ndcg"] or 0.0, "exposure": found["exposure"] or 0.0}
+
+    return measured
+
+
+#: Of the registered training: hidden units, epochs, rounds of draws, batches of an epoch.
+GATE_RUN = {"hidden": 16, "epochs": 10, "rounds": 2, "batches": 2}
+
+
+@query()
+def gate_pairwise_training(spark, sf_dir):
+    """The log of a gate trained on pairs of four fifths of the users, watched on the rest: a row for each epoch, the best one marked."""
+    rows = A.split(spark, sf_dir)
+    parts = settle(sampling.hash_split(rows.where("split = 'valid'").select("u", "i"), "u", 0.8, 31))
+    gate = Gate(len(BUCKET_NAMES), GATE_RUN["hidden"])
+    learned = gate_rows(parts.where("part = 'calib'").select("u", "i"), A.items(spark, sf_dir), rows.where("split = 'train'"), gate_inputs(spark, sf_dir), GATE_RUN["rounds"], 2026)
+    monitor = held_out(spark, sf_dir, parts.where("part = 'holdout'"), gate)
+    _, log = train_gate(learned, gate, GATE_RUN["epochs"], GATE_RUN["batches"], rate=0.01, safety_weight=0.5, monitor=monitor, exposure_weight=0.1)
+    names = ("loss", "loss_rank", "loss_safe", "ndcg", "exposure", "monitor")
+    log = spark.createDataFrame([(r["epoch"], *[r.get(n) for n in names]) for r in log], "epoch long, " + ", ".join(f"{n} double" for n in names))
+    best = best_epoch(log, "monitor").select(F.col("epoch").alias("best"))
+    log = log.join(F.broadcast(best), F.lit(True))
+    return log.select("epoch", *[F.round(n, 6).alias(n) for n in names], (F.col("epoch") == F.col("best")).alias("is_best"))
+
+
 @query()
 def learned_safety(spark, sf_dir):
     """The chance that a held-out pair is safe, by a model of the training pairs; safe says what the policy says."""
