@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.policy import bucket_flags, dim_flags
 from wardline.operators import sampling, scoring
+from wardline.operators.factor_training import Plan, train_factors
 from wardline.operators.gate_training import Gate, gate_rows, train_gate
 from wardline.operators.metrics import per_user
 from wardline.operators.numbering import dense_ids
@@ -266,6 +267,37 @@ def gate_pairwise_training(spark, sf_dir):
     return log.select("epoch", *[F.round(n, 6).alias(n) for n in names], (F.col("epoch") == F.col("best")).alias("is_best"))
 
 
+#: Of the registered factor training: dimensions, epochs, blocks of the grid, and what is watched.
+FACTOR_RUN = {"size": 8, "epochs": 4, "blocks": 3, "k": 10}
+
+
+def watched(spark, sf_dir, k: int):
+    """A monitor of factors: NDCG at k of all users' validation items over the whole catalogue."""
+    rows = A.split(spark, sf_dir)
+    liked = settle(rows.where("split = 'valid'").select("u", "i"))
+    who = settle(block_lists(liked.select("u"), rows.where("split = 'train'")).withColumn("is_minor", F.lit(False)))
+
+    def measured(users, items) -> float:
+        top = rank_catalogue(who.join(users, "u"), items, scoring.dot_scorer(), k, ["p"])
+        return per_user(top.withColumn("is_minor", F.lit(False)), liked, [], (k,)).agg(F.sum("ndcg")).first()[0] / max(1, liked.count())
+
+    return measured
+
+
+@query()
+def factor_training(spark, sf_dir):
+    """NDCG of each epoch of factors trained by either loss on the training pairs, the best epoch marked."""
+    pairs = A.split(spark, sf_dir).where("split = 'train'").select("u", "i")
+    monitor, found = watched(spark, sf_dir, FACTOR_RUN["k"]), []
+    for loss, negatives in (("bpr", 1), ("bce", 4)):
+        plan = Plan(size=FACTOR_RUN["size"], loss=loss, negatives=negatives)
+        _, log = train_factors(pairs, plan, FACTOR_RUN["epochs"], FACTOR_RUN["blocks"], monitor)
+        log = spark.createDataFrame([(r["epoch"], r["ndcg"]) for r in log], "epoch long, ndcg double")
+        best = best_epoch(log, "ndcg").select(F.col("epoch").alias("best"))
+        found.append(log.join(F.broadcast(best), F.lit(True)).select(F.lit(loss).alias("loss"), "epoch", F.round("ndcg", 6).alias("ndcg"), (F.col("epoch") == F.col("best")).alias("is_best")))
+    return found[0].unionByName(found[1])
+
+
 @query()
 def learned_safety(spark, sf_dir):
     """The chance that a held-out pair is safe, by a model of the training pairs; safe says what the policy says."""
