@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -127,3 +128,13 @@ def test_many_matches_and_empty_table(spark):
     text = ("AKIA" + "B" * 12 + " ") * 3000
     assert spans(spark, [text])[0] == brute(text)
     assert spans(spark, []) == {}
+
+
+def test_a_run_of_a_million_characters(spark):
+    """One inline image: its run is judged in steps that follow its length."""
+    r = random.Random(8)
+    run = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    rows = [(1, f"data:image/png;base64, {run} end"), (2, "a" * 1_000_000), (3, None)]
+    began = time.time()
+    got = {x["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in x["spans"]] for x in secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [(23, 1_000_023, "random")] and got[3] == [] and time.time() - began < 120

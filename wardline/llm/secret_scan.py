@@ -22,8 +22,10 @@ more at every counted length (README has the figures).
 
 Defined results: null text is empty; every row of repeated rows is scanned;
 equal runs (ties) are judged alike; an empty table gives an empty result; other
-columns of docs are not read. Offsets of m matches take about m^1.5 steps and
-all else is linear, so a text that is nothing but matches stays feasible.
+columns of docs are not read. The battery takes steps in proportion to a run's
+length (a run of a million characters takes seconds), offsets of m matches
+about m^1.5 steps, and all else is linear, so a text that is nothing but matches
+or one unbroken run stays feasible.
 """
 
 from __future__ import annotations
@@ -101,8 +103,35 @@ def tested(run: Column) -> Column:
         here = F.regexp_like(bare, F.lit(pattern))
         traits = [F.when(here, float("nan") if v is None else float(v)).otherwise(t) for v, t in zip(values, traits, strict=True)]
     codes = F.transform(F.split(bare, ""), lambda c: F.instr(F.lit(ALPHABET), c).cast("double"))
-    one = F.transform(F.array(F.struct(codes.alias("x"), *[t.alias(n) for t, n in zip(traits, "alct", strict=True)])), lambda s: battery(s["x"], s["a"], s["l"], s["c"], s["t"]))
-    return F.get(one, F.lit(0))
+    bound = F.array(F.struct(codes.alias("x"), *[t.alias(n) for n, t in zip("alct", traits, strict=True)]))
+    # a value that lambdas over the run read is bound by a struct of its own first, else each character would work it out again
+    bound = F.transform(bound, lambda s: with_fields(s, symbols(s)))
+    bound = F.transform(bound, lambda s: with_fields(s, above_mean(s)))
+    return F.get(F.transform(bound, battery), F.lit(0))
+
+
+def with_fields(s: Column, values: dict[str, Column]) -> Column:
+    for name, value in values.items():
+        s = s.withField(name, value)
+    return s
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def symbols(s: Column) -> dict[str, Column]:
+    """n, mean and the sum of the squared counts of symbols of a run s."""
+    x = s["x"]
+    n = F.size(x).cast("double")
+    counts = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda w: w == v)).cast("double"))
+    return {"n": n, "mean": total(x) / n, "square": total(F.transform(counts, lambda o: o * o))}
+
+
+def above_mean(s: Column) -> dict[str, Column]:
+    """Which symbols lie above the mean, and how many."""
+    high = F.transform(s["x"], lambda v: F.when(v > s["mean"], 1.0).otherwise(0.0))
+    return {"high": high, "n1": total(high)}
 
 
 def kind_of(code: Column) -> Column:
@@ -115,36 +144,31 @@ def vowel(code: Column) -> Column:
     return F.when(code.between(11, 62), F.pmod(code.cast("int") - 11, F.lit(26)).isin(*VOWELS))
 
 
-def battery(x: Column, a: Column, least: Column, c: Column, t: Column) -> Column:
-    n = F.size(x).cast("double")
-    add = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda s, v: s + f(v))
-    square = add(F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda w: w == v)).cast("double")), lambda o: o * o)
+def battery(s: Column) -> Column:
+    x, a, c, t, n, mean, square = (s[k] for k in ("x", "a", "c", "t", "n", "mean", "square"))
+    sides = lambda of, f: F.zip_with(F.slice(of, F.lit(1), F.size(of) - 1), F.slice(of, F.lit(2), F.size(of)), f)
     chi = a * square / n - n
     df = a - 1
     z_chi = (F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    mean = add(x, lambda v: v) / n
-    high = F.transform(x, lambda v: F.when(v > mean, 1.0).otherwise(0.0))
-    n1 = add(high, lambda v: v)
+    n1 = s["n1"]
     n0 = n - n1
-    nexts = F.slice(high, F.lit(2), F.size(x))
-    changes = add(F.zip_with(F.slice(high, F.lit(1), F.size(x) - 1), nexts, lambda p, q: F.when(p != q, 1.0).otherwise(0.0)), lambda v: v)
+    changes = total(sides(s["high"], lambda p, q: F.when(p != q, 1.0).otherwise(0.0)))
     runs_mean = 2 * n1 * n0 / n + 1
     runs_var = F.greatest((runs_mean - 1) * (runs_mean - 2) / (n - 1), F.lit(1e-9))
     z_runs = F.abs(changes + 1 - runs_mean) / F.sqrt(runs_var)
-    var = add(x, lambda v: (v - mean) * (v - mean))
-    lag = add(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x)), lambda p, q: (p - mean) * (q - mean)), lambda v: v)
+    var = total(F.transform(x, lambda v: (v - mean) * (v - mean)))
+    lag = total(sides(x, lambda p, q: (p - mean) * (q - mean)))
     z_lag = F.abs(lag / F.greatest(var, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
     pairs, expected = (square - n) / 2, n * (n - 1) / 2 * c
     z_pairs = (expected - pairs - 0.5) / F.sqrt(expected)
-    sides = lambda f: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x)), f)
-    kinds = add(sides(lambda p, q: F.when(kind_of(p) != kind_of(q), 1.0).otherwise(0.0)), lambda v: v)
+    kinds = total(sides(x, lambda p, q: F.when(kind_of(p) != kind_of(q), 1.0).otherwise(0.0)))
     z_kinds = F.when(~F.isnan(t), (kinds - 0.5 - (n - 1) * t) / F.sqrt((n - 1) * t * (1 - t)))
-    mixed = F.filter(sides(lambda p, q: (vowel(p) != vowel(q)).cast("double")), lambda v: v.isNotNull())
+    mixed = F.filter(sides(x, lambda p, q: (vowel(p) != vowel(q)).cast("double")), lambda v: v.isNotNull())
     m = F.size(mixed).cast("double")
-    z_vowels = F.when((a > 16) & (m > 0), (m * ALTERNATE - add(mixed, lambda v: v) - 0.5) / F.sqrt(m * ALTERNATE * (1 - ALTERNATE)))
+    z_vowels = F.when((a > 16) & (m > 0), (m * ALTERNATE - total(mixed) - 0.5) / F.sqrt(m * ALTERNATE * (1 - ALTERNATE)))
     parts = F.array_compact(F.array(z_pairs, z_kinds, z_vowels))
-    p = normal_cdf(-add(parts, lambda v: v) / F.sqrt(F.size(parts).cast("double")))
-    return F.struct((n >= least).alias("long"), p.alias("p"), ((z_chi < LIMIT_Z) & (z_runs < LIMIT_Z) & (z_lag < LIMIT_Z)).alias("random"))
+    p = normal_cdf(-total(parts) / F.sqrt(F.size(parts).cast("double")))
+    return F.struct((n >= s["l"]).alias("long"), p.alias("p"), ((z_chi < LIMIT_Z) & (z_runs < LIMIT_Z) & (z_lag < LIMIT_Z)).alias("random"))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
