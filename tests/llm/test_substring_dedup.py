@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import frame, noisy
 from wardline.llm.substring_dedup import substring_dedup
@@ -76,3 +77,11 @@ def test_what_was_met_lately_is_a_repeat_only_after_an_earlier_one():
 def test_columns_of_any_name(spark):
     docs = frame(spark, ["a b c"]).withColumnsRenamed({"lang": "marks", "source": "runs", "region": "w1"})
     assert [(r.doc_id, r.kept_text) for r in substring_dedup(docs).collect()] == [(0, "a b c")]
+
+
+def test_many_rows_of_one_document(spark):
+    """100,000 rows of one doc_id and text, beside an earlier document that holds the text, and a later one."""
+    text = " ".join(f"w{i % 150}x{i}" for i in range(200))
+    docs = spark.range(100_002).select(F.when(F.col("id") < 100_000, 2).when(F.col("id") == 100_000, 1).otherwise(3).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = substring_dedup(docs.repartition(8)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 200, 0, 1), (2, 200, 200, 100_000), (3, 200, 200, 1)]

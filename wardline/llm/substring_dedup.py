@@ -18,7 +18,8 @@ anchor occurrence is its *region*, the anchor extended both ways.
 3. Repeated windows are merged per document into maximal ranges and cut out.
 
 Defined results: null text has no words; rows that repeat doc_id and text
-count once and get the same result; equal doc_ids with other texts are ordered
+count once and get the same result (a task anchors and extends one of them, so
+n such rows take steps in proportion to n); equal doc_ids with other texts are ordered
 by a text hash (ties); a null doc_id comes first; fewer than ``window`` words:
 nothing removed; texts may have any length and docs any other columns; an empty
 table gives an empty result.
@@ -85,8 +86,26 @@ def block_anchors(buf: np.ndarray, off: np.ndarray, window: int, seed: int):
     return row, begin - base, count, grams[anchor], region
 
 
+class Lone:
+    """Lets a (k, h) through once, as far as a table of fixed size remembers: what a task does for one row holds for all that repeat it."""
+
+    def __init__(self, size: int = 1 << 16) -> None:
+        self.size, self.full, self.rows = size, np.zeros(size, bool), np.zeros((2, size), np.int64)
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        k, h = batch["k"].to_numpy(), batch["h"].to_numpy()
+        order = np.lexsort((h, k))
+        new = np.ones(len(k), bool)
+        new[order[1:]] = (k[order[1:]] != k[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+        at = (mix(k.view(np.uint64) ^ h.view(np.uint64)) % np.uint64(self.size)).astype(np.int64)
+        new &= ~(self.full[at] & (self.rows[0, at] == k) & (self.rows[1, at] == h))
+        self.full[at[new]], self.rows[:, at[new]] = True, np.stack([k[new], h[new]])
+        return batch if new.all() else batch.filter(pa.array(new))
+
+
 def anchors(batches, window: int, seed: int):
-    for batch in batches:
+    lone = Lone()
+    for batch in map(lone.of, batches):
         buf, off = raw(batch["text"])
         k, h = batch["k"].to_numpy(), batch["h"].to_numpy()
         for lo, hi in blocks(off):
@@ -175,8 +194,8 @@ class Lately:
 
 def extend(batches, window: int):
     """Window hashes of the marked regions; whole repeats, and repeats inside the block or of what was met lately, leave as plain ranges (w1 = w2 = null)."""
-    lately = Lately()
-    for batch in batches:
+    lately, lone = Lately(), Lone()
+    for batch in map(lone.of, batches):
         buf, off = raw(batch["text"])
         k, h = batch["k"].to_numpy(), batch["h"].to_numpy()
         lists = batch["marks"]
@@ -266,12 +285,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFra
     n = partitions(docs.sparkSession)
     by = ["anchor", "region", "k", "h", "s"]
     marks = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(sift, ddl(MARKS))
-    marks = marks.groupBy("k", "h").agg(F.collect_list(F.struct("s", "n", "whole")).alias("marks"))
+    marks = marks.groupBy("k", "h").agg(F.collect_set(F.struct("s", "n", "whole")).alias("marks"))
     # doc_id comes along so that both joins read one and the same exchange of the texts
     grown = texts.join(marks, ["k", "h"]).select("doc_id", "k", "h", "text", "marks").mapInArrow(lambda it: extend(it, window), ddl(WINDOWS))
     where = F.coalesce(F.col("w1"), F.xxhash64("k", "h", "s"))
     runs = grown.repartition(n, where).sortWithinPartitions("w1", "w2", "k", "h", "s").mapInArrow(later, ddl(RUNS))
-    runs = runs.groupBy("k", "h").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    runs = runs.groupBy("k", "h").agg(F.collect_set(F.struct("s", "n")).alias("runs"))
     none = F.array().cast("array<struct<s:int,n:int>>")
     final = texts.join(runs, ["k", "h"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
     return final.mapInArrow(lambda it: cut(it, window), ddl(KEPT))
