@@ -46,8 +46,8 @@ from wardline.llm.packing import Tokens, byte_symbols
 MOST_SENT = 1 << 20
 #: A task adds up its pairs whenever it holds so many.
 MOST_HELD = 1 << 22
-#: Units up to this length are remembered, this many of them.
-UNIT_CHARS, UNITS = 64, 1 << 18
+#: Units up to this length are remembered, about this many of them in each of two generations.
+UNIT_CHARS, UNITS = 64, 1 << 17
 #: Characters of one text that are aligned at a time.
 STRETCH = 1 << 19
 #: A unit begins at a space behind a character that is no white space.
@@ -85,28 +85,48 @@ class Encoders:
         #: Ids in decimal with what may follow: of A a comma or a bar, of B a comma or a semicolon.
         self.shown = [f"{i}{s}" for n, ends in zip(sizes, (",|", ",;"), strict=True) for s in ends for i in range(n)]
         self.kept: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        self.fast = Tokens(byte_file).fast  # the same merges, faster
 
     def units(self, text: str) -> list[str]:
         """The units of a text led by a space."""
         return CUT.split(text) if self.by_unit else [text]
 
-    def encode(self, unit: str) -> tuple[bytes, bytes] | None:
-        """A's and B's ids of a unit as 32-bit integers; None where one side loses a byte."""
-        try:
-            return self.kept[unit]
-        except KeyError:
-            pass
-        a = self.a.encode(unit, add_special_tokens=False).ids
-        # the model itself leads with a space, so the unit's own is left out; of a lone space nothing would be left
-        b = self.b.encode(unit[1:]) if len(unit) > 1 else [self.lone_space]
-        raw = unit.encode()
-        same = raw == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
-        out = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else None
-        if len(unit) <= UNIT_CHARS:
-            if len(self.kept) >= UNITS:
-                self.kept.clear()
-            self.kept[unit] = out
-        return out
+    def learn(self, units: set[str]) -> None:
+        """Keep A's and B's ids of the units, as 32-bit integers; None where one side loses a byte."""
+        if len(self.kept) > UNITS:  # two generations: what was met lately stays
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        new = {u for u in units if u not in kept}
+        for u in [u for u in new if u in older]:
+            kept[u] = older[u]
+            new.remove(u)
+        # a unit that ends in no white space may stand before any other: such ones are encoded end to end
+        plain = sorted(u for u in new if self.by_unit and not u[-1].isspace())
+        self.learn_together(plain)
+        for u in new.difference(plain):
+            self.learn_together([u])
+
+    def learn_together(self, units: list[str]) -> None:
+        if not units:
+            return
+        text = "".join(units)
+        fast = self.fast if len(text) < Tokens.LONGEST else None
+        a = fast.encode_ordinary(text) if fast else self.a.encode(text, add_special_tokens=False).ids
+        # the model itself leads with a space, so the text's own is left out; of a lone space nothing would be left
+        b = self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.lone_space]
+        if text.encode() == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]):
+            ends = np.cumsum([len(u.encode()) for u in units])
+            a, b = np.array(a, "<i4"), np.array(b, "<i4")
+            at_a, at_b = (np.searchsorted(np.cumsum(length[x]), ends, "right").tolist() for length, x in ((self.a_length, a), (self.b_length, b)))
+            for u, a0, a1, b0, b1 in zip(units, [0, *at_a], at_a, [0, *at_b], at_b, strict=False):
+                self.kept[u] = a[a0:a1].tobytes(), b[b0:b1].tobytes()
+        elif len(units) == 1:
+            self.kept[text] = None
+        else:
+            half = len(units) // 2
+            self.learn_together(units[:half])
+            self.learn_together(units[half:])
 
     def stretches(self, text: str, size: int = STRETCH):
         """The text, led by a space, cut between units into stretches of about size characters."""
@@ -117,15 +137,35 @@ class Encoders:
             yield text[lo:hi]
             lo = hi
 
-    def ids(self, text: str, size: int = STRETCH) -> list[tuple[np.ndarray, np.ndarray]] | None:
-        """A's and B's ids of each stretch; None where the text cannot be given back."""
-        out = []
-        for stretch in self.stretches(text, size) if text else ():
-            got = [self.encode(u) for u in self.units(stretch)]
-            if None in got:
-                return None
-            out.append(tuple(np.frombuffer(b"".join(x), "<i4").astype(np.uint16 if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else np.int32) for x in zip(*got, strict=True)))
-        return out or None
+    def ids(self, texts: list[str], size: int = STRETCH) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Of each text A's and B's ids of its stretches; none where the text is empty or cannot be given back."""
+        small = max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16
+        out: list[list] = [[] for _ in texts]
+        lost, waiting, held = set(), [], 0
+
+        def flush() -> None:
+            every = set().union(*(units for _, units in waiting))
+            self.learn(every)
+            for i, units in waiting:
+                got = list(map(self.kept.__getitem__, units))
+                if None in got:
+                    lost.add(i)
+                else:
+                    out[i].append(tuple(np.frombuffer(b"".join(x), "<i4").astype(np.uint16 if small else np.int32) for x in zip(*got, strict=True)))
+            for u in [u for u in every if len(u) > UNIT_CHARS]:
+                del self.kept[u]
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for stretch in self.stretches(text, size) if text else ():
+                if i not in lost:
+                    waiting.append((i, self.units(stretch)))
+                    held += len(stretch)
+                    if held >= size:
+                        flush()
+                        held = 0
+        flush()
+        return [[] if i in lost else own for i, own in enumerate(out)]
 
 
 # ---------------------------------------------------------------- bitsets
@@ -199,13 +239,8 @@ class Aligned:
 def passes(batches, tokens: Encoders):
     """Per pass: the slice, its texts' rows and ids. A text longer than a stretch comes in several passes, one after another and alone in each."""
     for batch in pieces(batches, limit=STRETCH):
-        rows, texts = [], []
-        for i, text in enumerate(text_column(batch["text"])):
-            own = tokens.ids(text.as_py())
-            if own:
-                rows += [i] * len(own)
-                texts += own
-        yield batch, rows, texts
+        found = tokens.ids(text_column(batch["text"]).to_pylist())
+        yield batch, [i for i, own in enumerate(found) for _ in own], [t for own in found for t in own]
 
 
 def grouped(rows: list[int], texts: list, most: int = STRETCH):
