@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +17,69 @@ def thresholds(spark, n: int = 100) -> DataFrame:
     return rows.union(spark.range(1).select(F.lit(n).cast("long").alias("g"), F.lit(1.0000000000000002).alias("gamma")))
 
 
-def risk_curve(ranked: DataFrame, grid: DataFrame) -> DataFrame:
+def list_curves(offsets: np.ndarray, level: np.ndarray, unsafe: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
+    """lists x n thresholds: the unsafe share of the first slots accepted items.
+
+    Item j of a list (in its order) is accepted at the thresholds below its
+    level, but for those at which slots earlier items already are: these lie
+    below the slots-th largest level so far. So each item adds to one stretch of
+    thresholds, kept as differences; lists advance together, an item at a time.
+    """
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    longest = np.append(size[order], 0)
+    steps = np.zeros((len(size), n + 1))
+    largest = np.zeros((len(size), slots), np.int64)
+    for j in range(int(longest[0])):
+        rows = order[: np.searchsorted(-longest, -j)]  # lists of more than j items
+        at = offsets[rows] + j
+        least = largest[rows].argmin(1)
+        first, last = largest[rows, least], level[at]
+        inside = last > first
+        rows, least, first, last, flag = rows[inside], least[inside], first[inside], last[inside], unsafe[at[inside]]
+        steps[rows, first] += flag
+        steps[rows, last] -= flag
+        largest[rows, least] = last
+    return np.cumsum(steps, 1)[:, :n] / slots
+
+
+def risk_curve(ranked: DataFrame, grid: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """g, gamma, raw, envelope, adjusted over users of ranked (u, rank, safety, unsafe).
 
     A user's risk at gamma is the unsafe share of the first SLOTS items of
     safety at least gamma; the envelope takes the largest risk at gamma or
-    above; adjusted is (n * envelope + 1) / (n + 1).
+    above; adjusted is (n * envelope + 1) / (n + 1). With history (u, i, score and
+    unsafe of past items), these are merged into the user's list (ranked then
+    also holds i and score) by score, ties to the smaller i, and accepted at any
+    gamma. Users of the history alone are left out.
     """
-    # a user's bounded list stays one row; its whole curve is computed there
-    lists = ranked.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("rank", "safety", "unsafe"))).alias("x"))
-    steps = F.broadcast(grid.agg(F.array_sort(F.collect_list(F.struct("g", "gamma"))).alias("grid")))
-    accepted = lambda gamma: F.slice(F.filter("x", lambda r: r["safety"] >= gamma), 1, SLOTS)
-    risk = F.transform("grid", lambda p: F.aggregate(accepted(p["gamma"]), F.lit(0.0), lambda s, r: s + r["unsafe"]) / SLOTS)
-    curves = lists.join(steps, F.lit(True)).select("grid", risk.alias("risk"))
-    tops = F.transform("risk", lambda r, i: F.array_max(F.slice("risk", i + 1, F.size("risk"))))
-    cells = curves.select(F.explode(F.arrays_zip(F.col("grid"), F.col("risk"), tops.alias("top"))).alias("c"))
-    out = cells.groupBy(F.col("c.grid.g").alias("g"), F.col("c.grid.gamma").alias("gamma")).agg(F.avg("c.risk").alias("raw"), F.avg("c.top").alias("envelope"), F.count("*").alias("n"))
+    spark = ranked.sparkSession
+    steps = sorted((r["gamma"], r["g"]) for r in grid.collect())  # the thresholds, not the data
+    gammas = np.array([x for x, _ in steps])
+    if history is None:
+        rows = ranked.select("u", F.col("rank").cast("double").alias("a"), F.lit(0).cast("long").alias("b"), F.col("safety").cast("double").alias("safety"), F.col("unsafe").cast("double").alias("unsafe"))
+    else:
+        always = history.select("u", "i", "score", F.lit(None).cast("double").alias("safety"), "unsafe").join(ranked.select("u").distinct(), "u", "left_semi")
+        both = ranked.select("u", "i", "score", F.col("safety").cast("double").alias("safety"), "unsafe").join(history.select("u", "i"), ["u", "i"], "left_anti").unionByName(always)
+        rows = both.select("u", (-F.col("score")).cast("double").alias("a"), F.col("i").cast("long").alias("b"), "safety", F.col("unsafe").cast("double").alias("unsafe"))
+    lists = rows.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("a", "b", "safety", "unsafe"))).alias("x"))
+
+    def sums(batches):
+        total, n = np.zeros((2, len(gammas))), 0
+        for batch in batches:
+            off = batch["x"].offsets.to_numpy()
+            flat = batch["x"].flatten()
+            safety = flat.field("safety").to_numpy(zero_copy_only=False)
+            level = np.where(np.isnan(safety), len(gammas), np.searchsorted(gammas, safety, "right"))
+            risk = list_curves(off - off[0], level, flat.field("unsafe").to_numpy(zero_copy_only=False), len(gammas))
+            total += np.stack([risk.sum(0), np.maximum.accumulate(risk[:, ::-1], 1)[:, ::-1].sum(0)])
+            n += len(risk)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(gammas))), pa.array(total[0]), pa.array(total[1]), pa.array(np.full(len(gammas), n))], names=["at", "r", "e", "m"])
+
+    parts = lists.select("x").mapInArrow(sums, "at long, r double, e double, m long").groupBy("at").agg(F.sum("r").alias("r"), F.sum("e").alias("e"), F.sum("m").alias("n"))
+    names = F.broadcast(spark.createDataFrame([(k, g, x) for k, (x, g) in enumerate(steps)], "at long, g long, gamma double"))
+    out = parts.join(names, "at").select("g", "gamma", (F.col("r") / F.col("n")).alias("raw"), (F.col("e") / F.col("n")).alias("envelope"), "n")
     return out.withColumn("adjusted", (F.col("n") * F.col("envelope") + 1) / (F.col("n") + 1))
 
 

@@ -158,13 +158,20 @@ def train_gate(rows: DataFrame, names: list[str], steps: int, rate: float) -> tu
     return weights, losses
 
 
-def learned_safety(rows: DataFrame, features: list[str], label: str):
-    """A fitted logistic model of a pair being safe, from observed training pairs; transform() adds probability."""
+def learned_safety(rows: DataFrame, label: str, buckets: int = 1 << 18):
+    """A fitted logistic model of a pair being safe from its ids alone: user, item, whether the user is a minor, and item by minor.
+
+    Each id is one hashed indicator, so the model's size is bounded by buckets,
+    whatever the number of users and items. rows: u, i, is_minor, label;
+    transform() needs the first three and adds probability.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import FeatureHasher, SQLTransformer
 
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.001, maxIter=50)]).fit(rows)
+    ids = SQLTransformer(statement="select *, cast(u as string) _u, cast(i as string) _i, cast(is_minor as string) _m, concat_ws(':', i, is_minor) _im from __THIS__")
+    hashed = FeatureHasher(inputCols=["_u", "_i", "_m", "_im"], outputCol="_x", numFeatures=buckets)
+    return Pipeline(stages=[ids, hashed, LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.001, maxIter=50)]).fit(rows)
 
 
 def propagate(edges: DataFrame, nodes: DataFrame, hops: int = 1, digits: int | None = None) -> DataFrame:
@@ -184,6 +191,24 @@ def propagate(edges: DataFrame, nodes: DataFrame, hops: int = 1, digits: int | N
     return out if digits is None else out.withColumn("x", F.round("x", digits))
 
 
+def propagate_vectors(edges: DataFrame, nodes: DataFrame, hops: int = 1) -> DataFrame:
+    """node, x: propagate() for nodes (node, x: array) with whole vectors: one row per edge and hop, whatever the number of dimensions. Sums of vectors are partial before their shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    degree = edges.groupBy(F.col("a").alias("node")).agg((1 / F.sqrt(F.count("*").cast("double"))).alias("s"))
+    scaled = lambda rows: rows.join(degree, "node").withColumn("x", F.transform("x", lambda v: v * F.col("s"))).drop("s")
+    summed = lambda rows, key: rows.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x"))
+    layer = nodes.select("node", F.transform("x", lambda v: v.cast("double")).alias("x"))
+    layers = [layer]
+    for _ in range(hops):
+        moved = edges.join(scaled(layer).withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "x")
+        layer = scaled(summed(moved, "node"))
+        layers.append(layer)
+    total = summed(reduce(DataFrame.unionByName, layers), "node")
+    return total.withColumn("x", F.transform("x", lambda v: v / (hops + 1)))
+
+
 def fused(base: Column, other: Column, gate: Column) -> Column:
     return base + gate * (other - base)
 

@@ -231,6 +231,13 @@ def safety_ranked(spark, sf_dir):
     return rows.select("u", "i", "score", "rank", "is_minor", A.p1_col().alias("safety"), unsafe.alias("unsafe"))
 
 
+def safe_past(spark, sf_dir):
+    """u, i, score, unsafe (0) of each user's safe training items."""
+    past = A.split(spark, sf_dir).where("split = 'train'").select("u", "i").join(A.users(spark, sf_dir), "u").join(A.items(spark, sf_dir), "i")
+    return past.where(dim_flags(F.col("is_minor"), F.col("is_adult"))["unsafe_any"] == 0).select("u", "i", A.base_col().alias("score"), F.lit(0).alias("unsafe"))
+
+
+SAFE_PAST = f"select spl.u, spl.i, {A.sql_base('spl.u', 'spl.i')} score from spl join usr using (u) join item using (i) where split = 'train' and {A.FLAGS} = 0"
 SQL_CURVE = f"""{A.PRELUDE}, {A.sql_ranked(A.sql_base(), 60)},
 s as materialized (select r.u, r.rank, {A.sql_p1("r.u", "r.i")} safety, {A.FLAGS.replace("is_minor", "r.is_minor")} unsafe from ranked r join item using (i)),
 grid as (select g, g / 99.0::double gamma from (select unnest(generate_series(0, 99)) g) union all select 100, 1.0000000000000002::double),
@@ -247,6 +254,22 @@ def crc_calibration(spark, sf_dir):
     return curve.select("g", *[F.round(c, 6).alias(c) for c in ("raw", "envelope", "adjusted")])
 
 
+@query(
+    f"""{A.PRELUDE}, {A.sql_ranked(A.sql_base(), 60)}, past as materialized ({SAFE_PAST}),
+m as (select u, i, score, {A.sql_p1("u", "i")} safety, {A.FLAGS.replace("is_minor", "r.is_minor")} unsafe from ranked r join item using (i) anti join past using (u, i) union all select past.u, past.i, past.score, 2.0::double, 0 from past where u in (select u from ranked)),
+grid as (select g, g / 99.0::double gamma from (select unnest(generate_series(0, 99)) g) union all select 100, 1.0000000000000002::double),
+a as (select u, g, unsafe, row_number() over (partition by u, g order by score desc, i) k from m join grid on safety >= gamma),
+risk as (select u, g, sum(unsafe) / 20 risk from a where k <= 20 group by 1, 2),
+f as (select t.u, grid.g, gamma, coalesce(risk, 0) risk from (select distinct u from ranked) t cross join grid left join risk on risk.u = t.u and risk.g = grid.g),
+e as (select *, max(risk) over (partition by u order by g desc rows unbounded preceding) top from f)
+select cast(g as bigint) g, round(avg(risk), 6) "raw", round(avg(top), 6) envelope, round((count(*) * avg(top) + 1) / (count(*) + 1), 6) adjusted from e group by 1"""
+)
+def crc_calibration_history(spark, sf_dir):
+    """The curve of lists that safe past items are merged into."""
+    curve = calibrate.risk_curve(safety_ranked(spark, sf_dir), calibrate.thresholds(spark), safe_past(spark, sf_dir))
+    return curve.select("g", *[F.round(c, 6).alias(c) for c in ("raw", "envelope", "adjusted")])
+
+
 FRACTIONS = [1.0, 0.75, 0.5, 0.25, 0.1, 0.0]
 
 
@@ -267,18 +290,13 @@ def crc_select_remove(spark, sf_dir):
     return calibrate.select_safe(safety_ranked(spark, sf_dir), 0.3)
 
 
-SAFE_PAST = f"select spl.u, spl.i, {A.sql_base('spl.u', 'spl.i')} score from spl join usr using (u) join item using (i) where split = 'train' and {A.FLAGS} = 0"
-
-
 @query(
     f"""{A.PRELUDE}, {A.sql_ranked(A.sql_base(), 60)},
 m as (select u, i, score from ranked where {A.sql_p1("u", "i")} >= 0.3 union {SAFE_PAST})
 select u, i, place from (select u, i, row_number() over (partition by u order by score desc, i) place from m) where place <= 20"""
 )
 def crc_select_history_union(spark, sf_dir):
-    past = A.split(spark, sf_dir).where("split = 'train'").select("u", "i").join(A.users(spark, sf_dir), "u").join(A.items(spark, sf_dir), "i")
-    past = past.where(dim_flags(F.col("is_minor"), F.col("is_adult"))["unsafe_any"] == 0).select("u", "i", A.base_col().alias("score"))
-    return calibrate.select_safe(safety_ranked(spark, sf_dir), 0.3, past)
+    return calibrate.select_safe(safety_ranked(spark, sf_dir), 0.3, safe_past(spark, sf_dir))
 
 
 JUDGE_FWD, JUDGE_REV = "(lo * 3 + hi * 5 + m) % 3", "(lo * 7 + hi * 2 + m) % 3"
@@ -302,7 +320,7 @@ def harm_vote_rerank(spark, sf_dir):
 @query(
     f"""{A.PRELUDE}, {A.sql_ranked(A.sql_base())}, {A.sql_ranked(A.sql_aug()).replace("ranked as", "other as")},
 x as (select u, sum({A.FLAGS}) / 20 v from ranked join item using (i) group by 1), y as (select u, sum({A.FLAGS}) / 20 v from other join item using (i) group by 1)
-select count(*) n, round(avg(y.v - x.v), 6) mean_diff, 0::bigint unpaired from x join y using (u)"""
+select count(y.v - x.v) n, round(avg(y.v - x.v), 6) mean_diff, count(*) filter (x.v is null or y.v is null) unpaired from x full join y using (u)"""
 )
 def paired_diff_mean(spark, sf_dir):
     def exposure(score):

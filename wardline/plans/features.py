@@ -178,7 +178,7 @@ def tolerance_p75(spark, sf_dir):
     return tol(spark, sf_dir)
 
 
-@query(sql_tolerance() + ", x as (select spl.u, spl.i, cast(is_adult as int) is_adult, item.* exclude (i, is_adult), tol.* exclude (u) from spl join tol using (u) join item using (i) where split <> 'train') select u, i, cast(" + " and ".join(f"{d} <= tol_{d}" for d in TOL) + " as int) within_tolerance from x")
+@query(sql_tolerance() + ", x as (select spl.u, spl.i, cast(is_adult as int) is_adult, item.* exclude (i, is_adult), tol.* exclude (u) from spl join tol using (u) join item using (i) where split <> 'train') select u, i, cast(" + " and ".join(f"{d} <= tol_{d}" for d in TOL) + " as int) within_tolerance from x order by u, i")
 def within_tolerance(spark, sf_dir):
     rows = A.split(spark, sf_dir).where("split <> 'train'").select("u", "i").join(A.items(spark, sf_dir), "i").join(tol(spark, sf_dir), "u")
     return rows.select("u", "i", policy.within_tolerance().alias("within_tolerance"))
@@ -190,7 +190,7 @@ def within_tolerance(spark, sf_dir):
     + ", ".join(f"case when {d} >= 4 then '{d}' end" for d in DIMS)
     + "], lambda z: z is not null)) hard, list_filter(["
     + ", ".join(f"case when {d} < 4 and {d} > tol_{d} then '{d}' end" for d in DIMS)
-    + "], lambda z: z is not null) soft from x) select u, i, array_to_string(list_sort(list_distinct(case when len(soft) >= case when is_minor then 2 else 3 end then list_concat(hard, soft) when len(hard) = 0 then soft[1:1] else hard end)), '|') triggers from y"
+    + "], lambda z: z is not null) soft from x) select u, i, array_to_string(list_sort(list_distinct(case when len(soft) >= case when is_minor then 2 else 3 end then list_concat(hard, soft) when len(hard) = 0 then soft[1:1] else hard end)), '|') triggers from y order by u, i"
 )
 def legacy_exceed_count(spark, sf_dir):
     rows = A.split(spark, sf_dir).where("split = 'test'").select("u", "i").join(A.items(spark, sf_dir), "i").join(tol(spark, sf_dir), "u")

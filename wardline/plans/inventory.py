@@ -219,7 +219,7 @@ def candidate_stats(spark, sf_dir):
     f"""{A.PRELUDE}, x as (select u, back, title, rating, row_number() over (partition by u order by back desc) p from (select spl.u, title, rating, row_number() over (partition by spl.u order by ts desc, spl.i desc) back from spl join item using (i) where split = 'train') where back <= 5),
 h as (select u, string_agg(p || '. ' || title || ' (' || rating || ')', chr(10) order by p) lines from x group by 1)
 select spl.u, spl.i, split, 'Audience: ' || case when is_minor then 'minor' else 'adult' end || chr(10) || 'History:' || chr(10) || coalesce(lines, 'none') || chr(10) || 'Candidate: ' || title || ' [' || array_to_string(genres, ', ') || ']' input,
-  case when rating >= 4 and {A.FLAGS} = 0 then 'Yes' else 'No' end output from spl join usr using (u) join item using (i) left join h using (u) where split <> 'train'"""
+  case when rating >= 4 and {A.FLAGS} = 0 then 'Yes' else 'No' end output from spl join usr using (u) join item using (i) left join h using (u) where split <> 'train' order by u, i, split"""
 )
 def sft_prompts(spark, sf_dir):
     """Judged pairs as prompt and answer: liked and safe is Yes."""

@@ -6,14 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wardline.functions.policy import bucket_flags, dim_flags
-from wardline.operators import sampling, scoring
+from wardline.operators import calibrate, sampling, scoring
 from wardline.operators.factor_training import Plan, train_factors
 from wardline.operators.gate_training import Gate, gate_rows, train_gate
 from wardline.operators.metrics import per_user
 from wardline.operators.numbering import dense_ids
 from wardline.operators.ranking import block_lists, rank_catalogue
 from wardline.plans import adapters as A
-from wardline.plans.evaluation import DIMS, SQL_PRED, predictions
+from wardline.plans.evaluation import SQL_PRED, predictions, safe_past, safety_ranked
 from wardline.plans.registry import query
 from wardline.plans.runner import best_epoch
 from wardline.sources.shared import settle
@@ -298,17 +298,42 @@ def factor_training(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
-@query()
-def learned_safety(spark, sf_dir):
-    """The chance that a held-out pair is safe, by a model of the training pairs; safe says what the policy says."""
+def safety_model(spark, sf_dir):
+    """The model of a pair being safe, learned from the training pairs by their ids, and the pairs outside training."""
     rows = A.split(spark, sf_dir).select("u", "i", "split").join(A.users(spark, sf_dir), "u").join(A.items(spark, sf_dir), "i")
-    rows = rows.withColumns({"safe": 1 - dim_flags(F.col("is_minor"), F.col("is_adult"))["unsafe_any"], "minor": F.col("is_minor").cast("double"), "adult": F.col("is_adult").cast("double")})
-    worst = F.greatest(*DIMS)
-    rows = rows.withColumns({"worst": worst, "minor_worst": F.col("minor") * worst, "minor_adult": F.col("minor") * F.col("adult")})
-    model = scoring.learned_safety(rows.where("split = 'train'"), ["minor", "worst", "minor_worst", "minor_adult"], "safe")
+    rows = settle(rows.select("u", "i", "split", "is_minor", (1 - dim_flags(F.col("is_minor"), F.col("is_adult"))["unsafe_any"]).alias("safe")))
+    return scoring.learned_safety(rows.where("split = 'train'"), "safe"), rows.where("split <> 'train'")
+
+
+def with_chance(model, rows):
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(rows.where("split <> 'train'")).select("u", "i", "safe", vector_to_array("probability")[1].alias("p_safe"))
+    return model.transform(rows).withColumn("p_safe", vector_to_array("probability")[1]).select(*rows.columns, "p_safe")
+
+
+@query()
+def learned_safety(spark, sf_dir):
+    """The chance that a held-out pair is safe, by a model of the training pairs' ids; safe says what the policy says."""
+    model, held = safety_model(spark, sf_dir)
+    return with_chance(model, held).select("u", "i", "safe", "p_safe")
+
+
+@query()
+def learned_safety_calibration(spark, sf_dir):
+    """Of the held-out pairs by tenths of their chance: how many, the mean chance, the share that is safe, the mean squared error."""
+    model, held = safety_model(spark, sf_dir)
+    rows = with_chance(model, held).withColumn("tenth", F.least(F.floor(F.col("p_safe") * 10), F.lit(9)).cast("long"))
+    return rows.groupBy("tenth").agg(F.count("*").alias("n"), F.round(F.avg("p_safe"), 6).alias("p_safe"), F.round(F.avg("safe"), 6).alias("safe"), F.round(F.avg((F.col("p_safe") - F.col("safe")) ** 2), 6).alias("error"))
+
+
+@query()
+def crc_learned(spark, sf_dir):
+    """The calibration curve of the base lists under learned chances, with and without the union of safe past items."""
+    model, _ = safety_model(spark, sf_dir)
+    ranked = settle(with_chance(model, safety_ranked(spark, sf_dir).drop("safety")).withColumnRenamed("p_safe", "safety"))
+    parts = [("remove", None), ("history_union", safe_past(spark, sf_dir))]
+    curves = [calibrate.risk_curve(ranked, calibrate.thresholds(spark), h).select(F.lit(name).alias("method"), "g", *[F.round(c, 6).alias(c) for c in ("raw", "envelope", "adjusted")]) for name, h in parts]
+    return curves[0].unionByName(curves[1])
 
 
 NODE = "((length(a) * 7 + dim * 3 + cast(substr(a, 2) as bigint)) % 11) / 11.0::double"
@@ -331,3 +356,24 @@ def lightgcn_propagate_3hop(spark, sf_dir):
     return scoring.propagate(edges, nodes.withColumn("x", x), 3, 6)
 
 
+
+
+DIMENSIONS = 16
+
+
+@query(
+    f"""{A.PRELUDE}, e as materialized (select 'u' || u a, 'i' || i b from inter union all select 'i' || i, 'u' || u from inter), d as materialized (select a, count(*) d from e group by 1),
+w as materialized (select e.a, e.b, 1 / sqrt(cast(x.d as double) * y.d) w from e join d x on x.a = e.a join d y on y.a = e.b),
+l0 as materialized (select a node, dim, {NODE} x from d cross join (select unnest(range({DIMENSIONS})) dim)),
+l1 as materialized (select a node, dim, sum(w * x) x from w join l0 on node = b group by 1, 2), l2 as materialized (select a node, dim, sum(w * x) x from w join l1 on node = b group by 1, 2),
+l3 as (select a node, dim, sum(w * x) x from w join l2 on node = b group by 1, 2)
+select node, cast(dim as int) dim, round(sum(x) / 4, 6) x from (from l0 union all from l1 union all from l2 union all from l3) group by 1, 2"""
+)
+def lightgcn_vectors_3hop(spark, sf_dir):
+    """Layer means of whole vectors after three hops."""
+    rows = A.interactions(spark, sf_dir).select(F.concat(F.lit("u"), "u").alias("a"), F.concat(F.lit("i"), "i").alias("b"))
+    edges = settle(rows.union(rows.select("b", "a")))
+    x = lambda d: ((F.length("node") * 7 + d * 3 + F.substring("node", 2, 20).cast("long")) % 11) / F.lit(11.0)
+    nodes = edges.select(F.col("a").alias("node")).distinct().withColumn("x", F.array(*[x(d) for d in range(DIMENSIONS)]))
+    out = scoring.propagate_vectors(edges, nodes, 3).select("node", F.posexplode("x").alias("dim", "x"))
+    return out.withColumn("x", F.round("x", 6))
