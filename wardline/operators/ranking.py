@@ -1,4 +1,4 @@
-"""Full-catalogue ranking in blocks: users stay where they are, the catalogue comes in bounded blocks."""
+"""Full-catalogue ranking in blocks: a catalogue of one bounded block comes to the users; of several blocks, each meets each block of users in a task."""
 
 from __future__ import annotations
 
@@ -20,33 +20,68 @@ RANKED = pa.schema([("u", pa.int64()), ("i", pa.int64()), ("score", pa.float64()
 Score = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
 
 
-def top_of_block(users: DataFrame, items: dict[str, np.ndarray], score: Score, k: int, more: list[str]) -> DataFrame:
-    """The k best items of the block for each user (score descending, then item), without the user's ``block`` list."""
-    order = np.argsort(items["i"], kind="stable")
-    items = {n: x[order] for n, x in items.items()}
+def best_of_batch(batch: pa.RecordBatch | pa.Table, items: dict[str, np.ndarray], score: Score, k: int, more: list[str]):
+    """The k best items (sorted by i) for each user of a batch (score descending, then item), without the user's ``block`` list."""
+    ids = items["i"]
+    step = max(1, CELLS // max(1, len(ids)))
+    u, lists = batch["u"].to_numpy(), batch["block"]
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy()
+    gone = lists.values.to_numpy(zero_copy_only=False)
+    own_columns = {c: as_numpy(batch[c]) for c in more}
+    for lo in range(0, len(u), step):
+        hi = min(lo + step, len(u))
+        s = np.array(score({"u": u[lo:hi]} | {c: x[lo:hi] for c, x in own_columns.items()}, items), np.float64)
+        own = gone[ends[lo] : ends[hi]]
+        row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        hit = ids[at] == own
+        s[row[hit], at[hit]] = -np.inf
+        r, c = best_cells(s, min(k, len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(u[lo:hi][r]), pa.array(ids[c]), pa.array(s[r, c])], schema=RANKED)
+
+
+def as_numpy(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def sorted_columns(rows: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
+    columns = {c: as_numpy(rows[c]) for c in names}
+    order = np.argsort(columns["i"], kind="stable")
+    return {n: x[order] for n, x in columns.items()}
+
+
+def top_of_block(users: DataFrame, items: pa.Table, score: Score, k: int, more: list[str]) -> DataFrame:
+    """The best items of one block, which is sent to every worker."""
+    columns = sorted_columns(items, items.column_names)
 
     def run(batches):
-        ids = items["i"]
-        step = max(1, CELLS // max(1, len(ids)))
         for batch in batches:
-            u, lists = batch["u"].to_numpy(), batch["block"]
-            ends = lists.offsets.to_numpy()
-            gone = lists.values.to_numpy(zero_copy_only=False)
-            own_columns = {c: batch[c].to_numpy(zero_copy_only=False) for c in more}
-            for lo in range(0, len(u), step):
-                hi = min(lo + step, len(u))
-                s = np.array(score({"u": u[lo:hi]} | {c: x[lo:hi] for c, x in own_columns.items()}, items), np.float64)
-                own = gone[ends[lo] : ends[hi]]
-                row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
-                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                hit = ids[at] == own
-                s[row[hit], at[hit]] = -np.inf
-                r, c = best_cells(s, min(k, len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(u[lo:hi][r]), pa.array(ids[c]), pa.array(s[r, c])], schema=RANKED)
+            yield from best_of_batch(batch, columns, score, k, more)
 
     return users.select("u", "block", *more).mapInArrow(run, "u long, i long, score double")
 
 
+def top_of_blocks(users: DataFrame, items: DataFrame, blocks: int, score: Score, k: int, more: list[str]) -> DataFrame:
+    """The best items of each of several blocks, dealt by a hash of i: blocks of users and of items meet in tasks of their own, and none pass the driver."""
+    names, dealt = items.columns, int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    left = users.select("u", "block", *more).withColumn("_ub", part("u", dealt)).withColumn("_ib", each(blocks))
+    right = items.withColumn("_ib", part("i", blocks)).withColumn("_ub", each(dealt))
+
+    def run(who: pa.Table, what: pa.Table) -> pa.Table:
+        found = []
+        if who.num_rows and what.num_rows:
+            columns = sorted_columns(what, names)
+            for batch in who.to_batches(max_chunksize=10_000):
+                found += best_of_batch(batch, columns, score, k, more)
+        return pa.Table.from_batches(found, RANKED)
+
+    keys = ["_ub", "_ib"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "u long, i long, score double")
+
+
 def best_cells(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the n best cells above -inf of each row; ties at the n-th go to the smaller columns."""
     if n == s.shape[1]:
@@ -64,25 +99,22 @@ def best_cells(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def rank_catalogue(users: DataFrame, items: DataFrame, score: Score, k: int, more: list[str] | None = None) -> DataFrame:
     """u, i, score, rank (1 best) of each user's k best items that are not in the array ``block``.
 
-    items: column i and whatever score reads; more: the user columns that it reads. Items of more than ITEM_BLOCK rows or ITEM_BYTES come block by
-    block, and the blocks' best are ranked together; blocked items never surface, short lists stay short.
+    items: column i and whatever score reads; more: the user columns that it reads. Items of more than ITEM_BLOCK rows or ITEM_BYTES are dealt to
+    blocks, whose best are ranked together; blocked items never surface, short lists stay short.
     """
     # a user row is small and its work is the whole catalogue, so users are dealt by number, not gathered by their bytes
     users = users.repartition(int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u")
-    names, items = items.columns, items.persist()  # measured, then fetched; all of it before this returns
+    items = items.persist()  # measured, then fetched where it is one block
     width = lambda c, t: F.size(c) * 16 if t.startswith("array") else F.lit(8)
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(reduce(Column.__add__, [F.coalesce(width(c, t), F.lit(0)) for c, t in items.dtypes])), F.lit(0)).alias("bytes")).first()
     blocks = max(-(-size["n"] // ITEM_BLOCK), -(-size["bytes"] // ITEM_BYTES), 1)
-    parts = items.repartitionByRange(blocks, "i") if blocks > 1 else items
-    best = None
-    for b in range(blocks):
-        rows = (parts.where(F.spark_partition_id() == b) if blocks > 1 else parts).toArrow()
-        columns = {c: rows[c].to_numpy() for c in names}
-        part = top_of_block(users, columns, score, k, more or []) if len(columns["i"]) else None
-        best = part if best is None else best.unionByName(part) if part is not None else best
-    items.unpersist()
-    if best is None:
+    if not size["n"]:
         best = users.sparkSession.createDataFrame([], "u long, i long, score double")
+    elif blocks == 1:
+        best = top_of_block(users, items.toArrow(), score, k, more or [])
+        items.unpersist()
+    else:
+        best = top_of_blocks(users, items, blocks, score, k, more or [])
     w = Window.partitionBy("u").orderBy(F.desc("score"), "i")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -76,17 +76,15 @@ NEAR = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("score", pa.float64())]
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """q, c, score, rank: the k chunks of largest inner product per query, ties to the smaller c.
 
-    queries: q, qv; chunks: c, cv, all of one length. Scores are rounded, so that equal vectors tie. Queries come in blocks of QUERY_BLOCK;
-    chunks stay where they are, and each task gives only its k best per query.
+    queries: q, qv; chunks: c, cv, all of one length. Scores are rounded, so that equal vectors tie. Up to QUERY_BLOCK queries come to
+    the chunks, which stay where they are; of more, each block meets each block of chunks in a task. A task gives only its k best per query.
     """
     blocks = -(-queries.count() // QUERY_BLOCK)
-    parts = queries.select("q", "qv").repartitionByRange(blocks, "q") if blocks > 1 else queries.select("q", "qv")
-    best = queries.sparkSession.createDataFrame([], "q long, c long, score double")
-    for b in range(blocks):
-        rows = (parts.where(F.spark_partition_id() == b) if blocks > 1 else parts).toArrow()
-        if rows.num_rows:
-            ids, vectors = rows["q"].to_numpy(), np.stack(rows["qv"].to_numpy()).astype(np.float64)
-            best = best.unionByName(best_of_pieces(chunks, ids, vectors, k, digits))
+    if blocks <= 1:
+        rows = queries.select("q", "qv").toArrow()
+        best = best_of_pieces(chunks, rows["q"].to_numpy(), stacked(rows["qv"]), k, digits) if rows.num_rows else queries.sparkSession.createDataFrame([], "q long, c long, score double")
+    else:
+        best = best_of_blocks(queries, chunks, blocks, k, digits)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -112,6 +110,36 @@ class Best:
         self.score, self.id = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
 
 
+def stacked(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """rows x dimensions of lists of one length."""
+    return np.stack(vectors.to_numpy() if isinstance(vectors, pa.ChunkedArray) else vectors.to_numpy(zero_copy_only=False)).astype(np.float64)
+
+
+def best_of_blocks(queries: DataFrame, chunks: DataFrame, blocks: int, k: int, digits: int) -> DataFrame:
+    """The k best of each block of chunks for each query; neither side passes the driver."""
+    dealt = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    left = queries.select("q", "qv", part("q", blocks).alias("_q")).withColumn("_c", each(dealt))
+    right = chunks.select("c", "cv", part("c", dealt).alias("_c")).where("c is not null and cv is not null").withColumn("_q", each(blocks))
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        best = Best(asked.num_rows, k)
+        if asked.num_rows and held.num_rows:
+            ids, vectors = asked["q"].to_numpy(), stacked(asked["qv"])
+            step = max(1, CELLS // asked.num_rows)
+            for lo in range(0, held.num_rows, step):
+                piece = held.slice(lo, step)
+                c = piece["c"].to_numpy()
+                order = np.argsort(c, kind="stable")
+                best.add(c[order], np.round(vectors @ stacked(piece["cv"])[order].T, digits))
+        ids = asked["q"].to_numpy() if asked.num_rows else np.empty(0, np.int64)
+        return pa.Table.from_arrays([pa.array(np.repeat(ids, best.id.shape[1])), pa.array(best.id.ravel()), pa.array(best.score.ravel())], schema=NEAR)
+
+    keys = ["_q", "_c"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "q long, c long, score double")
+
+
 def best_of_pieces(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> DataFrame:
     """The k best of each task for each query, kept over all its pieces and sent on once."""
 
@@ -121,7 +149,7 @@ def best_of_pieces(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: i
             for lo in range(0, batch.num_rows, step):
                 piece = batch.slice(lo, step)
                 c = piece["c"].to_numpy()
-                v = np.stack(piece["cv"].to_numpy(zero_copy_only=False)).astype(np.float64)
+                v = stacked(piece["cv"])
                 order = np.argsort(c, kind="stable")
                 best.add(c[order], np.round(vectors @ v[order].T, digits))
         n = max(1, CELLS // max(1, best.id.shape[1]))
