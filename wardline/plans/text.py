@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardline.operators import candidates, records, retrieval
+from wardline.operators import candidates, records, retrieval, vector_index
 from wardline.plans import adapters as A
-from wardline.plans.registry import query
+from wardline.plans.files import folder
+from wardline.plans.registry import ORACLE, query
 
 #: Tag lexicons over the synthetic corpus' words.
 LEXICON = {"minor": ["children", "the", "niñ"], "sex": ["idiot", "scum"], "violence": ["trash", "clown"], "adult_content": ["license", "copyright"], "drug": ["password", "token"]}
@@ -42,6 +43,30 @@ def dense_retrieve_topn(spark, sf_dir):
     return near(spark, sf_dir, 20).select("q", "c", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Cells of the registered index, and those that its fast search visits: the given embeddings form no clusters, so most cells are needed.
+CELLS, PROBES = 16, 12
+
+
+def indexed(spark, sf_dir, k: int, exact: bool):
+    v, at = A.read(spark, sf_dir, "embeddings"), folder(spark, sf_dir, "index")
+    vector_index.build_index(v.select(F.col("vec_id").alias("c"), F.col("embedding").alias("cv")), at, CELLS)
+    return vector_index.search(spark, at, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), k, PROBES, exact)
+
+
+@query(ORACLE["dense_retrieve_topn"])
+def indexed_retrieve_topn(spark, sf_dir):
+    """The rows of the full scan, from a stored index whose cells are left out by their bounds."""
+    return indexed(spark, sf_dir, 20, True).select("q", "c", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def indexed_recall(spark, sf_dir):
+    """Of the 20 nearest by the full scan, the share that the fast search of the stored index finds."""
+    true = near(spark, sf_dir, 20).select("q", "c")
+    found = indexed(spark, sf_dir, 20, False).select("q", "c", F.lit(1).alias("hit"))
+    return true.join(found, ["q", "c"], "left").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
 #: The synthetic tag of an embedding's label.
 LABEL_TAGS = ("minor", "adult", "sex", "violence", "drug", "general", "adult_content")
 SQL_LABEL = "['minor', 'adult', 'sex', 'violence', 'drug', 'general', 'adult_content'][cast(label % 7 as int) + 1]"
