@@ -39,8 +39,8 @@ def packed_chunks(paragraphs: DataFrame, size: int = 650, overlap: int = 80) ->
     return paragraphs.groupBy("page").applyInPandas(one, "page long, n long, chunk string")
 
 
-def keyword_hits(text: Column, words: list[str]) -> Column:
-    low = F.lower(text)
+def keyword_hits(low: Column, words: list[str]) -> Column:
+    """How many of the words a lower-cased text contains."""
     out = F.lit(0)
     for w in words:
         out = out + F.contains(low, F.lit(w.lower())).cast("int")
@@ -49,7 +49,9 @@ def keyword_hits(text: Column, words: list[str]) -> Column:
 
 def tags(text: Column, lexicon: dict[str, list[str]]) -> Column:
     """Sorted tags with a keyword in the text; "general" if there is none."""
-    found = F.filter(F.array(*[F.when(keyword_hits(text, words) > 0, F.lit(tag)) for tag, words in sorted(lexicon.items())]), lambda x: x.isNotNull())
+    # lower-cased once: what a lambda is given is not worked out again for each keyword
+    hit = lambda low: F.array_compact(F.array(*[F.when(keyword_hits(low, words) > 0, F.lit(tag)) for tag, words in sorted(lexicon.items())]))
+    found = F.get(F.transform(F.array(F.lower(text)), hit), F.lit(0))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
 
 

@@ -83,8 +83,14 @@ def score_rows(users: DataFrame, items: DataFrame, score, more: list[str]) -> Da
 
 
 def looked_up(pairs: DataFrame, matrix: DataFrame, ids: DataFrame) -> DataFrame:
-    """pairs (u, i) with score, null for an unknown user or item. matrix: u, scores; ids: i and its place in scores."""
-    return pairs.join(ids.select("i", "place"), "i", "left").join(matrix, "u", "left").withColumn("score", F.get("scores", F.col("place").cast("int"))).drop("scores", "place")
+    """pairs (u, i) with score, null for an unknown user or item. matrix: u, scores; ids: i and its place in scores.
+
+    A user's pairs meet the user's row of the matrix as one list, so a row of the matrix moves once, not with every pair.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in pairs.columns])
+    lists = pairs.select("u", "i", row.alias("row")).join(ids.select("i", "place"), "i", "left").groupBy("u").agg(F.collect_list(F.struct("row", "place")).alias("x"))
+    cells = F.transform("x", lambda p: F.struct(p["row"].alias("row"), F.get("scores", p["place"].cast("int")).alias("score")))
+    return lists.join(matrix, "u", "left").select(F.explode(cells).alias("y")).select("y.row.*", "y.score")
 
 
 def two_class(l0: Column, l1: Column) -> dict[str, Column]:
