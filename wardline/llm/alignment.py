@@ -10,10 +10,10 @@ over the bytes of many texts.
 2. OR gives the elementary stretches: each lies in one token of A and one of
    B, and every overlapping pair of occurrences owns exactly one. Ranks of its
    end name the two tokens: the links.
-3. A pass over all texts counts in how many documents each id pair is linked
-   (distinct inside a document, added up inside a task first). A second pass
-   encodes anew instead of moving tokens through a shuffle, and sums each
-   document's links by count. The most frequent pairs (``MOST_SENT`` at most)
+3. Texts are encoded once, their ids packed and settled; no token moves through
+   a shuffle. A pass counts in how many documents each id pair is linked
+   (distinct inside a document, added up inside a task first), a second one sums
+   each document's links by count. The most frequent pairs (``MOST_SENT`` at most)
    and the best count of each A id (bounded by the vocabulary) go to every
    task; the links of all other pairs meet their counts in a join.
 
@@ -36,6 +36,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +55,16 @@ STRETCH = 1 << 19
 CUT = re.compile(r"(?<=\S)(?= )")
 SPACE = "▁"
 PAIR_BITS = 32
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))])
 COUNTS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string()), ("rare", pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())])))])
 
 
+def ends_blank(unit: str) -> bool:
+    """Whether a place behind the unit is behind white space (a space leads it)."""
+    return not unit or unit[-1].isspace()
+
+
 class Encoders:
     """Both encoders of a worker: ids of a unit, and each id's bytes."""
 
@@ -76,6 +83,7 @@ class Encoders:
             self.a_bytes[i] = t.encode() if t in names else bytes(byte[c] for c in t)
         pieces_ = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces_)]
+        self.kind = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<i4"
         self.lone_space = self.b.piece_to_id(SPACE)
         splits = spec["pre_tokenizer"] or {}
         plain = spec["normalizer"] is None and {x: splits.get(x) for x in Tokens.SPLITS} == Tokens.SPLITS
@@ -89,8 +97,19 @@ class Encoders:
         self.fast = Tokens(byte_file).fast  # the same merges, faster
 
     def units(self, text: str) -> list[str]:
-        """The units of a text led by a space."""
-        return CUT.split(text) if self.by_unit else [text]
+        """The units of a text, each without the space that leads it (the first one's is not in the text)."""
+        if not self.by_unit:
+            return [text]
+        parts = text.split(" ")
+        if not any(ends_blank(p) for p in set(parts[:-1])):
+            return parts
+        out, open_ = [], []
+        for p in parts:  # no cut behind white space
+            open_.append(p)
+            if not ends_blank(p):
+                out.append(" ".join(open_))
+                open_ = []
+        return [*out, " ".join(open_)] if open_ else out
 
     def learn(self, units: set[str]) -> None:
         """Keep A's and B's ids of the units, as 32-bit integers; None where one side loses a byte."""
@@ -102,7 +121,7 @@ class Encoders:
             kept[u] = older[u]
             new.remove(u)
         # a unit that ends in no white space may stand before any other: such ones are encoded end to end
-        plain = sorted(u for u in new if self.by_unit and not u[-1].isspace())
+        plain = sorted(u for u in new if self.by_unit and not ends_blank(u))
         self.learn_together(plain)
         for u in new.difference(plain):
             self.learn_together([u])
@@ -110,36 +129,35 @@ class Encoders:
     def learn_together(self, units: list[str]) -> None:
         if not units:
             return
-        text = "".join(units)
-        fast = self.fast if len(text) < Tokens.LONGEST else None
-        a = fast.encode_ordinary(text) if fast else self.a.encode(text, add_special_tokens=False).ids
-        # the model itself leads with a space, so the text's own is left out; of a lone space nothing would be left
-        b = self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.lone_space]
-        if text.encode() == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]):
-            ends = np.cumsum([len(u.encode()) for u in units])
+        text = " ".join(units)
+        led = " " + text
+        fast = self.fast if len(led) < Tokens.LONGEST else None
+        a = fast.encode_ordinary(led) if fast else self.a.encode(led, add_special_tokens=False).ids
+        # the model itself leads with a space; without any other character it would give nothing
+        b = self.b.encode(text, num_threads=1) if text else [self.lone_space]
+        if led.encode() == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]):
+            ends = np.cumsum([len(u.encode()) + 1 for u in units])
             a, b = np.array(a, "<i4"), np.array(b, "<i4")
             at_a, at_b = (np.searchsorted(np.cumsum(length[x]), ends, "right").tolist() for length, x in ((self.a_length, a), (self.b_length, b)))
             for u, a0, a1, b0, b1 in zip(units, [0, *at_a], at_a, [0, *at_b], at_b, strict=False):
                 self.kept[u] = a[a0:a1].tobytes(), b[b0:b1].tobytes()
         elif len(units) == 1:
-            self.kept[text] = None
+            self.kept[units[0]] = None
         else:
             half = len(units) // 2
             self.learn_together(units[:half])
             self.learn_together(units[half:])
 
     def stretches(self, text: str, size: int = STRETCH):
-        """The text, led by a space, cut between units into stretches of about size characters."""
-        text, lo = " " + text, 0
-        while lo < len(text):
-            cut = CUT.search(text, lo + size) if self.by_unit else None
-            hi = cut.start() if cut else len(text)
-            yield text[lo:hi]
-            lo = hi
-
-    def ids(self, texts: list[str], size: int = STRETCH) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """The text cut between units into stretches of about size characters, without the spaces that lead them."""
+        lo = 0
+        while lo + size < len(text) and self.by_unit and (cut := CUT.search(text, lo + size)):
+            yield text[lo : cut.start()]
+            lo = cut.start() + 1
+        yield text[lo:]
+
+    def ids(self, texts: list[str | None], size: int = STRETCH) -> list[list[tuple[np.ndarray, np.ndarray]]]:
         """Of each text A's and B's ids of its stretches; none where the text is empty or cannot be given back."""
-        small = max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16
         out: list[list] = [[] for _ in texts]
         lost, waiting, held = set(), [], 0
 
@@ -151,7 +169,7 @@ class Encoders:
                 if None in got:
                     lost.add(i)
                 else:
-                    out[i].append(tuple(np.frombuffer(b"".join(x), "<i4").astype(np.uint16 if small else np.int32) for x in zip(*got, strict=True)))
+                    out[i].append(tuple(np.frombuffer(b"".join(x), "<i4").astype(self.kind) for x in zip(*got, strict=True)))
             for u in [u for u in every if len(u) > UNIT_CHARS]:
                 del self.kept[u]
             waiting.clear()
@@ -236,11 +254,27 @@ class Aligned:
         return ["".join(words[lo:hi]) for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True)]
 
 
-def passes(batches, tokens: Encoders):
-    """Per pass: the slice, its texts' rows and ids. A text longer than a stretch comes in several passes, one after another and alone in each."""
+def encode_rows(batches, byte_file: str, piece_file: str):
+    """doc_id and the packed ids of each stretch of its text."""
+    tokens, pack = Encoders(byte_file, piece_file), zstandard.ZstdCompressor(level=1).compress
     for batch in pieces(batches, limit=STRETCH):
-        found = tokens.ids(text_column(batch["text"]).to_pylist())
-        yield batch, [i for i, own in enumerate(found) for _ in own], [t for own in found for t in own]
+        found = [[{"a": pack(a.tobytes()), "b": pack(b.tobytes())} for a, b in own] for own in tokens.ids(text_column(batch["text"]).to_pylist())]
+        yield arrow(ENCODED, batch["doc_id"], found)
+
+
+def passes(batches, tokens: Encoders):
+    """Slices of encoded rows of some STRETCH tokens: the slice, and its stretches' rows and ids."""
+    unpack, kind = zstandard.ZstdDecompressor().decompress, tokens.kind
+    for batch in batches:
+        lo, held, rows, texts = 0, 0, [], []
+        for i, own in enumerate(batch["ids"]):
+            for x in own.as_py() or ():
+                texts.append(tuple(np.frombuffer(unpack(x[c]), kind) for c in "ab"))
+                rows.append(i - lo)
+                held += len(texts[-1][0])
+            if held >= STRETCH or i + 1 == batch.num_rows:
+                yield batch.slice(lo, i + 1 - lo), rows, texts
+                lo, held, rows, texts = i + 1, 0, [], []
 
 
 def grouped(rows: list[int], texts: list, most: int = STRETCH):
@@ -335,10 +369,15 @@ def align_rows(batches, byte_file: str, piece_file: str, sent):
         yield arrow(ROWS, batch["doc_id"], n_a, n_b, groups, links, n_best, total, shown, rare)
 
 
-def pair_counts(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
-    """pair (A's id above PAIR_BITS, B's below) and n: how many documents hold it linked."""
-    texts = scanned(docs).select(F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(lambda it: count_pairs(it, byte_file, piece_file), "pair long, n long")
+def encoded(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
+    """doc_id, ids: the packed ids of each row, settled."""
+    texts = scanned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return settle(texts.mapInArrow(lambda it: encode_rows(it, byte_file, piece_file), "doc_id long, ids array<struct<a:binary,b:binary>>"))
+
+
+def pair_counts(rows: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
+    """pair (A's id above PAIR_BITS, B's below) and n: how many of the encoded rows hold it linked."""
+    found = rows.select("ids").mapInArrow(lambda it: count_pairs(it, byte_file, piece_file), "pair long, n long")
     return found.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -364,6 +403,7 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 def align(docs: DataFrame, byte_file: str, piece_file: str, most_sent: int = MOST_SENT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     spark = docs.sparkSession
+    docs = encoded(docs, byte_file, piece_file)
     counts = settle(pair_counts(docs, byte_file, piece_file))
     first = F.shiftright("pair", PAIR_BITS).alias("a")
     best_rows = counts.groupBy(first).agg(F.max("n").alias("best")).toArrow()  # one row per A id
@@ -371,9 +411,8 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, most_sent: int = MOS
     best[best_rows["a"].to_numpy()] = best_rows["best"].to_numpy()
     known, n = frequent(counts, most_sent)
     sent = spark.sparkContext.broadcast((known, n, best))
-    texts = scanned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shape = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, rare array<struct<pair:long,times:long>>"
-    rows = texts.mapInArrow(lambda it: align_rows(it, byte_file, piece_file, sent), shape)
+    rows = docs.mapInArrow(lambda it: align_rows(it, byte_file, piece_file, sent), shape)
     if counts.count() == len(known):
         return rows.drop("rare")
     rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
