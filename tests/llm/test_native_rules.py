@@ -32,6 +32,12 @@ def test_urls(spark):
     assert {r.verdict for r in uf.judge_urls(pages, uf.rule_table(spark, []) if False else uf.rule_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 50_000 + "com/en/" + "x" * 500_000, "http://" + "b" * 300_000 + "/en/", "https://x.net/de/" + "y/" * 200_000 + "?" + "q" * 100_000, "://" * 10_000]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), uf.rule_table(spark)).collect()}
+    assert got == {i: brute_url(u) for i, u in enumerate(urls)}
+
+
 def test_shuffled_rules_give_the_same(spark, monkeypatch):
     urls = [None, "http://a.b.example.com/en/7", "http://example.com/en/6", "https://x.net/de/8", "http://example.net/de/8/a", "http://o.org/es/", "http://o.org/e"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 3)], "page_id long, url string")

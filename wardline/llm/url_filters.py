@@ -10,7 +10,10 @@ Rules are (host, path, action) rows. They are broadcast if at most
 BROADCAST_RULES; beyond that the join shuffles on the hash prefix.
 
 Defined results: a null URL or one without :// has empty host and path and is
-allowed; repeated rows each get a row; an empty table gives an empty result.
+allowed; repeated rows each get a row; URLs may have any length (only the label
+counts and path lengths of rules are expanded); of rules of one length the longer
+host wins, then block (ties); other columns of pages are not read, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
