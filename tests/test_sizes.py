@@ -28,3 +28,30 @@ def test_draws_are_never_planned_as_a_small_table(spark):
     leaves = got._jdf.queryExecution().optimizedPlan().collectLeaves()
     drawn = [leaves.apply(k) for k in range(leaves.size()) if "place" in leaves.apply(k).output().toString()]
     assert drawn and all(int(str(x.stats().sizeInBytes())) > 100_000 for x in drawn)
+
+
+def exchanged_below(rows, name: str) -> bool:
+    """Whether a shuffle stands below the plan's explode of the column."""
+    plan = str(rows._jdf.queryExecution().executedPlan().toString()).split("\n")
+    at = next(k for k, line in enumerate(plan) if "Generate explode" in line and name in line)
+    depth = len(plan[at]) - len(plan[at].lstrip(" :+-"))
+    below = []
+    for line in plan[at + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        below.append(line)
+    return any("Exchange hashpartitioning" in line for line in below)
+
+
+def test_users_are_dealt_before_they_become_many_rows(spark):
+    from wardline.plans import building, evaluation
+
+    small = "/root/testdata/sf0.001"
+    assert exchanged_below(evaluation.predictions(spark, small), "rank")
+    assert exchanged_below(building.merging(spark, small)[1], "n#")
+
+
+def test_histories_are_shuffled_once_for_all_repeats(spark):
+    rows = spark.range(300).select((F.col("id") % 30).alias("u"), F.col("id").alias("i"))
+    plan = str(sampling.shuffled_histories(rows, 20, 1)._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")

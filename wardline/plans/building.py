@@ -12,6 +12,7 @@ from wardline.operators import build, history
 from wardline.plans import adapters as A
 from wardline.plans import runner
 from wardline.plans.registry import query
+from wardline.sources.shared import tasks
 
 BOUNDS = build.Bounds(least=20, most=200, positives=5, liked=6, sizes={True: 8, False: 60})
 
@@ -111,7 +112,8 @@ pairs as (select u, i, count(*) c, exists (select 1 from base b where b.u = more
 def merging(spark, sf_dir):
     rows = A.split(spark, sf_dir).select("u", "i", "split")
     n = A.items(spark, sf_dir).agg(F.count("*").alias("size"))
-    made = A.users(spark, sf_dir).select("u", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("n")).join(F.broadcast(n), F.lit(True))
+    # users come in few files: dealt before each becomes twenty rows
+    made = A.users(spark, sf_dir).repartition(tasks(spark), "u").select("u", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("n")).join(F.broadcast(n), F.lit(True))
     made = made.select("u", ((F.col("u") * 13 + F.col("n") * 7) % F.col("size")).alias("i"), F.col("n").cast("long").alias("n"))
     more = made.unionByName(rows.where("u % 3 = 0").select("u", "i", F.lit(50).cast("long").alias("n")))
     return rows.where("split = 'train'"), more, rows.where("split <> 'train'")
