@@ -30,6 +30,8 @@ from wardline.sources.shared import settle
 CELL_PAIRS = 1_000_000
 #: Draws for each negative before one is taken as it is.
 TRIALS = 8
+#: Pairs whose negatives are drawn at once.
+DRAWN = 1 << 16
 FACTORS = "kind int, id long, vector array<double>"
 SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("vector", pa.list_(pa.float64()))])
 
@@ -77,10 +79,13 @@ def cell_steps(plan: Plan, epoch: int, u: np.ndarray, i: np.ndarray, label: np.n
     u, i, label = u[order], i[order], label[order]
     known = np.unique(u * len(items) + i)
     total = 0.0
+    many = plan.batch * max(1, DRAWN // plan.batch)
     for lo in range(0, len(u), plan.batch):
         a, b, y = u[lo : lo + plan.batch], i[lo : lo + plan.batch], label[lo : lo + plan.batch]
         if plan.loss != "labels":
-            drawn = negatives_of(plan, epoch, a, b, users, items, known)
+            if lo % many == 0:  # draws rest on hashes alone, so many batches' are made at once
+                ahead = negatives_of(plan, epoch, u[lo : lo + many], i[lo : lo + many], users, items, known)
+            drawn = ahead[lo % many : lo % many + len(a)]
             rows, neg = np.repeat(np.arange(len(a)), plan.negatives), drawn.ravel()
         if plan.loss == "bpr":
             a, b = a[rows], b[rows]
