@@ -55,3 +55,14 @@ def test_histories_are_shuffled_once_for_all_repeats(spark):
     rows = spark.range(300).select((F.col("id") % 30).alias("u"), F.col("id").alias("i"))
     plan = str(sampling.shuffled_histories(rows, 20, 1)._jdf.queryExecution().executedPlan().toString())
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+
+
+def test_a_rating_line_is_taken_apart_once(spark, tmp_path):
+    """No filter on the ids stands below the parse, where it would parse the line again."""
+    from wardline.sources.readers import ratings
+
+    (tmp_path / "r.txt").write_text("1::2::5\n 3\t4\t2\t9 \n-1,2\nu,i\n\n7 8\n")
+    rows = ratings(spark, str(tmp_path / "r.txt"))
+    assert sorted(map(tuple, rows.collect()), key=str) == [(1, 2, 5.0, None), (3, 4, 2.0, 9), (7, 8, None, None)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "Filter" not in plan[plan.index("Generate") :]

@@ -44,7 +44,9 @@ def ratings(spark: SparkSession, path: str, split: str | None = None) -> DataFra
     parts = split_line(F.col("value"))
     rows = spark.read.text(path).select(parts.alias("p"))
     get = lambda n: F.get("p", F.lit(n))
-    rows = rows.select(to_int(get(0)).alias("u"), to_int(get(1)).alias("i"), to_float(get(2)).alias("rating"), to_int(get(3)).alias("ts"))
+    # one struct a line, behind an explode that no filter passes: else the filter takes the line apart anew for each id that it asks
+    row = F.struct(to_int(get(0)).alias("u"), to_int(get(1)).alias("i"), to_float(get(2)).alias("rating"), to_int(get(3)).alias("ts"))
+    rows = rows.select(F.explode_outer(F.array(row)).alias("r")).select("r.*")
     rows = rows.where((F.col("u") >= 0) & (F.col("i") >= 0))
     return rows if split is None else rows.withColumn("split", F.lit(split))
 
