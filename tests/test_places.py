@@ -68,3 +68,14 @@ def test_corners_give_the_whole_ranking(n, by):
     got = rows(list(ranking.best_by_corner(batch, *ranking.cornered(items, counted), counted, 10, ["is_minor"])))
     assert got == rows(list(ranking.best_of_batch(batch, items, whole, 10, ["is_minor"])))
     assert n < 30_000 or sum(scored) < 30 * n / 2
+
+
+def test_pairs_are_looked_up_where_rows_are_made(spark):
+    """As out of the rows of the matrix, which no shuffle moves."""
+    users = spark.createDataFrame([(u, [float(u), 1.0]) for u in range(5)], "u long, p array<double>")
+    items = spark.createDataFrame([(2 * i, [1.0, float(i)]) for i in range(7)], "i long, q array<double>")
+    pairs = spark.createDataFrame([(u, i) for u in range(7) for i in (0, 3, 4, 4, 99)], "u long, i long")
+    found = scoring.looked_up_in_rows(pairs, users, items, scoring.dot_scorer(), ["p"])
+    want = [(u, i, float(u + i // 2) if u < 5 and i in (0, 4) else None) for u in range(7) for i in (0, 3, 4, 4, 99)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert "scores" not in found._jdf.queryExecution().executedPlan().toString()

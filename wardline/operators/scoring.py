@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.sources.shared import stored
+from wardline.sources.shared import stored, tasks
 
 
 def sigmoid(x: Column) -> Column:
@@ -95,6 +95,37 @@ def looked_up(pairs: DataFrame, matrix: DataFrame, ids: DataFrame) -> DataFrame:
     return lists.join(matrix, "u", "left").select(F.explode(cells).alias("y")).select("y.row.*", "y.score")
 
 
+def looked_up_in_rows(pairs: DataFrame, users: DataFrame, items: DataFrame, score, more: list[str]) -> DataFrame:
+    """pairs (u, i) with score, null for an unknown user or item: what looked_up finds in score_rows, read where a row is made, so that no row of the matrix moves."""
+    from wardline.operators.ranking import ITEM_BLOCK, sorted_columns
+
+    if items.count() > ITEM_BLOCK:
+        raise ValueError(f"more than {ITEM_BLOCK} items")
+    columns = sorted_columns(items.toArrow(), items.columns)
+    lists = pairs.groupBy("u").agg(F.collect_list("i").alias("wanted"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                ends, ids = part["wanted"].offsets.to_numpy(), part["wanted"].flatten().to_numpy()
+                row, every = np.repeat(np.arange(len(part)), np.diff(ends)), columns["i"]
+                out, known = np.full(len(ids), np.nan), np.flatnonzero(part["known"].to_numpy(zero_copy_only=False))
+                if len(known) and len(every):
+                    some = part.take(pa.array(known))
+                    s = np.asarray(score({"u": some["u"].to_numpy()} | {c: some[c].to_numpy(zero_copy_only=False) for c in more}, columns), np.float64)
+                    at = np.minimum(np.searchsorted(every, ids), len(every) - 1)
+                    place = np.full(len(part), -1)
+                    place[known] = np.arange(len(known))
+                    hit = (every[at] == ids) & (place[row] >= 0)
+                    out[hit] = s[place[row[hit]], at[hit]]
+                yield pa.RecordBatch.from_arrays([part["u"].take(pa.array(row)), pa.array(ids), pa.array(out, mask=np.isnan(out))], names=["u", "i", "score"])
+
+    rows = lists.join(users.select("u", *more, F.lit(True).alias("known")), "u", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    # few bytes a user, but a row of the matrix each: dealt by number
+    return rows.select("u", "wanted", "known", *more).repartition(tasks(pairs.sparkSession), "u").mapInArrow(run, "u long, i long, score double")
+
+
 def two_class(l0: Column, l1: Column) -> dict[str, Column]:
     """p0, p1, margin and pred of two logits; the exponent is never positive, so nothing overflows. Ties are 0."""
     e = F.exp(-F.abs(l1 - l0))
