@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.sources.shared import stored
+
 #: Accepted slots of a list.
 SLOTS = 20
 
@@ -100,12 +102,22 @@ def select_safe(ranked: DataFrame, gamma: float, history: DataFrame | None = Non
     return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= SLOTS).select("u", "i", "place")
 
 
+def alike(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u, kind: users of equal is_minor whose lists (bounded pools of rank and i) are equal have the least of them as kind; and the kinds' rows: u, is_minor, rank, i."""
+    lists = stored(ranked.groupBy("u", "is_minor").agg(F.array_sort(F.collect_list(F.struct("rank", "i"))).alias("x")))
+    kinds = stored(lists.groupBy(F.col("is_minor").alias("m"), F.col("x").alias("y")).agg(F.min("u").alias("kind")))
+    own = lists.join(kinds, (F.col("x") == F.col("y")) & F.col("is_minor").eqNullSafe(F.col("m"))).select("u", "kind")
+    return own, kinds.select(F.col("kind").alias("u"), F.col("m").alias("is_minor"), F.inline("y"))
+
+
 def vote_rerank(ranked: DataFrame, judged: DataFrame) -> DataFrame:
     """u, i, votes, place: items by votes for being the more harmful (both orders), then by rank.
 
     judged: is_minor, lo, hi, choice_fwd, choice_rev (0 the first shown, 1 the
-    second, 2 neither). Pairs stay inside one user's bounded pool.
+    second, 2 neither). Pairs stay inside one user's bounded pool, and those of
+    users with equal pools are counted once.
     """
+    own, ranked = alike(ranked)
     a = ranked.select("u", "is_minor", F.col("i").alias("x"), F.col("rank").alias("rx"))
     b = ranked.select("u", F.col("i").alias("y"), F.col("rank").alias("ry"))
     pairs = a.join(b, "u").where("rx < ry").select("u", "is_minor", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
@@ -115,7 +127,8 @@ def vote_rerank(ranked: DataFrame, judged: DataFrame) -> DataFrame:
     votes = found.groupBy("u", F.col("x.i").alias("i")).agg(F.sum("x.v").alias("votes"))
     rows = ranked.join(votes, ["u", "i"], "left").fillna(0, ["votes"])
     w = Window.partitionBy("u").orderBy("votes", "rank")
-    return rows.select("u", "i", F.col("votes").cast("long").alias("votes"), F.row_number().over(w).cast("long").alias("place"))
+    placed = rows.select(F.col("u").alias("kind"), "i", F.col("votes").cast("long").alias("votes"), F.row_number().over(w).cast("long").alias("place"))
+    return own.join(placed, "kind").select("u", "i", "votes", "place")
 
 
 def parse_choice(text):
