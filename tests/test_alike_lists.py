@@ -1,4 +1,4 @@
-"""Votes once for each distinct list."""
+"""Votes once for each distinct list, and a curve that is worked out once."""
 
 from pyspark.sql import functions as F
 
@@ -41,3 +41,11 @@ def test_equal_lists_are_one_kind(spark):
     own, kinds = calibrate.alike(rows)
     assert sorted({(r["u"], r["is_minor"]) for r in kinds.collect()}) == [(0, True), (1, False), (7, False)] and kinds.count() == 6
     assert {r["u"]: r["kind"] for r in own.collect()} == {u: 0 if u % 10 == 0 else 7 if u == 7 else 1 for u in range(200)}
+
+
+def test_a_curve_is_worked_out_once(spark):
+    """The choice reads its curve twice, but not what is behind it."""
+    ranked = spark.range(40).select((F.col("id") % 4).alias("u"), F.col("id").alias("rank"), (F.col("id") / 40).alias("safety"), (F.col("id") % 3 == 0).cast("int").alias("unsafe"))
+    got = calibrate.choose(calibrate.risk_curve(ranked, calibrate.thresholds(spark)), [1.0, 0.0])
+    assert [(r["fraction"], r["g"]) for r in got.orderBy("fraction").collect()][0] == (0.0, 100)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.sources.shared import stored
+from wardline.sources.shared import settle, stored
 
 #: Accepted slots of a list.
 SLOTS = 20
@@ -87,6 +87,7 @@ def risk_curve(ranked: DataFrame, grid: DataFrame, history: DataFrame | None = N
 
 def choose(curve: DataFrame, fractions: list[float]) -> DataFrame:
     """fraction, alpha, g: the first threshold whose adjusted risk is at most fraction * (raw risk at threshold 0); else the last."""
+    curve = settle(curve)  # a row for each threshold, read twice; the ranking behind it is worked out once
     base = curve.where("g = 0").select(F.col("raw").alias("base"))
     rows = curve.join(F.broadcast(base), F.lit(True)).withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
     alpha = F.col("base") * F.col("fraction")
