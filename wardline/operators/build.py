@@ -119,6 +119,16 @@ def id_maps(rows: DataFrame, key: str, value: str, group: str) -> DataFrame:
     return last.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "v")))).alias("ids"))
 
 
+def place_maps(rows: DataFrame, least: int = 1) -> DataFrame:
+    """u and ``ids``: per user of at least so many items a map from item to its place (from 1) by (ts, i). rows: u, i, ts, one row a pair.
+
+    A history is one list, as is the map, and it is sorted there: what id_maps makes of ranked rows, but no window sorts all rows of a task.
+    """
+    own = rows.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("ts", "i"))).alias("x")).where(F.size("x") >= least)
+    placed = F.transform("x", lambda s, k: F.struct(s["i"].alias("i"), (k + 1).cast("long").alias("v")))
+    return own.select("u", F.map_from_entries(F.array_sort(placed)).alias("ids"))
+
+
 def shuffled_together(parts: list[DataFrame], key: str, seed: int) -> DataFrame:
     """The rows of all parts, numbered from 0 in hash order. Parts are bounded samples."""
     rows = parts[0]

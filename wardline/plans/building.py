@@ -144,8 +144,7 @@ def samples_shuffled_together(spark, sf_dir):
 @query(f"{A.PRELUDE}, p as (select u, i, row_number() over (partition by u order by ts, i) pos from spl) select u, string_agg(i || ':' || pos, ',' order by i) ids from p group by 1")
 def item_place_maps(spark, sf_dir):
     """Per user a map from item to place, as text."""
-    rows = history.ranked(A.split(spark, sf_dir)).select("u", "i", "history_rank")
-    maps = build.id_maps(rows, "i", "history_rank", "u")
+    maps = build.place_maps(A.interactions(spark, sf_dir), 3)
     return maps.select("u", F.array_join(F.transform(F.map_entries("ids"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",").alias("ids"))
 
 
