@@ -58,13 +58,17 @@ def risk_curve(ranked: DataFrame, grid: DataFrame, history: DataFrame | None = N
     spark = ranked.sparkSession
     steps = sorted((r["gamma"], r["g"]) for r in grid.collect())  # the thresholds, not the data
     gammas = np.array([x for x, _ in steps])
+    listed = lambda rows: rows.groupBy("u").agg(F.collect_list(F.struct("a", "b", "safety", "unsafe")).alias("x"))
+    of = lambda rows, a, b, safety: rows.select("u", a.cast("double").alias("a"), b.cast("long").alias("b"), safety.cast("double").alias("safety"), F.col("unsafe").cast("double").alias("unsafe"))
     if history is None:
-        rows = ranked.select("u", F.col("rank").cast("double").alias("a"), F.lit(0).cast("long").alias("b"), F.col("safety").cast("double").alias("safety"), F.col("unsafe").cast("double").alias("unsafe"))
+        lists = listed(of(ranked, F.col("rank"), F.lit(0), F.col("safety"))).select("u", F.array_sort("x").alias("x"))
     else:
-        always = history.select("u", "i", "score", F.lit(None).cast("double").alias("safety"), "unsafe").join(ranked.select("u").distinct(), "u", "left_semi")
-        both = ranked.select("u", "i", "score", F.col("safety").cast("double").alias("safety"), "unsafe").join(history.select("u", "i"), ["u", "i"], "left_anti").unionByName(always)
-        rows = both.select("u", (-F.col("score")).cast("double").alias("a"), F.col("i").cast("long").alias("b"), "safety", F.col("unsafe").cast("double").alias("unsafe"))
-    lists = rows.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("a", "b", "safety", "unsafe"))).alias("x"))
+        # a user's two lists meet as one row each: the ranking behind one is worked out once
+        past = listed(of(history, -F.col("score"), F.col("i"), F.lit(None))).select("u", F.col("x").alias("always"))
+        own = listed(of(ranked, -F.col("score"), F.col("i"), F.col("safety"))).join(past, "u", "left")
+        known = F.filter(F.transform("always", lambda x: x["b"]), lambda b: b.isNotNull())
+        new = F.when(F.col("always").isNull(), F.col("x")).otherwise(F.filter("x", lambda x: ~F.coalesce(F.array_contains("known", x["b"]), F.lit(False))))
+        lists = own.withColumn("known", known).select("u", F.array_sort(F.concat(new, F.coalesce("always", F.array().cast(own.schema["x"].dataType)))).alias("x"))
 
     def sums(batches):
         total, n = np.zeros((2, len(gammas))), 0
