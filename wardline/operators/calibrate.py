@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.sources.shared import settle, stored
+from wardline.sources.shared import settle, stored, tasks
 
 #: Accepted slots of a list.
 SLOTS = 20
@@ -102,7 +102,8 @@ def select_safe(ranked: DataFrame, gamma: float, history: DataFrame | None = Non
     """u, i, place: each user's first SLOTS items of safety at least gamma by score; with history (safe past items and their scores) these are merged in whatever their safety."""
     rows = ranked.where(F.col("safety") >= gamma).select("u", "i", "score")
     if history is not None:
-        rows = rows.unionByName(history.select("u", "i", "score")).distinct()
+        # dealt by user once: what follows, equal rows and places, happens there
+        rows = rows.unionByName(history.select("u", "i", "score")).repartition(tasks(rows.sparkSession), "u").distinct()
     w = Window.partitionBy("u").orderBy(F.desc("score"), "i")
     return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= SLOTS).select("u", "i", "place")
 
