@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wardline.operators import audit, calibrate, history, metrics
 from wardline.operators.ranking import Classes, rank_catalogue
 from wardline.plans import adapters as A
+from wardline.plans.evaluation import safety_ranked
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,10 @@ def test_faults_are_counted_in_one_reading(spark):
     found = audit.exposure_faults(rows, ["sex"], "unsafe_any")
     assert plan(found).count("ExistingRDD") == 1
     assert sorted(map(tuple, found.collect())) == [("part_over_whole", 1), ("whole_over_slots", 1)]
+
+
+def test_selections_and_curves_sort_only_what_they_place(spark):
+    ranked = safety_ranked(spark, SF)
+    logical = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in logical(calibrate.risk_curve(ranked, calibrate.thresholds(spark)))
+    assert "back#" not in logical(calibrate.select_safe(ranked, 0.3)) and "rank#" not in logical(calibrate.select_safe(ranked, 0.3)).split("MapInArrow")[0]
